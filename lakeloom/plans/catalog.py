@@ -2,9 +2,733 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import aggregates as agg
+from ..functions.aggregates import ordered
+from ..migrate import issues_df
+from ..operators import dml
+from ..operators.eager import EagerQuery
+from ..operators.query import Query, lazy_rows
+from ..rawsql import TableInfo, sql
+from ..repo import Repo
+from ..scopes import SoftDeletes, Where
+from ..sources.session import Session
+from .tables import (
+    CUSTOMER, CUSTOMERS, EVENTS, ITEM_ORDER, ITEM_PART, ITEM_SUPPLIER, ITEMS, LABEL, LINKS, NATION, NATIONS, ORDER_PARTS, ORDERS,
+    PART_SUPPLIERS, REGION, REGION_CUSTOMERS, REGION_SUPPLIERS_VIA, SUPPLIERS, TRASHABLE,
+    Customer, Document, LineItem, Nation, Order, Part, Region, Supplier, TrashableOrder, session_over,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    """Registers a function of a session under its name."""
+    def put(make: Callable[[Session], DataFrame]):
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(session_over(spark, sf_dir))
+        if oracle:
+            ORACLES[make.__name__] = oracle
+        return make
+
+    return put
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by the balance of their wealthy customers: scope, join, group, having, top-k."""
+    s = session_over(spark, sf_dir)
+    wealthy = Query(s, Customer, [Where("wealthy", lambda c: c.c_acctbal > 1000)], scoped=True).join(NATION)
+    made = wealthy.select(lambda j: {"nation": j.of(Nation).n_name, "n_customers": agg.count(), "balance": F.round(agg.total(j.of(Customer).c_acctbal), 2)})
+    return made.group_by(lambda j: j.of(Nation).n_name).having(lambda j: agg.count() > 1).order_by("balance", descending=True).order_by("nation").limit(10).df()
+
+
+# scans and lookups
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def scan_projected(s):
+    return Query(s, Nation).df()
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def scoped_scan(s):
+    scopes = [Where("rich", lambda c: c.c_acctbal > 5000), Where("segment", lambda c: c.c_mktsegment == "BUILDING", lambda c: ordered(c.c_custkey))]
+    return Query(s, Customer, scopes, scoped=True).df()
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 5000")
+def query_without_scope(s):
+    scopes = [Where("rich", lambda c: c.c_acctbal > 5000), Where("segment", lambda c: c.c_mktsegment == "BUILDING")]
+    return Repo(s, Customer, scopes).query_without("segment").df()
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 42")
+def find_by_id(s):
+    return Query(s, Customer).where(lambda c: c.c_custkey == 42).df()
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey IN (1, 7, 13, 99999999)")
+def find_all_by_id(s):
+    return Repo(s, Customer).rows_by_ids([1, 7, 13, 99999999])
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey < 3000 AND c_custkey % 2 = 0 AND c_custkey > 0")
+def find_all_by_many_ids(s):
+    return Repo(s, Customer).rows_by_ids(range(2, 3000, 2))
+
+
+# conditions
+
+_O = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+_P = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
+_C = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000")
+def filter_and(s):
+    return Query(s, Order).where(lambda c: c.o_orderstatus == "O").where(lambda c: c.o_totalprice > 100000).df()
+
+
+@query(f"SELECT {_O} FROM orders WHERE ((o_orderstatus = 'O' AND o_totalprice > 200000) OR o_orderpriority = '1-URGENT') AND o_orderkey % 3 = 0")
+def filter_or(s):
+    q = Query(s, Order).where(lambda c: c.o_orderstatus == "O").where(lambda c: c.o_totalprice > 200000)
+    return q.or_where(lambda c: c.o_orderpriority == "1-URGENT").where(lambda c: c.o_orderkey % 3 == 0).df()
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice < 50000 OR o_orderpriority = '5-LOW')")
+def filter_grouped(s):
+    return Query(s, Order).where(lambda c: (c.o_orderstatus == "F") & ((c.o_totalprice < 50000) | (c.o_orderpriority == "5-LOW"))).df()
+
+
+@query(f"SELECT {_P} FROM part WHERE p_size >= 10 AND p_size <= 30 AND p_size <> 20 AND p_retailprice > 950 AND p_retailprice < 1500")
+def cmp_value(s):
+    return Query(s, Part).where(lambda c: (c.p_size >= 10) & (c.p_size <= 30) & (c.p_size != 20) & (c.p_retailprice > 950) & (c.p_retailprice < 1500)).df()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_discount < l_tax AND l_partkey <> l_suppkey")
+def cmp_column(s):
+    q = Query(s, LineItem).where(lambda c: c.l_discount < c.l_tax).where(lambda c: c.l_partkey != c.l_suppkey)
+    return q.select(lambda c: {"l_orderkey": c.l_orderkey, "l_linenumber": c.l_linenumber, "l_discount": c.l_discount, "l_tax": c.l_tax}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE NULLIF(o_orderstatus, 'F') IS NULL")
+def is_null(s):
+    return Query(s, Order).where(lambda c: F.nullif(c.o_orderstatus, F.lit("F")).isNull()).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM trashable WHERE deleted_at IS NOT NULL".replace("trashable", "(SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders) t"))
+def is_not_null(s):
+    return Query(s, TrashableOrder).where(lambda c: c.deleted_at.isNotNull()).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def in_list(s):
+    return Query(s, Order).where(lambda c: c.o_orderpriority.isin("1-URGENT", "2-HIGH")).df()
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
+def not_in_list(s):
+    return Query(s, Order).where(lambda c: ~c.o_orderpriority.isin("1-URGENT", "2-HIGH")).df()
+
+
+@query(f"SELECT {_C} FROM customer WHERE 1 = 0")
+def in_empty(s):
+    return Query(s, Customer).where(lambda c: c.c_custkey.isin([])).df()
+
+
+@query(f"SELECT {_C} FROM customer WHERE 1 = 1")
+def not_in_empty(s):
+    return Query(s, Customer).where(lambda c: ~c.c_custkey.isin([])).df()
+
+
+@query(f"SELECT {_P} FROM part WHERE p_retailprice BETWEEN 1000 AND 1200")
+def between(s):
+    return Query(s, Part).where(lambda c: c.p_retailprice.between(1000, 1200)).df()
+
+
+@query(f"SELECT {_P} FROM part WHERE p_type LIKE '%BRASS%' OR p_brand LIKE 'Brand#1_'")
+def like(s):
+    return Query(s, Part).where(lambda c: c.p_type.like("%BRASS%") | c.p_brand.like("Brand#1_")).df()
+
+
+@query(f"SELECT {_P} FROM part WHERE p_brand NOT LIKE 'Brand#1%'")
+def not_like(s):
+    return Query(s, Part).where(lambda c: ~c.p_brand.like("Brand#1%")).df()
+
+
+@query(f"SELECT {_P} FROM part WHERE p_brand ILIKE 'brand#2%'")
+def ilike(s):
+    return Query(s, Part).where(lambda c: c.p_brand.ilike("brand#2%")).df()
+
+
+@query(f"SELECT {_C} FROM customer WHERE length(c_name) % 2 = 0 AND c_acctbal > 2500.5")
+def raw_predicate(s):
+    return Query(s, Customer).where(agg.raw("length(c_name) % :two = 0 AND c_acctbal > :least", two=2, least=2500.5)).df()
+
+
+# projections
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderstatus = 'P'")
+def project_columns(s):
+    return Query(s, Order).where(lambda c: c.o_orderstatus == "P").select(lambda c: {"id": c.o_orderkey, "price": c.o_totalprice}).df()
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) AS segment, length(c_name) AS name_length FROM customer")
+def raw_expr(s):
+    return Query(s, Customer).select(lambda c: {"c_custkey": c.c_custkey, "segment": agg.raw("upper(c_mktsegment)"), "name_length": agg.raw("cast(length(c_name) as bigint)")}).df()
+
+
+@query("SELECT DISTINCT n_nationkey, n_name, n_regionkey FROM nation")
+def distinct_rows(s):
+    return Query(s, Nation).distinct().df()
+
+
+@query("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+def distinct_projection(s):
+    return Query(s, Customer).select(lambda c: {"c_mktsegment": c.c_mktsegment, "c_nationkey": c.c_nationkey}).distinct().df()
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(s):
+    from .tables import Event
+
+    return Query(s, Event).select(lambda c: {"event_id": c.event_id, "k": F.get_json_object(c.props, "$.k").cast("bigint")}).df()
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE list_contains(embedding, embedding[1]) AND len(embedding) > 0 AND label = 1")
+def array_contains_tag(s):
+    e = s.frame("embeddings")
+    return e.where(F.array_contains("embedding", F.get("embedding", F.lit(0))) & (F.size("embedding") > 0) & (F.col("label") == 1)).select("vec_id", "label")
+
+
+# aggregates
+
+
+@query("SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'O'")
+def agg_count(s):
+    return Query(s, Order).where(lambda c: c.o_orderstatus == "O").count_df()
+
+
+@query("SELECT count(NULLIF(o_orderstatus, 'F')) AS count FROM orders")
+def agg_count_col(s):
+    return Query(s, Order).count_df(lambda c: F.nullif(c.o_orderstatus, F.lit("F")))
+
+
+@query("SELECT round(sum(o_totalprice), 2) AS total, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders WHERE o_totalprice > 1000")
+def agg_sum(s):
+    return Query(s, Order).where(lambda c: c.o_totalprice > 1000).aggregate(total=lambda c: F.round(F.sum(c.o_totalprice), 2), keys=lambda c: F.sum(c.o_custkey))
+
+
+@query("SELECT round(avg(o_totalprice), 2) AS mean FROM orders")
+def agg_avg(s):
+    return Query(s, Order).aggregate(mean=lambda c: F.round(agg.average(c.o_totalprice), 2))
+
+
+@query("SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_orderdate) AS first_day FROM orders")
+def agg_min_max(s):
+    return Query(s, Order).aggregate(lo=lambda c: agg.least(c.o_totalprice), hi=lambda c: agg.greatest(c.o_totalprice), first_day=lambda c: agg.least(c.o_orderdate))
+
+
+@query("SELECT CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS total, 0::BIGINT AS n")
+def agg_empty(s):
+    return Query(s, Order).where(lambda c: c.o_totalprice < 0).aggregate(lo=lambda c: F.min(c.o_totalprice), total=lambda c: F.sum(c.o_totalprice), n=lambda c: F.count("*"))
+
+
+@query("SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 100000) AS found, EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS missing")
+def exists_flag(s):
+    some = Query(s, Order).where(lambda c: c.o_totalprice > 100000).filtered()
+    none = Query(s, Order).where(lambda c: c.o_totalprice < 0).filtered()
+    return s.spark.range(1).select(some.exists().alias("found"), none.exists().alias("missing"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS segments, round(sum(c_acctbal), 2) AS balance FROM customer")
+def agg_projection(s):
+    return Query(s, Customer).select(lambda c: {"n": agg.count(), "segments": agg.count_distinct(c.c_mktsegment), "balance": F.round(agg.total(c.c_acctbal), 2)}).df()
+
+
+def _orders_by_status(s, **more):
+    return Query(s, Order).select(lambda c: {"o_orderstatus": c.o_orderstatus} | {k: f(c) for k, f in more.items()}).group_by(lambda c: c.o_orderstatus)
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(NULLIF(o_orderpriority, '5-LOW')) AS not_low FROM orders GROUP BY o_orderstatus")
+def group_count(s):
+    return _orders_by_status(s, n=lambda c: agg.count(), not_low=lambda c: agg.count(F.nullif(c.o_orderpriority, F.lit("5-LOW")))).df()
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus")
+def group_count_distinct(s):
+    return _orders_by_status(s, customers=lambda c: agg.count_distinct(c.o_custkey)).df()
+
+
+@query("SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY o_orderstatus")
+def group_sum_avg(s):
+    return _orders_by_status(s, total=lambda c: F.round(agg.total(c.o_totalprice), 2), mean=lambda c: F.round(agg.average(c.o_totalprice), 2)).df()
+
+
+@query("SELECT o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_orderstatus")
+def group_min_max(s):
+    return _orders_by_status(s, lo=lambda c: agg.least(c.o_totalprice), hi=lambda c: agg.greatest(c.o_totalprice)).df()
+
+
+@query("SELECT o_orderstatus, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority")
+def group_multi(s):
+    return _orders_by_status(s, priority=lambda c: c.o_orderpriority, n=lambda c: agg.count()).group_by(lambda c: c.o_orderpriority).df()
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND max(o_totalprice) > 200000")
+def having(s):
+    q = Query(s, Order).select(lambda c: {"o_custkey": c.o_custkey, "n": agg.count()}).group_by(lambda c: c.o_custkey)
+    return q.having(lambda c: agg.count() > 12).having(lambda c: agg.greatest(c.o_totalprice) > 200000).df()
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15 OR min(o_totalprice) > 200000")
+def or_having(s):
+    q = Query(s, Order).select(lambda c: {"o_custkey": c.o_custkey, "n": agg.count()}).group_by(lambda c: c.o_custkey)
+    return q.having(lambda c: agg.count() > 15).or_having(lambda c: agg.least(c.o_totalprice) > 200000).df()
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 10")
+def group_topk(s):
+    q = Query(s, Order).select(lambda c: {"o_custkey": c.o_custkey, "total": F.round(agg.total(c.o_totalprice), 2)}).group_by(lambda c: c.o_custkey)
+    return q.order_by(lambda c: agg.total(c.o_totalprice), descending=True).order_by("o_custkey").limit(10).df()
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
+def pricing_summary(s):
+    q = Query(s, LineItem).where(lambda c: c.l_shipdate <= F.expr("TIMESTAMP_NTZ '1998-09-02'"))
+    made = q.select(lambda c: {"l_returnflag": c.l_returnflag, "l_linestatus": c.l_linestatus, "qty": F.round(agg.total(c.l_quantity), 2), "revenue": F.round(agg.total(c.l_extendedprice * (1 - c.l_discount)), 2), "n": agg.count()})
+    return made.group_by(lambda c: c.l_returnflag, lambda c: c.l_linestatus).df()
+
+
+# joins
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_inner(s):
+    return Query(s, Customer).join(NATION).select(lambda j: {"c_custkey": j.of(Customer).c_custkey, "n_name": j.of(Nation).n_name}).df()
+
+
+@query("SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
+def join_left(s):
+    return Query(s, Order).left_join(ITEMS).select(lambda j: {"o_orderkey": j.of(Order).o_orderkey, "l_linenumber": j.of(LineItem).l_linenumber}).df()
+
+
+@query("SELECT n_name, s_suppkey FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 0")
+def join_left_scoped(s):
+    return Query(s, Nation, scoped=True).left_join(SUPPLIERS).select(lambda j: {"n_name": j.of(Nation).n_name, "s_suppkey": j.of(Supplier).s_suppkey}).df()
+
+
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def join_chain3(s):
+    q = Query(s, Order).join(CUSTOMER).join(NATION).join(REGION)
+    return q.select(lambda j: {"o_orderkey": j.of(Order).o_orderkey, "c_name": j.of(Customer).c_name, "n_name": j.of(Nation).n_name, "r_name": j.of(Region).r_name}).df()
+
+
+@query("SELECT p_brand, s_nationkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_brand, s_nationkey")
+def join_star(s):
+    q = Query(s, LineItem).join(ITEM_PART).join(ITEM_SUPPLIER)
+    made = q.select(lambda j: {"p_brand": j.of(Part).p_brand, "s_nationkey": j.of(Supplier).s_nationkey, "n": agg.count()})
+    return made.group_by(lambda j: j.of(Part).p_brand, lambda j: j.of(Supplier).s_nationkey).df()
+
+
+@query("SELECT o_orderkey, c_name, l_linenumber FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+def join_mixed(s):
+    q = Query(s, Order).where(lambda c: c.o_orderstatus == "P").join(CUSTOMER).left_join(ITEMS)
+    return q.select(lambda j: {"o_orderkey": j.of(Order).o_orderkey, "c_name": j.of(Customer).c_name, "l_linenumber": j.of(LineItem).l_linenumber}).df()
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_acctbal > 9000 AND n_regionkey = 1) OR c_acctbal < -900")
+def join_where(s):
+    q = Query(s, Customer).join(NATION).where(lambda j: j.of(Customer).c_acctbal > 9000).where(lambda j: j.of(Nation).n_regionkey == 1)
+    return q.or_where(lambda j: j.of(Customer).c_acctbal < -900).select(lambda j: {"c_custkey": j.of(Customer).c_custkey, "n_name": j.of(Nation).n_name}).df()
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 5")
+def join_order_limit(s):
+    q = Query(s, Order).join(CUSTOMER).order_by(lambda j: j.of(Order).o_totalprice, descending=True).order_by(lambda j: j.of(Order).o_orderkey).offset(5).limit(7)
+    return q.df().select("t0.o_orderkey", "t1.c_name")
+
+
+@query("SELECT count(*) AS count FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 25")
+def join_count(s):
+    return Query(s, Order).join(ITEMS).where(lambda j: j.of(LineItem).l_quantity > 25).count_df()
+
+
+@query("SELECT DISTINCT o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_project(s):
+    return Query(s, Order).join(CUSTOMER).select(lambda j: {"o_orderpriority": j.of(Order).o_orderpriority, "c_mktsegment": j.of(Customer).c_mktsegment}).distinct().df()
+
+
+@query("SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 55 ORDER BY n DESC, n_name LIMIT 8")
+def join_group_having(s):
+    made = Query(s, Customer).join(NATION).select(lambda j: {"n_name": j.of(Nation).n_name, "n": agg.count(), "mean": F.round(agg.average(j.of(Customer).c_acctbal), 2)})
+    return made.group_by(lambda j: j.of(Nation).n_name).having(lambda j: agg.count() > 55).order_by("n", descending=True).order_by("n_name").limit(8).df()
+
+
+@query("SELECT l_linenumber, o_orderkey FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey")
+def join_right(s):
+    return Query(s, LineItem).right_join(ITEM_ORDER).select(lambda j: {"l_linenumber": j.of(LineItem).l_linenumber, "o_orderkey": j.of(Order).o_orderkey}).df()
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(s):
+    return Query(s, Region).cross_join(Nation).select(lambda j: {"r_name": j.of(Region).r_name, "n_name": j.of(Nation).n_name}).df()
+
+
+# existence and counts
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def where_has(s):
+    return Query(s, Order).where_has(ITEMS).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 8000) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)")
+def where_has_cond(s):
+    q = Query(s, Order).where_has(CUSTOMER, lambda c: c.c_acctbal > 8000).where_has(ITEMS, lambda c: c.l_quantity >= 49)
+    return q.select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+def where_has_pivot(s):
+    return Query(s, Part).where_has(PART_SUPPLIERS).select(lambda c: {"p_partkey": c.p_partkey}).df()
+
+
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 9500)")
+def where_has_pivot_cond(s):
+    return Query(s, Part).where_has(PART_SUPPLIERS, lambda c: c.s_acctbal > 9500).select(lambda c: {"p_partkey": c.p_partkey}).df()
+
+
+@query("SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900))")
+def where_has_nested(s):
+    return Query(s, Region).where_has(NATIONS, lambda n: n.where_has(CUSTOMERS, lambda c: c.c_acctbal > 9900)).select(lambda c: {"r_name": c.r_name}).df()
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal < -800 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey
+          AND (o_totalprice > 400000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 50)))""")
+def where_has_nested_or(s):
+    q = Query(s, Customer).where(lambda c: c.c_acctbal < -800)
+    q = q.or_where_has(ORDERS, lambda o: (o.o_totalprice > 400000) | o.where_has(ITEMS, lambda i: i.l_quantity >= 50))
+    return q.select(lambda c: {"c_custkey": c.c_custkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def doesnt_have(s):
+    return Query(s, Order).doesnt_have(ITEMS).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def doesnt_have_one(s):
+    return Query(s, Document).doesnt_have(LABEL).select(lambda c: {"doc_id": c.doc_id}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size > 10)")
+def doesnt_have_pivot(s):
+    return Query(s, Order).doesnt_have(ORDER_PARTS, lambda p: p.p_size > 10).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount >= 0.1)")
+def or_where_has(s):
+    return Query(s, Order).where(lambda c: c.o_totalprice > 300000).or_where_has(ITEMS, lambda i: i.l_discount >= 0.1).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def or_doesnt_have(s):
+    return Query(s, Order).where(lambda c: c.o_totalprice > 300000).or_doesnt_have(ITEMS).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query(f"SELECT {_C}, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer")
+def with_count(s):
+    return Query(s, Customer).with_count(ORDERS, name="n_orders").df()
+
+
+@query(f"SELECT {_C}, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AS n_orders FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+def with_count_cond(s):
+    q = Query(s, Customer).order_by(lambda c: c.c_acctbal, descending=True).order_by(lambda c: c.c_custkey).limit(50)
+    return q.with_count(ORDERS, lambda o: o.o_totalprice > 250000, name="n_orders").df()
+
+
+@query("SELECT p_partkey, (SELECT count(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 5000) AS n FROM part")
+def with_count_pivot(s):
+    return Query(s, Part).with_count(PART_SUPPLIERS, lambda c: c.s_acctbal > 5000, name="n").df().select("p_partkey", "n")
+
+
+@query("SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) >= 12")
+def has_count(s):
+    return Query(s, Customer).has(ORDERS, lambda n: n >= 12).select(lambda c: {"c_custkey": c.c_custkey}).df()
+
+
+@query("SELECT p_partkey FROM part WHERE (SELECT count(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND s_acctbal > 9000) < 2")
+def has_count_cond(s):
+    return Query(s, Part).has(PART_SUPPLIERS, lambda n: n < 2, lambda c: c.s_acctbal > 9000).select(lambda c: {"p_partkey": c.p_partkey}).df()
+
+
+@query("SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM events WHERE user_id = c_custkey) = 0")
+def has_count_zero(s):
+    return Query(s, Customer).has(EVENTS, lambda n: n == 0).select(lambda c: {"c_custkey": c.c_custkey}).df()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 9500 OR (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) >= 18")
+def has_count_or(s):
+    return Query(s, Customer).where(lambda c: c.c_acctbal > 9500).or_where(lambda c: c.has(ORDERS, lambda n: n >= 18)).select(lambda c: {"c_custkey": c.c_custkey}).df()
+
+
+@query("SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_regionkey = r_regionkey AND c_acctbal > 9990)")
+def where_has_through(s):
+    return Query(s, Region).where_has(REGION_CUSTOMERS, lambda c: c.c_acctbal > 9990).select(lambda c: {"r_name": c.r_name}).df()
+
+
+# scopes
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F' AND o_totalprice > 350000)")
+def scope_transitive_exists(s):
+    return Query(s, Customer, scoped=True).where_has(TRASHABLE, lambda o: o.o_totalprice > 350000).select(lambda c: {"c_custkey": c.c_custkey}).df()
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F') AS n FROM customer")
+def scope_transitive_count(s):
+    return Query(s, Customer, scoped=True).with_count(TRASHABLE, name="n").df().select("c_custkey", "n")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'F'")
+def scope_transitive_join(s):
+    return Query(s, Customer, scoped=True).left_join(TRASHABLE).select(lambda j: {"c_custkey": j.of(Customer).c_custkey, "o_orderkey": j.of(TrashableOrder).o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders")
+def with_trashed(s):
+    return Repo(s, TrashableOrder, [SoftDeletes(TrashableOrder)]).with_trashed().select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def only_trashed(s):
+    return Repo(s, TrashableOrder, [SoftDeletes(TrashableOrder)]).only_trashed().select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND (o_totalprice > 300000 OR o_custkey < 10)")
+def scope_holds_under_or(s):
+    q = Repo(s, TrashableOrder, [SoftDeletes(TrashableOrder)]).query().where(lambda c: c.o_totalprice > 300000)
+    return q.or_where(lambda c: c.o_custkey < 10).select(lambda c: {"o_orderkey": c.o_orderkey}).df()
+
+
+# eager and lazy loading; lists become counts and sums, which compare alike everywhere
+
+
+def _sizes(q: EagerQuery, key: str, *lists: tuple[str, str]) -> DataFrame:
+    rows = q.df()
+    total = lambda k, c: F.aggregate(F.col(f"related_{k}"), F.lit(0).cast("bigint"), lambda a, x: a + x[c].cast("bigint"))
+    return rows.select(key, *[x for k, (name, c) in enumerate(lists) for x in (F.size(f"related_{k}").cast("bigint").alias(f"n_{name}"), total(k, c).alias(f"sum_{name}"))])
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS sum_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def eager_has_many(s):
+    return _sizes(Query(s, Customer).with_related(ORDERS), "c_custkey", ("orders", "o_orderkey"))
+
+
+@query("SELECT p_partkey, count(s_suppkey) AS n_suppliers, CAST(coalesce(sum(s_suppkey), 0) AS BIGINT) AS sum_suppliers FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_partkey")
+def eager_pivot(s):
+    return _sizes(Query(s, Part).with_related(PART_SUPPLIERS), "p_partkey", ("suppliers", "s_suppkey"))
+
+
+@query("SELECT r_regionkey, count(c_custkey) AS n_customers, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS sum_customers FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")
+def eager_through(s):
+    return _sizes(Query(s, Region).with_related(REGION_CUSTOMERS), "r_regionkey", ("customers", "c_custkey"))
+
+
+@query("SELECT r_regionkey, count(s_suppkey) AS n_suppliers, CAST(coalesce(sum(s_suppkey), 0) AS BIGINT) AS sum_suppliers FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_regionkey")
+def eager_via(s):
+    return _sizes(Query(s, Region).with_related(REGION_SUPPLIERS_VIA), "r_regionkey", ("suppliers", "s_suppkey"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS sum_orders FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey")
+def eager_cond(s):
+    q = Query(s, Customer).order_by(lambda c: c.c_acctbal, descending=True).order_by(lambda c: c.c_custkey).limit(100)
+    return _sizes(q.with_related(ORDERS, lambda o: o.o_orderstatus == "O"), "c_custkey", ("orders", "o_orderkey"))
+
+
+@query("""SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_customers, (SELECT CAST(coalesce(sum(c_custkey), 0) AS BIGINT) FROM customer WHERE c_nationkey = n_nationkey) AS sum_customers,
+          (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_suppliers, (SELECT CAST(coalesce(sum(s_suppkey), 0) AS BIGINT) FROM supplier WHERE s_nationkey = n_nationkey) AS sum_suppliers FROM nation""")
+def eager_chain(s):
+    return _sizes(Query(s, Nation).with_related(CUSTOMERS).with_related(SUPPLIERS), "n_nationkey", ("customers", "c_custkey"), ("suppliers", "s_suppkey"))
+
+
+@query("SELECT p_partkey, count(l_orderkey) AS n, CAST(coalesce(sum(l_orderkey + s_suppkey), 0) AS BIGINT) AS both_keys FROM part LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON l_partkey = p_partkey AND l_quantity > 40 GROUP BY p_partkey")
+def eager_with_pivot(s):
+    rows = Query(s, Part).with_related_and_pivot(LINKS, pivot=lambda v: v.l_quantity > 40).df()
+    both = F.aggregate("related_0", F.lit(0).cast("bigint"), lambda a, x: a + x["pivot"]["l_orderkey"] + x["target"]["s_suppkey"])
+    return rows.select("p_partkey", F.size("related_0").cast("bigint").alias("n"), both.alias("both_keys"))
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_custkey = 7")
+def lazy_load(s):
+    return lazy_rows(s, ORDERS, 7)
+
+
+# order, extent, pages
+
+
+@query("SELECT o_orderkey, NULLIF(o_orderpriority, '5-LOW') AS priority FROM orders ORDER BY priority DESC NULLS FIRST, o_orderkey LIMIT 40")
+def order_nulls(s):
+    q = Query(s, Order).select(lambda c: {"o_orderkey": c.o_orderkey, "priority": F.nullif(c.o_orderpriority, F.lit("5-LOW"))})
+    return q.order_by("priority", descending=True, nulls="first").order_by("o_orderkey").limit(40).df()
+
+
+@query(f"SELECT {_O} FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+def order_limit_offset(s):
+    return Query(s, Order).limit(25).offset(50).order_by(lambda c: c.o_totalprice, descending=True).order_by(lambda c: c.o_orderkey).df()
+
+
+@query(f"SELECT {_O} FROM orders ORDER BY length(o_orderpriority) DESC, o_orderkey LIMIT 5")
+def order_raw(s):
+    return Query(s, Order).order_by_raw("length(o_orderpriority) DESC").order_by_raw("o_orderkey").limit(5).df()
+
+
+@query(f"SELECT {_O} FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def first_row(s):
+    return Query(s, Order).order_by(lambda c: c.o_orderdate).order_by(lambda c: c.o_orderkey).limit(1).df()
+
+
+@query(f"SELECT {_C} FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40")
+def paginate_offset(s):
+    return Query(s, Customer).order_by(lambda c: c.c_custkey).offset(2 * 20).limit(20).df()
+
+
+@query(f"SELECT {_C} FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 20")
+def paginate_keyset(s):
+    return Query(s, Customer).keyset_paginate(20).asc(lambda c: c.c_custkey).after(100).df()
+
+
+@query(f"SELECT {_O} FROM orders WHERE o_orderpriority > '2-HIGH' OR (o_orderpriority = '2-HIGH' AND (o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 5))) ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 30")
+def paginate_keyset_mixed(s):
+    page = Query(s, Order).keyset_paginate(30).asc(lambda c: c.o_orderpriority).desc(lambda c: c.o_totalprice).asc(lambda c: c.o_orderkey)
+    return page.after("2-HIGH", 200000.0, 5).df()
+
+
+# row changes: the table as it is afterwards
+
+
+def _nations(s):
+    return s.table(Nation.meta)
+
+
+def _new_nations(s, *rows):
+    return s.spark.createDataFrame(rows, Nation.meta.schema)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def update_where(s):
+    return dml.updated(_nations(s), F.col("n_regionkey") == 1, {"n_name": F.lit("CHANGED")})
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+def update_expr(s):
+    return dml.updated(s.table(Customer.meta), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.expr("c_acctbal * 2")})
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 10 THEN n_regionkey + 3 ELSE n_regionkey END AS n_regionkey FROM nation")
+def increment(s):
+    return dml.updated(_nations(s), F.col("n_nationkey") < 10, {"n_regionkey": F.col("n_regionkey") + 3})
+
+
+@query("SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status FROM orders WHERE NOT coalesce(NULLIF(o_orderstatus, 'P') = 'F', false)")
+def delete_where(s):
+    rows = Query(s, Order).select(lambda c: {"o_orderkey": c.o_orderkey, "status": F.nullif(c.o_orderstatus, F.lit("P"))}).df()
+    return dml.deleted(rows, F.col("status") == "F")
+
+
+@query("SELECT * FROM nation WHERE n_nationkey NOT IN (3, 4) UNION ALL SELECT 3, 'THREE', 0 UNION ALL SELECT 4, 'FOUR', 1 UNION ALL SELECT 99, 'NEW', 2")
+def upsert_by_pk(s):
+    return dml.upserted(_nations(s), _new_nations(s, (3, "THREE", 0), (4, "FOUR", 1), (99, "NEW", 2)), ["n_nationkey"])
+
+
+@query("SELECT * FROM nation WHERE n_nationkey NOT IN (1, 2, 3)")
+def delete_by_ids(s):
+    return dml.deleted_by_keys(_nations(s), s.spark.createDataFrame([(1,), (2,), (3,)], "n_nationkey int"), ["n_nationkey"])
+
+
+@query("SELECT * FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 1, 'A', 0 UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 2, 'B', 1")
+def insert_append(s):
+    new = s.spark.createDataFrame([("A", 0), ("B", 1)], "n_name string, n_regionkey int")
+    return dml.appended(_nations(s), dml.numbered(_nations(s), new, "n_nationkey", ["n_name"]))
+
+
+@query("SELECT * FROM nation UNION ALL SELECT 77, 'NEW', 2")
+def insert_ignore(s):
+    return dml.inserted_ignoring(_nations(s), _new_nations(s, (5, "IGNORED", 0), (77, "NEW", 2)), ["n_nationkey"])
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 5 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 77, 'NEW', 2")
+def upsert_conflict(s):
+    new = _new_nations(s, (5, "KEPT", 10), (77, "NEW", 2))
+    return dml.upserted(_nations(s), new, ["n_nationkey"], {"n_regionkey": F.col("old.n_regionkey") + F.col("new.n_regionkey")})
+
+
+@query("SELECT * FROM nation UNION ALL SELECT 70, 'X', 0 UNION ALL SELECT 71, 'Y', 0")
+def insert_all_ignoring(s):
+    return dml.inserted_ignoring(_nations(s), _new_nations(s, (1, "A", 0), (70, "X", 0), (71, "Y", 0), (2, "B", 0)), ["n_nationkey"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN o_orderdate WHEN o_custkey < 20 THEN TIMESTAMP '2030-01-01' END AS deleted_at FROM orders")
+def soft_delete(s):
+    now = F.expr("TIMESTAMP_NTZ '2030-01-01'")
+    values = SoftDeletes(TrashableOrder, lambda: now).rewrite_delete(TrashableOrder.meta)
+    return dml.updated(s.table(TrashableOrder.meta), (F.col("o_custkey") < 20) & F.col("deleted_at").isNull(), values)
+
+
+def _links(s):
+    return s.frame("lineitem").select("l_partkey", "l_suppkey")
+
+
+@query("SELECT l_partkey, l_suppkey FROM lineitem WHERE NOT (l_partkey = 1 AND l_suppkey IN (1, 2, 3, 4, 5))")
+def pivot_detach(s):
+    return dml.deleted(_links(s), (F.col("l_partkey") == 1) & F.col("l_suppkey").isin(1, 2, 3, 4, 5))
+
+
+@query("""WITH have AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = 1), want AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])::BIGINT AS l_suppkey)
+          SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> 1 OR l_suppkey IN (SELECT l_suppkey FROM want)
+          UNION ALL SELECT 1::BIGINT, l_suppkey FROM want WHERE l_suppkey NOT IN (SELECT l_suppkey FROM have)""")
+def pivot_sync(s):
+    want = s.spark.range(1, 11).select(F.col("id").alias("l_suppkey"))
+    have = _links(s).where("l_partkey = 1")
+    state = dml.sync_difference(have, want, ["l_suppkey"])
+    gone = state.where("state = 'detached'").select(F.lit(1).cast("bigint").alias("l_partkey"), "l_suppkey")
+    new = state.where("state = 'attached'").select(F.lit(1).cast("bigint").alias("l_partkey"), "l_suppkey")
+    return dml.appended(dml.deleted_by_keys(_links(s), gone, ["l_partkey", "l_suppkey"]), new)
+
+
+@query("""WITH have AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = 1), want AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])::BIGINT AS l_suppkey)
+          SELECT coalesce(have.l_suppkey, want.l_suppkey) AS l_suppkey, CASE WHEN have.l_suppkey IS NULL THEN 'attached' WHEN want.l_suppkey IS NULL THEN 'detached' ELSE 'unchanged' END AS state
+          FROM have FULL JOIN want ON have.l_suppkey = want.l_suppkey""")
+def pivot_sync_diff(s):
+    return dml.sync_difference(_links(s).where("l_partkey = 1"), s.spark.range(1, 11).select(F.col("id").alias("l_suppkey")), ["l_suppkey"])
+
+
+# raw SQL, verification
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000.5 AND o_orderpriority IN ('1-URGENT', '3-MEDIUM')")
+def raw_sql_params(s):
+    s.views("orders")
+    test = sql("o_totalprice > :least AND array_contains(:priorities, o_orderpriority)", least=300000.5, priorities=["1-URGENT", "3-MEDIUM"])
+    return s.sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = :status AND :test", status="O", test=test)
+
+
+@query("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000 WHERE c.c_acctbal > 9000")
+def raw_sql_join(s):
+    s.views("customer", "orders")
+    c, o = TableInfo(Customer.meta).alias("c"), TableInfo(Order.meta).alias("o")
+    return s.sql(
+        "SELECT :ck, :ok FROM :c LEFT JOIN :o ON :fk = :ck AND :price > :least WHERE :bal > :rich",
+        ck=c.c_custkey, ok=o.o_orderkey, c=c.table, o=o.table, fk=o.o_custkey, price=o.o_totalprice, bal=c.c_acctbal, least=300000, rich=9000,
+    )
+
+
+@query(None)
+def verify_schema(s):
+    return issues_df(s, Region, Nation, Customer, Supplier, Part, Order, LineItem, Document)
