@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +40,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that Python workers can import this package: it goes to them as a
+    file of the job, so it does not matter where executors run or what their paths are."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_lakeloom_shipped", False):
+        here = pathlib.Path(__file__).parent
+        packed = pathlib.Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom.zip"
+        with zipfile.ZipFile(packed, "w") as out:
+            for source in [here.parent / "__init__.py", *sorted(here.glob("*.py"))]:
+                out.write(source, str(pathlib.Path("lakeloom") / source.relative_to(here.parent)))
+        context.addPyFile(str(packed))
+        context._lakeloom_shipped = True
+    return df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished phases now, not at some later time."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

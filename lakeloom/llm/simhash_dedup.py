@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shipped, stored
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": [fingerprint(t) for t in frame["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return shipped(docs).select("doc_id", "text").mapInPandas(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def _segment(fp: Column, k: int) -> Column:
