@@ -157,7 +157,7 @@ class EntityMeta:
         return {f.column: f.kind.encode(getattr(record, f.attr)) for f in self.fields if f.attr in record.__dict__}
 
     def key_of(self, record: Any) -> tuple:
-        return tuple(getattr(record, self.by_column[k].attr) for k in self.keys)
+        return tuple(getattr(record, self.by_column[k].attr, None) for k in self.keys)
 
 
 class Entity:

@@ -15,6 +15,7 @@ from ..model import CapabilityError, DefinitionError, EntityMeta, NotFound
 from ..rawsql import bound
 from ..relations import Relation, meta_of
 from ..sources.session import Session
+from ..streaming.records import chunks, records
 from . import dml
 from .eager import EagerQuery, target_rows
 from .exists import Cond, Condition, exists_column, related, with_counts, with_semi
@@ -180,8 +181,7 @@ class Query:
             return [self.meta.record(r) for r in self.df().collect()]
 
     def iterate(self) -> Iterator:
-        for row in self.df().toLocalIterator(prefetchPartitions=True):
-            yield self.meta.record(row)
+        return records(self.df(), self.meta.record)
 
     def first(self) -> Any:
         return next(iter(self.limit(1).run()), None)
@@ -263,20 +263,7 @@ class Query:
 
     def chunk(self, size: int) -> Iterator[list]:
         """Lists of at most ``size`` records, from one ordered plan."""
-        if size < 1:
-            raise ValueError("chunks need a positive size")
-
-        def batches() -> Iterator[list]:
-            held: list = []
-            for record in self.iterate():
-                held.append(record)
-                if len(held) == size:
-                    yield held
-                    held = []
-            if held:
-                yield held
-
-        return batches()
+        return chunks(self.iterate(), size)
 
     # changes; they pass by hooks and soft deletes, as plain statements do
 
