@@ -142,4 +142,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no item was found, with their own columns."""
     gone = matches(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
     version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (version == F.col("_version")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (version == gone["_version"]), "left_anti")

@@ -83,20 +83,17 @@ def _gone(bitmap: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines that stay, plus n_lines (before) and n_dropped.
-    The bitmaps, not the lines, travel to the documents."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with ``text`` reduced to the lines that stay, plus the numbers of lines before and of
+    dropped ones under the names ``counts``. The bitmaps, not the lines, travel to the documents."""
     marks = drop_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("bitmap").alias("_bitmap"))
     version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_doc")) & (version == F.col("_version")), "left")
-    n_lines = F.size(_lines(docs["text"]))
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (version == marks["_version"]), "left")
+    text, bitmap = docs["text"], marks["_bitmap"]
     return joined.select(
-        *[
-            F.when(F.col("_bitmap").isNull(), docs["text"]).otherwise(_rebuilt(docs["text"], F.col("_bitmap"))).alias("text") if c == "text" else docs[c]
-            for c in docs.columns
-        ],
-        n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("_bitmap", F.lit(0), lambda n, x: n + F.bit_count(x["bits"])), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.when(bitmap.isNull(), text).otherwise(_rebuilt(text, bitmap)).alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counts],
+        F.size(_lines(text)).cast("long").alias(counts[0]),
+        F.coalesce(F.aggregate(bitmap, F.lit(0), lambda n, x: n + F.bit_count(x["bits"])), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 

@@ -153,4 +153,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without the members of a component other than its smallest doc_id. Rows without a
     doc_id have no place in an order: they stay."""
     found = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")

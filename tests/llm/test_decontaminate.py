@@ -17,11 +17,13 @@ def best(text, item):
     """Greatest weighted similarity of an item-sized window, over all windows."""
     have, want = shingles(text), shingles(item)
     found = 0.0
+    if not want:
+        return found
     for at in range(max(0, len(have) - len(want) + 1)):
         window = Counter(have[at : at + len(want)])
         common = sum((window & Counter(want)).values())
         found = max(found, common / (2 * len(want) - common))
-    return found if want else 0.0
+    return found
 
 
 def sentence(rng, n):
