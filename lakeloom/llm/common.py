@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -31,13 +32,43 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def _fresh_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
+
+
+def _stored_at(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage is cut, the
     rows are compressed and columnar, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored_at(df, _fresh_path(df.sparkSession))
+
+
+class Scratch:
+    """Intermediate tables that are deleted as soon as a later one has taken their place."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = _fresh_path(self.spark)
+        self.held.append((_stored_at(df, path), path))
+        return self.held[-1][0]
+
+    def drop(self, *frames: DataFrame) -> None:
+        gone = [x for x in self.held if any(x[0] is f for f in frames)]
+        self.held = [x for x in self.held if not any(x is g for g in gone)]
+        for _, path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        release(self.spark)
+
+    def clear(self) -> None:
+        self.drop(*[frame for frame, _ in self.held])
 
 
 def shipped(df: DataFrame) -> DataFrame:
@@ -55,6 +86,23 @@ def shipped(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Stands for a missing integer id on the way through pandas, which would make such ids floats.
+NO_ID = -(1 << 63)
+
+
+def masked(df: DataFrame, key: str) -> DataFrame:
+    """Integer ids without nulls, for Python workers."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return df.withColumn(key, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+    return df
+
+
+def unmasked(df: DataFrame, key: str, kind: T.DataType) -> DataFrame:
+    if isinstance(kind, T.IntegralType):
+        return df.withColumn(key, F.nullif(F.col(key), F.lit(NO_ID)).cast(kind))
+    return df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished phases now, not at some later time."""
     gc.collect()

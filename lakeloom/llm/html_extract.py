@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, stored
+from .common import masked, shipped, stored, unmasked
 
 SALTS = 64
 #: A task hands on its partial wrappers when it holds this many hosts.
@@ -295,5 +295,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(read(parse(source), known[wrapper]))
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts})
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return shipped(rows).select("page_id", "url", "html", "wrapper").mapInPandas(batches, f"page_id {kind}, url string, text string")
+    rows = masked(shipped(rows).select("page_id", "url", "html", "wrapper"), "page_id")
+    texts = rows.mapInPandas(batches, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return unmasked(texts, "page_id", pages.schema["page_id"].dataType)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, stored
+from .common import masked, shipped, stored, unmasked
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -68,7 +68,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": [fingerprint(t) for t in frame["text"]]})
 
-    return shipped(docs).select("doc_id", "text").mapInPandas(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = masked(shipped(docs).select("doc_id", "text"), "doc_id")
+    found = rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return unmasked(found, "doc_id", docs.schema["doc_id"].dataType)
 
 
 def _segment(fp: Column, k: int) -> Column:

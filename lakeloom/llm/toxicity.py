@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, stored
+from .common import masked, shipped, stored, unmasked
 
 #: Bound of the labelled rows that are fitted on.
 FIT_ROWS = 24_000
@@ -215,4 +215,6 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [score(t) for t in frame["text"]]})
 
-    return shipped(docs).select("doc_id", "text").mapInPandas(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    rows = masked(shipped(docs).select("doc_id", "text"), "doc_id")
+    found = rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return unmasked(found, "doc_id", docs.schema["doc_id"].dataType)
