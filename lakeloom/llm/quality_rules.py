@@ -2,8 +2,8 @@
 operations only.
 
 Each text becomes a vector of four transformed statistics (word length, symbol share, repeated
-lines, repeated word windows). Per language and source the half-and-quarter of the rows with the
-least determinant is sought: from coordinate-wise medians, concentration steps take the rows within
+lines, repeated word windows). Per language and source the three quarters of the rows with the
+least covariance determinant are sought: from coordinate-wise medians, concentration steps take the rows within
 the 75 % quantile of the Mahalanobis distance and estimate centre and covariance anew. Rows beyond
 the ``SURE`` quantile of the fitted distance are rejected.
 
@@ -154,13 +154,15 @@ def grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("n_lang") >= MIN_ROWS, F.concat_ws("\x01", F.lit("lang"), "lang"))
         .otherwise("all").alias("group"),
     )
-    return rows.join(keys, ["lang", "source"], "left")
+    return rows.join(stored(keys), ["lang", "source"], "left")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(group, n, m<i>, l<i><j>): centre and Cholesky factor of the scatter of each group."""
     usable = rows.where(~F.col("base_failed")).select("group", *FEATURES)
-    middle = usable.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile(F.round(f, 3), F.lit(0.5)).alias(f"m{i}") for i, f in enumerate(FEATURES)])
+    # small tables are stored before they are joined: their size is then known, and where they are
+    # too large to broadcast, a join that shuffles both sides can be split at a hot group
+    middle = stored(usable.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile(F.round(f, 3), F.lit(0.5)).alias(f"m{i}") for i, f in enumerate(FEATURES)]))
     spread = usable.join(middle, "group").groupBy("group").agg(
         F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_P)],
         *[F.percentile(F.round(F.abs(F.col(f) - F.col(f"m{i}")), 3), F.lit(0.5)).alias(f"s{i}") for i, f in enumerate(FEATURES)],
@@ -173,7 +175,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     factor = CORE / _chi2_even(chi2_quantile(CORE, _P), _P + 2)
     for _ in range(STEPS):
         placed = usable.join(state, "group").withColumn("d2", _rounded(_distance(), 1e4, 2))
-        cut = placed.groupBy("group").agg(F.percentile("d2", F.lit(CORE)).alias("cut"))
+        cut = stored(placed.groupBy("group").agg(F.percentile("d2", F.lit(CORE)).alias("cut")))
         core = placed.join(cut, "group").where(F.col("d2") <= F.col("cut"))
         moments = core.groupBy("group").agg(
             F.first("n").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
@@ -190,7 +192,8 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """The statistics of each row, its squared distance and whether it is kept."""
-    rows = stored(grouped(_features(statistics(docs))))
+    measured = stored(_features(statistics(docs)))  # texts are read once, all else works on the vectors
+    rows = stored(grouped(measured))
     found = rows.join(estimates(rows), "group", "left").withColumn("distance", _distance())
     outlier = F.coalesce((F.col("n") >= MIN_ROWS) & (F.col("distance") > chi2_quantile(SURE, _P)), F.lit(False))
     return found.select(*rows.columns, "distance", (~F.col("base_failed") & ~outlier).alias("kept"))
@@ -200,4 +203,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that the rules keep, with their own columns."""
     gone = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
     version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (version == F.col("_version")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]) & (version == gone["_version"]), "left_anti")
