@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -51,7 +52,13 @@ class Vocabulary:
         if len(self.bytes) != 256:
             raise ValueError("the model has no piece for every byte")
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: Pieces as a tree: character -> (tree of what may follow, id or -1, score).
+        self.tree: dict = {}
+        for piece, (i, worth) in sorted(self.pieces.items()):
+            node = self.tree
+            for char in piece[:-1]:
+                node = node.setdefault(char, ({}, -1, 0.0))[0]
+            node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, i, worth)
         self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.joined = set("".join(self.inside))
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
@@ -92,16 +99,15 @@ class StreamingViterbi:
     def _extend(self, at: int) -> None:
         """Adds the pieces that start at ``at``."""
         v, text, best = self.v, self.text, self.best
-        score, single = best[at][0], False
-        for stop in range(at + 1, min(at + v.longest, len(text)) + 1):
-            piece = text[at:stop]
-            if piece not in v.prefixes:
+        score, node = best[at][0], v.tree
+        single = node.get(text[at], (None, -1))[1] >= 0
+        for stop in range(at, len(text)):
+            found = node.get(text[stop])
+            if found is None:
                 break
-            if piece in v.pieces:
-                i, worth = v.pieces[piece]
-                single |= stop == at + 1
-                if stop not in best or score + worth > best[stop][0]:
-                    best[stop] = (score + worth, at, i)
+            node, i, worth = found
+            if i >= 0 and (stop + 1 not in best or score + worth > best[stop + 1][0]):
+                best[stop + 1] = (score + worth, at, i)
         if not single and (at + 1 not in best or score + v.unknown > best[at + 1][0]):
             best[at + 1] = (score + v.unknown, at, None)
 
@@ -147,28 +153,25 @@ class Codec:
     def _within_window(self, text: str) -> tuple[int, ...]:
         """The search for a stretch that one window holds: nothing is committed before its end."""
         v, n = self.v, len(text)
-        pieces, prefixes, longest = v.pieces, v.prefixes, v.longest
-        score: list[float | None] = [0.0] + [None] * n
-        back: list[tuple[int, int | None]] = [(0, None)] * (n + 1)
+        tree, unknown = v.tree, v.unknown
+        score = [0.0] + [-math.inf] * n
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         for at in range(n):
-            base, single = score[at], False
-            for stop in range(at + 1, min(at + longest, n) + 1):
-                piece = text[at:stop]
-                if piece not in prefixes:
+            base, node = score[at], tree
+            for stop in range(at, n):
+                found = node.get(text[stop])
+                if found is None:
                     break
-                found = pieces.get(piece)
-                if found:
-                    single |= stop == at + 1
-                    total = base + found[1]
-                    if score[stop] is None or total > score[stop]:
-                        score[stop], back[stop] = total, (at, found[0])
-            if not single and (score[at + 1] is None or base + v.unknown > score[at + 1]):
-                score[at + 1], back[at + 1] = base + v.unknown, (at, None)
+                node, i, worth = found
+                if i >= 0 and base + worth > score[stop + 1]:
+                    score[stop + 1], back[stop + 1] = base + worth, (at, i)
+            if base + unknown > score[at + 1] and tree.get(text[at], (None, -1))[1] < 0:
+                score[at + 1], back[at + 1] = base + unknown, (at, -1)
         out: list[int] = []
         at = n
         while at:
             start, i = back[at]
-            out += [i] if i is not None else v.spelled(text[start])[::-1]
+            out += [i] if i >= 0 else v.spelled(text[start])[::-1]
             at = start
         return tuple(out[::-1])
 
