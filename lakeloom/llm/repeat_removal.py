@@ -27,13 +27,14 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shipped, stored
+from .common import Scratch, masked, shipped, stored, unmasked
 
 LENGTH = 200
 GRAM = 48
@@ -210,58 +211,62 @@ def _pieces(data: np.ndarray, rolling: Rolling) -> Iterator[np.ndarray]:
 
 
 def compare_buckets(segments: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, version, lo, stop, f1, f2, n): repeated spans with null f1, and the strings of the
-    runs at bucket boundaries with their fingerprints."""
+    """(doc_id, version, lo, stop, f1, f2, n): repeated spans with null f1, and the distinct strings of
+    the runs at bucket boundaries with their fingerprints; n over 1 says that a span has them."""
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
         if not parts:
             return
         bucket = Bucket(pd.concat(parts, ignore_index=True), Rolling(2), Rolling(3))
         frame, owner, start = bucket.frame, bucket.owner, bucket.start
-        outer = bucket.outer[owner]
+        twin, outer = bucket.repeated(), bucket.outer[owner]
         single = frame["n"].to_numpy()[owner] == 1
-        inner = np.flatnonzero(bucket.repeated() & ~outer & single)
+        inner = np.flatnonzero(twin & single)
         if len(inner):
             new = np.concatenate([[True], (owner[inner][1:] != owner[inner][:-1]) | (start[inner][1:] != start[inner][:-1] + 1)])
             first, last = inner[new], inner[np.concatenate([new[1:], [True]])]
             yield _spans(frame, owner[first], start[first], start[last] + LENGTH)
+        # what the bucket itself repeats is settled: one of each stands for it at the boundary
         edge = np.flatnonzero(outer)
+        edge = edge[np.unique(np.stack([bucket.first[edge], bucket.second[edge]]), axis=1, return_index=True)[1]] if len(edge) else edge
         for at in range(0, len(edge), 200_000):
             k = edge[at : at + 200_000]
-            yield _spans(frame, owner[k], start[k], start[k] + LENGTH, bucket.first[k].view(np.int64), bucket.second[k].view(np.int64))
+            yield _spans(frame, owner[k], start[k], start[k] + LENGTH, bucket.first[k].view(np.int64), bucket.second[k].view(np.int64), twin[k])
 
     dealt = shipped(segments).repartitionByRange(buckets, "suffix")
     kind = segments.schema["doc_id"].dataType.simpleString()
     return dealt.mapInPandas(batches, f"doc_id {kind}, version int, lo int, stop int, f1 bigint, f2 bigint, n bigint")
 
 
-def _spans(frame: pd.DataFrame, owner: np.ndarray, lo: np.ndarray, stop: np.ndarray, f1=None, f2=None) -> pd.DataFrame:
+def _spans(frame: pd.DataFrame, owner: np.ndarray, lo: np.ndarray, stop: np.ndarray, f1=None, f2=None, settled=False) -> pd.DataFrame:
     own = frame[["doc_id", "version", "n"]].iloc[owner].reset_index(drop=True)
-    return pd.DataFrame({"doc_id": own["doc_id"], "version": own["version"], "lo": lo, "stop": stop, "f1": f1, "f2": f2, "n": own["n"]})
+    return pd.DataFrame({"doc_id": own["doc_id"], "version": own["version"], "lo": lo, "stop": stop, "f1": f1, "f2": f2, "n": own["n"] + settled})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, lo, stop): byte spans whose union is every repeated string."""
+def repeated_spans(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Tables of (doc_id, version, lo, stop): byte spans whose union is every repeated string."""
     spark = docs.sparkSession
-    found = stored(anchors(docs))
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    live = stored(found.join(often, "gram", "left_semi"))
-    release(spark)
-    segs = stored(live.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.first(F.struct("doc_id", "version", "off", "lo", "hi")).alias("rep")))
+    found = scratch.keep(anchors(docs))
+    # stored first: a join whose sides have shuffles of their own is split where a key is hot
+    often = scratch.keep(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    live = scratch.keep(found.join(often, "gram", "left_semi"))
+    scratch.drop(found, often)
+    segs = scratch.keep(live.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.first(F.struct("doc_id", "version", "off", "lo", "hi")).alias("rep")))
     copied = segs.where("n > 1").select("gram", "seg")
-    whole = live.join(copied, ["gram", "seg"], "left_semi").select("doc_id", "version", "lo", (F.col("hi") + LENGTH).alias("stop"))
-    several = segs.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    chosen = segs.join(several, "gram", "left_semi").select("gram", "n", "rep.*")
-    segments = stored(cut_segments(docs, chosen))
-    release(spark)
+    whole = scratch.keep(live.join(copied, ["gram", "seg"], "left_semi").select("doc_id", "version", "lo", (F.col("hi") + LENGTH).alias("stop")))
+    scratch.drop(live)
+    several = scratch.keep(segs.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"))
+    segments = scratch.keep(cut_segments(docs, segs.join(several, "gram", "left_semi").select("gram", "n", "rep.*")))
+    scratch.drop(segs, several)
     size = segments.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    compared = stored(compare_buckets(segments, buckets))
+    compared = scratch.keep(compare_buckets(segments, buckets))
+    scratch.drop(segments)
     inner = compared.where("f1 IS NULL").select("doc_id", "version", "lo", "stop")
     edge = compared.where("f1 IS NOT NULL")
     twice = edge.groupBy("f1", "f2").agg(F.count("*").alias("c")).where("c > 1").select("f1", "f2")
     across = edge.where("n = 1").join(twice, ["f1", "f2"], "left_semi").select("doc_id", "version", "lo", "stop")
-    return whole.unionByName(inner).unionByName(across)
+    return [whole, inner, across]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -277,12 +282,15 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
+    own, docs = docs.schema["doc_id"].dataType, masked(docs.select("doc_id", "text"), "doc_id")
+    scratch = Scratch(docs.sparkSession)
+    tables = repeated_spans(docs, scratch)
     spans = stored(
-        repeated_spans(docs)
+        reduce(DataFrame.unionByName, tables)
         .groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
         .agg(F.collect_list("lo").alias("lo"), F.collect_list("stop").alias("stop"))
     )
-    release(docs.sparkSession)
+    scratch.clear()
     texts = _versioned(docs)
     joined = texts.join(spans, texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["version"] == F.col("_version")), "left")
 
@@ -299,4 +307,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield found.assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return shipped(joined).select("doc_id", "text", "lo", "stop").mapInPandas(batches, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    found = shipped(joined).select("doc_id", "text", "lo", "stop").mapInPandas(batches, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return unmasked(found, "doc_id", own)
