@@ -13,9 +13,9 @@ and the bytes of a run a segment.
    that Spark samples; the bucket count follows the bytes. Each bucket sorts its suffixes by
    multikey quicksort (8-byte tokens, equal parts go on to the next token) and compares, within each
    run of suffixes with the same gram, all strings of the segments.
-3. The first and last run of a bucket may go on beyond its boundary: their strings meet in one more
-   exchange, by 128-bit fingerprint. A gram with very many distinct segments thus fills several
-   buckets and is compared across all their boundaries.
+3. A run of suffixes with one gram stays in one bucket, unless it has more than ``HOT_KINDS`` distinct
+   segments: then what follows the gram splits it over several buckets, and the strings of its parts
+   are compared across the boundaries in one more exchange, by 128-bit fingerprint.
 
 Nothing is capped; a hot key costs a row a task or is split by what follows it.
 
@@ -41,6 +41,8 @@ GRAM = 48
 #: Bytes hashed at a time, and bytes of segments to a bucket.
 BLOCK = 1 << 17
 BUCKET_BYTES = 6 << 20
+#: A gram with more distinct segments than this is dealt to several buckets.
+HOT_KINDS = 20_000
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -140,9 +142,10 @@ def _rows(parts: list) -> pd.DataFrame:
 
 
 def cut_segments(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(gram, n, doc_id, version, off, lo, hi, body, suffix) for each representative in ``chosen``."""
+    """(gram, n, kinds, doc_id, version, off, lo, hi, body, suffix, lead) for each representative in
+    ``chosen``; lead holds the leading tokens by which it is dealt."""
     runs_of = chosen.groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).agg(
-        F.collect_list(F.struct("gram", "n", "off", "lo", "hi")).alias("runs")
+        F.collect_list(F.struct("gram", "n", "kinds", "off", "lo", "hi")).alias("runs")
     )
     texts = _versioned(docs)
     # repeated rows have the same runs: one of them is enough
@@ -150,7 +153,8 @@ def cut_segments(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     cut = joined.select("doc_id", "version", F.encode("text", "UTF-8").alias("data"), F.explode("runs").alias("r"))
     body = F.expr(f"substring(data, r.lo + 1, r.hi - r.lo + {LENGTH})")
     found = cut.select("doc_id", "version", "r.*", body.alias("body")).dropDuplicates(["doc_id", "version", "lo"])
-    return found.withColumn("suffix", F.expr("substring(body, off + 1)"))
+    found = found.withColumn("suffix", F.expr("substring(body, off + 1)"))
+    return found.withColumn("lead", F.when(F.col("kinds") > HOT_KINDS, F.col("suffix")).otherwise(F.expr(f"substring(suffix, 1, {GRAM})")))
 
 
 def multikey_order(bodies: list[bytes]) -> np.ndarray:
@@ -182,11 +186,11 @@ def multikey_order(bodies: list[bytes]) -> np.ndarray:
 class Bucket:
     """One bucket of segments in suffix order, with the strings of all of them."""
 
-    def __init__(self, frame: pd.DataFrame, one: Rolling, two: Rolling):
+    def __init__(self, frame: pd.DataFrame, one: Rolling, two: Rolling, hot: int):
         order = multikey_order(frame["suffix"].tolist())
         self.frame = frame = frame.iloc[order].reset_index(drop=True)
         grams = frame["gram"].to_numpy()
-        self.outer = (grams == grams[0]) | (grams == grams[-1])
+        self.outer = ((grams == grams[0]) | (grams == grams[-1])) & (frame["kinds"].to_numpy() > hot)
         sizes = np.array([len(b) for b in frame["body"]])
         self.data = np.frombuffer(b"".join(frame["body"]), np.uint8)
         counts = sizes - LENGTH + 1
@@ -213,11 +217,13 @@ def _pieces(data: np.ndarray, rolling: Rolling) -> Iterator[np.ndarray]:
 def compare_buckets(segments: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, version, lo, stop, f1, f2, n): repeated spans with null f1, and the distinct strings of
     the runs at bucket boundaries with their fingerprints; n over 1 says that a span has them."""
+    hot = HOT_KINDS
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
         if not parts:
             return
-        bucket = Bucket(pd.concat(parts, ignore_index=True), Rolling(2), Rolling(3))
+        bucket = Bucket(pd.concat(parts, ignore_index=True), Rolling(2), Rolling(3), hot)
         frame, owner, start = bucket.frame, bucket.owner, bucket.start
         twin, outer = bucket.repeated(), bucket.outer[owner]
         single = frame["n"].to_numpy()[owner] == 1
@@ -233,7 +239,7 @@ def compare_buckets(segments: DataFrame, buckets: int) -> DataFrame:
             k = edge[at : at + 200_000]
             yield _spans(frame, owner[k], start[k], start[k] + LENGTH, bucket.first[k].view(np.int64), bucket.second[k].view(np.int64), twin[k])
 
-    dealt = shipped(segments).repartitionByRange(buckets, "suffix")
+    dealt = shipped(segments).repartitionByRange(buckets, "lead")
     kind = segments.schema["doc_id"].dataType.simpleString()
     return dealt.mapInPandas(batches, f"doc_id {kind}, version int, lo int, stop int, f1 bigint, f2 bigint, n bigint")
 
@@ -255,8 +261,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     copied = segs.where("n > 1").select("gram", "seg")
     whole = scratch.keep(live.join(copied, ["gram", "seg"], "left_semi").select("doc_id", "version", "lo", (F.col("hi") + LENGTH).alias("stop")))
     scratch.drop(live)
-    several = scratch.keep(segs.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"))
-    segments = scratch.keep(cut_segments(docs, segs.join(several, "gram", "left_semi").select("gram", "n", "rep.*")))
+    several = scratch.keep(segs.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    segments = scratch.keep(cut_segments(docs, segs.join(several, "gram").select("gram", "n", "kinds", "rep.*")))
     scratch.drop(segs, several)
     size = segments.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))

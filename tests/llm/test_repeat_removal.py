@@ -57,6 +57,7 @@ def test_agrees_with_brute_force(spark, texts):
 def test_many_small_buckets(spark, texts, monkeypatch):
     """Runs are cut by many bucket boundaries and have to meet across them."""
     monkeypatch.setattr(R, "BUCKET_BYTES", 600)
+    monkeypatch.setattr(R, "HOT_KINDS", 1)
     check(spark, texts)
 
 
@@ -76,6 +77,14 @@ def test_common_line_in_many_contexts(spark):
     check(spark, [words(rng, 40) + line + words(rng, 40) for _ in range(60)])
 
 
+def test_hot_gram_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(R, "HOT_KINDS", 5)
+    rng = random.Random(14)
+    line, ends = words(rng, 45), [words(rng, 40) for _ in range(4)]
+    check(spark, [words(rng, 40) + line + rng.choice(ends)[: rng.randint(20, 200)] + words(rng, 40) for _ in range(50)])
+
+
 def test_repeated_rows_and_ids(spark, texts):
     check(spark, [texts[1], texts[1], texts[2], texts[3]], ids=[1, 1, 2, 2])
     check(spark, [texts[1], texts[1]], ids=[None, 4])
