@@ -2,9 +2,10 @@
 
 A document is compared with each benchmark item in windows as long as the item, over five-word
 shingles. A window at a similarity of 0.8 or more has at least 80 % of its shingles among those of
-items of its length, and moving it right to its first such shingle loses none of them; so only
-windows that start at such a shingle and hold enough of them are fingerprinted, and no window that
-could qualify is lost. Window and item fingerprints (64-bit SimHash over shingle counts) meet in a
+items of its length, and moving it right to its first such shingle, at most to the end of the
+document, loses none of them; so only windows that start at such a shingle, or end with the document,
+and hold enough of them are fingerprinted, and no window that could qualify is lost. A document that
+is shorter than the item is one window itself. Window and item fingerprints (64-bit SimHash over shingle counts) meet in a
 multi-index: eight blocks of eight bits, in which items are listed under every value within one
 bit, so that all pairs within ``RADIUS`` = 15 bits share a block (16 differences are the least
 that can put two into each block). Pairs within the radius are then verified by the exact weighted
@@ -80,13 +81,18 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     begun = stored(begun.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "runs"))
     chosen = docs.select("doc_id", "text", F.xxhash64(text).alias("version"))
     chosen = chosen.join(begun, chosen["doc_id"].eqNullSafe(F.col("_doc")) & (chosen["version"] == F.col("_version")))
+
+    def held(s: Column, r: Column) -> Column:
+        """Starts of a run, those too near the end moved left to the last full window (or to 0)."""
+        return F.array_distinct(F.transform(r["starts"], lambda p: F.greatest(F.least(p, F.size(s) - r["size"]), F.lit(0))))
+
     cut = F.flatten(
         let(
             _shingles(F.col("text")),
-            lambda s: F.transform("runs", lambda r: F.transform(r["starts"], lambda p: F.struct(r["size"].alias("size"), p.alias("start"), F.slice(s, p + 1, r["size"]).alias("shingles")))),
+            lambda s: F.transform("runs", lambda r: F.transform(held(s, r), lambda p: F.struct(r["size"].alias("size"), p.alias("start"), F.slice(s, p + 1, r["size"]).alias("shingles")))),
         )
     )
-    windows = chosen.select("doc_id", "version", F.explode(cut).alias("w")).select("doc_id", "version", "w.*").where(F.size("shingles") == F.col("size"))
+    windows = chosen.select("doc_id", "version", F.explode(cut).alias("w")).select("doc_id", "version", "w.*")
     # windows of one text recur in its copies: fingerprint each distinct one once
     return windows
 

@@ -95,3 +95,27 @@ def test_simhash_and_similarity(spark):
     mask = (1 << 64) - 1
     assert row[0] & mask == sum(1 << k for k in range(64) if 2 * sum((x & mask) >> k & 1 for x in a) > 4)
     assert abs(row[1] - 2 / 6) < 1e-9
+
+
+def test_leaks_at_the_end_of_documents_and_as_whole_documents(spark):
+    rng = random.Random(11)
+    items = [(k, sentence(rng, n)) for k, n in enumerate((40, 60, 80, 120))]
+    docs = []
+    for k, item in items:
+        words = item.split()
+        first = ["edited", *words[1:]]
+        cut = {1: words[2:], 2: first, 3: words[:-2], 4: words[1:-1]}
+        docs += [(10 * how + k, f"{sentence(rng, 30)} {' '.join(w)}") for how, w in cut.items()]
+        docs += [(100 + 10 * how + k, " ".join(w)) for how, w in cut.items()]
+
+    def expected(text, item):
+        have, want = Counter(shingles(text)), Counter(shingles(item))
+        common = sum((have & want).values())
+        whole = common / (have.total() + want.total() - common) if have.total() < want.total() else 0.0
+        return max(best(text, item), whole)
+
+    rows = {r["doc_id"]: r for r in found(spark, docs, items)}
+    want = {d: sorted(k for k, i in items if expected(t, i) >= 0.8) for d, t in docs}
+    assert all(want[d] for d in want)
+    assert {d: [int(x) for x in r["item_ids"].split(",") if x] for d, r in rows.items()} == want
+    assert all(abs(rows[d]["similarity"] - max(expected(t, i) for _, i in items)) < 1e-6 for d, t in docs)
