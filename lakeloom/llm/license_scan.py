@@ -6,7 +6,9 @@ positions that hold the same gram, and the gram's words are compared, so a hash
 vote. Each match votes for its diagonal, document position minus template position. Votes are
 counted by (document, template, diagonal), diagonals at most ``SLACK`` words apart are merged (a word
 more or less moves a passage to the next diagonal), and a merged span is verified against the share
-of the template that it covers. A phrase is a template whose single diagonal must hold every gram.
+of the template that it covers: the most distinct template positions that one stretch of the document
+holds. A stretch is as long as the template and ``SLACK`` grams for each break of a verified passage,
+so grams that a text repeats count once and grams far apart do not add up. A phrase is a template whose single diagonal must hold every gram.
 
 Defined results. Null or empty text: no words, no labels, null positions, score zero. Repeated rows
 are scanned each on its own. Columns besides doc_id and text are ignored.
@@ -89,31 +91,53 @@ def _scanned(words: Column, known: list[int]) -> Column:
 
 
 def diagonals(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, template, label, phrase, grams, diagonal, votes, start, stop), and a
-    row with a null template for each document without votes. ``row`` numbers the input rows."""
+    """(row, doc_id, n_words, template, label, phrase, grams, diagonal, votes, at), and a row
+    with a null template for each document without votes. ``row`` numbers the input rows, ``at`` has
+    the document positions of the votes."""
     templates = template_positions(docs.sparkSession)
     known = [r["h"] for r in templates.select("h").distinct().collect()]  # bounded by the fixed lists
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", let(scan_words(F.col("text")), lambda w: _scanned(w, known)).alias("s"))
     rows = rows.select("row", "doc_id", "s.n_words", F.explode_outer("s.hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     matched = rows.join(F.broadcast(templates), ["h", "gram"], "left").repartition("row")
     return matched.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("pos").alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("stop")
+        F.count("pos").alias("votes"), F.collect_list("pos").alias("at")
     )
 
 
+def _covered(matches: Column, grams: Column) -> Column:
+    """Most distinct template positions in a stretch of the document. ``matches`` are sorted pairs
+    (pos, tpos); a position of a document matches at most all positions of the template."""
+    # a break costs at least a gram, so a verified passage has no more breaks than grams to miss; one
+    # more for a repeated word, which costs none
+    stretch = grams + SLACK * (F.floor(grams * (1 - COVERED) + 1e-9).cast("int") + 1)
+
+    def best(ms: Column) -> Column:
+        def ahead(m: Column, j: Column) -> Column:
+            near = F.filter(F.slice(ms, j + 1, stretch * grams), lambda x: x["pos"] < m["pos"] + stretch)
+            return F.size(F.array_distinct(F.transform(near, lambda x: x["tpos"])))
+
+        whole = F.size(F.array_distinct(F.transform(ms, lambda x: x["tpos"])))
+        fits = F.element_at(ms, -1)["pos"] < F.get(ms, F.lit(0))["pos"] + stretch
+        return F.when(fits, whole).otherwise(F.array_max(F.transform(ms, ahead)))
+
+    return let(matches, best)
+
+
 def spans(found: DataFrame) -> DataFrame:
-    """Merged neighbouring diagonals with the share of the template that they cover (at most 1),
-    and the places of a phrase among them."""
+    """Merged neighbouring diagonals with the share of the template that they cover, and the places
+    of a phrase among them."""
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     jump = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(True)).cast("int")
     merged = found.withColumn("jump", jump).withColumn("span", F.sum("jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.when(F.col("phrase") & (F.col("votes") == F.col("grams")), F.col("diagonal"))
-    return merged.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", "span").agg(
+    pairs = F.transform("at", lambda p: F.struct(p.alias("pos"), (p - F.col("diagonal")).alias("tpos")))
+    joined = merged.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", "span").agg(
         F.count(place).alias("places"),
         F.min(place).alias("first_place"),
         F.max(place).alias("last_place"),
-        F.sum("votes").alias("all_votes"),
-    ).withColumn("covered", F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("all_votes") / F.col("grams"))))
+        F.array_sort(F.flatten(F.collect_list(pairs))).alias("matches"),
+    )
+    return joined.withColumn("covered", F.when(F.col("template").isNotNull(), _covered(F.col("matches"), F.col("grams")) / F.col("grams"))).drop("matches")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -49,3 +49,15 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "mit license")], "doc_id long, text string")
     assert [r["n_base"] for r in L.scan_licenses(df).collect()] == [1, 1, 1]
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_repeated_and_scattered_grams_are_not_a_notice(spark):
+    repeated = "changes in version 1.0, version 1.0, version 1.0, version 1.0 today"
+    # every gram of the notice in one chain of diagonals, its ends 40 words apart
+    scattered = "boost software license " + "software license " * 20 + "version 1.0"
+    stutter = "Boost Software License - Version version 1.0"
+    words = L.template_words(list(L.NOTICES)[1])
+    spread = " ".join([*words[:9], "a", "b", "c", *words[9:19], "d", "e", "f", *words[19:]])
+    got = rows(spark, [repeated, scattered, stutter, spread, "Boost Software License - Version 1.0 " * 3])
+    assert [got[k]["labels"] for k in range(5)] == ["", "", "bsl-1.0", "mit-text", "bsl-1.0"]
+    assert got[0]["score"] == 0.4 and got[1]["score"] == 0.8 and got[2]["score"] == got[4]["score"] == 1.0
