@@ -10,7 +10,10 @@ no alternatives, so a wrapper stays the size of a template, not of its pages.
 A wrapper's text items are then judged once for the host: text below menus, headers, footers,
 sidebars, notices, adverts, forms and comments goes; if the host's pages have an article or main
 element, only what is inside stays (whatever its text, so copies of a page lose nothing); otherwise
-text that is constant over all pages of the host goes as well. Each page is read by its host's
+text that is constant over all pages of the host goes as well, whatever its length; text of an
+element that some pages lack is not constant, and empty pages do not count. A host without an
+article whose pages are all the same (one page, or copies of it) shows no text to be constant: there
+all text stays but that below menus and the like. Each page is read by its host's
 wrapper; whole texts are kept.
 
 Hosts are spread: each task aligns its own rows, partial wrappers of a host meet first in
@@ -23,10 +26,12 @@ alike. Columns besides page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +45,10 @@ HOSTS_HELD = 2_000
 #: Wrappers are broadcast up to this many bytes in all, beyond it joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 PERIOD = 3
+#: Constant texts over this length are held as a hash.
+LONG = 200
+#: Stands for the page of a host with several distinct ones.
+MANY = "many"
 
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -125,13 +134,27 @@ def parse(source: str | None) -> list:
 # a signature or "#", flags are "" or of "?" (optional) and "+" (repeated), and text None is a slot.
 
 
+def _hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def page_of(node: list) -> str:
+    """A hash of what a page shows, "" for an empty page."""
+    return _hash(json.dumps(node)) if node[1] else ""
+
+
+def _one(a: str, b: str) -> str:
+    """The page of two groups of pages: one that all of them are, or ``MANY``."""
+    return a if a == b or not b else b if not a else MANY
+
+
 def pattern(node: list) -> list:
     items = []
     for child in node[1]:
         if isinstance(child, str):
             if child.strip():
                 text = " ".join(child.split())
-                items.append(["#", "", text if len(text) <= 200 else None])
+                items.append(["#", "", text if len(text) <= LONG else "\0" + _hash(text)])
         else:
             items.append([child[0], "", pattern(child)])
     return [node[0], _fold(items)]
@@ -197,25 +220,26 @@ def has_article(wrapper: list) -> bool:
     return any(i[0] != "#" and (_role(i[0]) == "+" or has_article(i[2])) for i in wrapper[1])
 
 
-def judge(wrapper: list) -> list:
-    """The wrapper as [keep text, {signature: judged child}]: what its reader needs."""
+def judge(wrapper: list, alone: bool = False) -> list:
+    """The wrapper as [keep text, {signature: judged child}]: what its reader needs. ``alone`` says
+    that the host has one distinct page."""
     scoped = has_article(wrapper)
 
-    def visit(node: list, inside: bool, beside: bool) -> list:
-        keep = inside and not beside if scoped else not beside and any(i[0] == "#" and i[2] is None for i in node[1])
+    def visit(node: list, inside: bool, beside: bool, varies: bool) -> list:
+        keep = inside and not beside if scoped else not beside and (varies or any(i[0] == "#" and (i[2] is None or "?" in i[1]) for i in node[1]))
         children: dict = {}
-        for key, _, child in node[1]:
+        for key, flags, child in node[1]:
             if key == "#":
                 continue
             role = _role(key)
             # an article inside an unclosed menu is still the article
             main = role == "+"
             aside = not main and (beside or role == "-" or role == "-header" and not inside)
-            seen = visit(child, inside or main, aside)
+            seen = visit(child, inside or main, aside, varies or "?" in flags)
             children[key] = _joined(children[key], seen) if key in children else seen
         return [keep, children]
 
-    return visit(wrapper, False, False)
+    return visit(wrapper, False, False, alone)
 
 
 def _joined(a: list, b: list) -> list:
@@ -245,13 +269,17 @@ def read(page: list, judged: list) -> str:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for every host, over all its pages."""
+    """(host, wrapper, page) for every host, over all its pages; page is ``MANY`` if they differ."""
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
+        held: dict[str, tuple[list, str]] = {}
         for frame in frames:
             for host, source in zip(frame["host"], frame["html"], strict=True):
-                own = pattern(parse(source))
-                held[host] = align(held[host], own) if host in held else own
+                node = parse(source)
+                own, page = pattern(node), page_of(node)
+                if host not in held or not held[host][1]:
+                    held[host] = own, page
+                elif page:
+                    held[host] = align(held[host][0], own), _one(held[host][1], page)
             if len(held) > HOSTS_HELD:
                 yield _frame(held)
                 held = {}
@@ -260,41 +288,41 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         total = None
-        for text in sorted(frame["wrapper"]):
+        for text in sorted(frame["wrapper"][frame["page"] != ""]) or frame["wrapper"][:1]:
             own = json.loads(text)
             total = own if total is None else align(total, own)
-        return pd.DataFrame({"host": frame["host"][:1], "wrapper": [json.dumps(total)]})
+        return pd.DataFrame({"host": frame["host"][:1], "wrapper": [json.dumps(total)], "page": [reduce(_one, frame["page"])]})
 
-    schema = "host string, wrapper string"
+    schema = "host string, wrapper string, page string"
     parts = shipped(pages).select(host_of(F.col("url")).alias("host"), "html").mapInPandas(partial, schema)
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     first = parts.groupBy("host", "salt").applyInPandas(lambda frame: meet(frame), schema)
     return first.groupBy("host").applyInPandas(lambda frame: meet(frame), schema)
 
 
-def _frame(held: dict[str, list]) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
+def _frame(held: dict[str, tuple[list, str]]) -> pd.DataFrame:
+    return pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w, _ in held.values()], "page": [p for _, p in held.values()]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text): the main text of every page."""
-    found = stored(wrappers(pages))
+    found = stored(wrappers(pages).select("host", "wrapper", (F.col("page") != MANY).alias("alone")))
     small = (found.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(found) if small else found, "host", "left")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
+        known: dict[tuple[str, bool], list] = {}
         for frame in frames:
             texts = []
-            for source, wrapper in zip(frame["html"], frame["wrapper"], strict=True):
-                if wrapper not in known:
+            for source, wrapper, alone in zip(frame["html"], frame["wrapper"], frame["alone"], strict=True):
+                if (wrapper, alone) not in known:
                     if len(known) > HOSTS_HELD:
                         known.clear()
-                    known[wrapper] = judge(json.loads(wrapper))
-                texts.append(read(parse(source), known[wrapper]))
+                    known[wrapper, alone] = judge(json.loads(wrapper), alone)
+                texts.append(read(parse(source), known[wrapper, alone]))
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts})
 
-    rows = masked(shipped(rows).select("page_id", "url", "html", "wrapper"), "page_id")
+    rows = masked(shipped(rows).select("page_id", "url", "html", "wrapper", "alone"), "page_id")
     texts = rows.mapInPandas(batches, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
     return unmasked(texts, "page_id", pages.schema["page_id"].dataType)

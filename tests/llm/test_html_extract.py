@@ -77,3 +77,16 @@ def test_partial_wrappers_meet(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
     assert H.wrappers(df).count() == 1
     assert {r["text"] for r in H.extract(df).collect()} == {f"text {i}" for i in range(40)}
+
+
+def test_long_constant_text_goes_and_a_lone_page_keeps_its_text(spark):
+    notice, short = "A notice that every page has. " * 10, "a few words"
+    make = "<nav><p>Menu</p></nav><div class=x><p>{}</p></div><div><p>{}</p></div>"
+    rows = [(k, "http://a.b/c", make.format(notice, f"text {k}")) for k in range(3)]
+    rows += [(10 + k, "http://c.d/e", make.format(notice, short)) for k in range(3)] + [(20, "http://e.f", make.format(short, notice)), (21, "http://e.f", None)]
+    # an element of one page is not constant, and the empty page makes nothing optional
+    rows += [(30, "http://g.h", make.format(notice, "one")), (31, "http://g.h", make.format(notice, "two") + f"<section>{notice}</section>"), (32, "http://g.h", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    both = f"{notice}{short}"
+    assert got == {k: f"text {k}" for k in range(3)} | {10 + k: both for k in range(3)} | {20: f"{short} {notice.strip()}", 21: "", 30: "one", 31: f"two {notice.strip()}", 32: ""}
