@@ -2,14 +2,19 @@
 
 A document is compared with each benchmark item in windows as long as the item, over five-word
 shingles. A window at a similarity of 0.8 or more has at least 80 % of its shingles among those of
-items of its length, and moving it right to its first such shingle, at most to the end of the
-document, loses none of them; so only windows that start at such a shingle, or end with the document,
-and hold enough of them are fingerprinted, and no window that could qualify is lost. A document that
-is shorter than the item is one window itself. Window and item fingerprints (64-bit SimHash over shingle counts) meet in a
-multi-index: eight blocks of eight bits, in which items are listed under every value within one
-bit, so that all pairs within ``RADIUS`` = 15 bits share a block (16 differences are the least
-that can put two into each block). Pairs within the radius are then verified by the exact weighted
-similarity: common shingles over all shingles, each weighted by its count.
+the item, and moving it right to its first such shingle (its anchor), at most to the end of the
+document, loses none of them; so only windows that start at a known shingle, or end with the document,
+and hold enough known ones are fingerprinted, and no window that could qualify is lost. A document that
+is shorter than the item is one window itself.
+
+Window and item fingerprints (64-bit SimHash over shingle counts) meet in a multi-index: eight blocks
+of eight bits, in which both sides are listed under every value within one bit, so that all pairs
+within ``RADIUS`` = 23 bits share a block (24 differences are the least that can put three into each
+block). At a similarity of 0.8 a pair differs in 9.7 bits on average, and about one in 100,000 in more
+than 23. A key of the index holds the anchor as well: an item that has not the window's anchor is met
+from another anchor if it is met at all, so windows meet only items that share text with them, however
+many items there are. Pairs within the radius are then verified by the exact weighted similarity:
+common shingles over all shingles, each weighted by its count.
 
 Defined results. Items and texts with under five words have no shingles and match nothing. Null
 texts are empty. Repeated rows are found alike. An empty benchmark clears every document. Columns
@@ -26,7 +31,9 @@ from .common import ascii_lower, let, shingle_hashes, stored, words_of
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS, WIDTH = 8, 8
-RADIUS = 2 * BLOCKS - 1
+#: Bits by which a window and an item may miss each other in a block.
+NEAR = 2
+RADIUS = (NEAR + 1) * BLOCKS - 1
 #: Item shingles are broadcast up to this number of rows (16 bytes each), beyond it joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -44,19 +51,33 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda x, b: x.bitwiseOR(bit(b)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Exact weighted similarity of two shingle arrays: sum of least over sum of greatest counts."""
-    def count(x: Column, h: Column) -> Column:
-        return F.size(F.filter(x, lambda y: y == h))
+def numbered(hashes: Column) -> Column:
+    """An array of hashes in which repeats differ: each hash goes together with its rank among equals,
+    so that the common part of two arrays is that of their sets."""
+    def ranks(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
+
+        def spread(at: Column) -> Column:
+            return F.flatten(
+                F.transform(at, lambda p, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - p - 1), lambda k: F.xxhash64(F.get(s, p), k)))
+            )
+
+        return let(firsts, spread)
+
+    return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(let(F.array_sort(hashes), ranks))
 
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, h: n + F.least(count(a, h), count(b, h)))
+
+def similarity(a: Column, b: Column) -> Column:
+    """Exact weighted similarity of two numbered arrays: sum of least over sum of greatest counts."""
+    common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, shingles, fp) of the items that have shingles."""
+    """(item_id, size, shingles, numbered, fp) of the items that have shingles."""
     found = benchmark.select("item_id", _shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0)
-    return found.select("item_id", F.size("shingles").alias("size"), "shingles", simhash(F.col("shingles")).alias("fp"))
+    s = F.col("shingles")
+    return found.select("item_id", F.size(s).alias("size"), s, numbered(s).alias("numbered"), simhash(s).alias("fp"))
 
 
 def _needed(size: Column) -> Column:
@@ -64,7 +85,8 @@ def _needed(size: Column) -> Column:
 
 
 def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, version, size, start, shingles, fp): the windows that could qualify."""
+    """(doc_id, version, size, start, anchor, shingles): the windows that could qualify, with the shingle
+    at which the search for them began."""
     known = stored(items.select(F.explode("shingles").alias("h"), "size").distinct())
     by_hash = known.groupBy("h").agg(F.collect_set("size").alias("sizes"))
     by_hash = F.broadcast(by_hash) if known.count() <= BROADCAST_ROWS else by_hash
@@ -82,47 +104,43 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     chosen = docs.select("doc_id", "text", F.xxhash64(text).alias("version"))
     chosen = chosen.join(begun, chosen["doc_id"].eqNullSafe(F.col("_doc")) & (chosen["version"] == F.col("_version")))
 
-    def held(s: Column, r: Column) -> Column:
-        """Starts of a run, those too near the end moved left to the last full window (or to 0)."""
-        return F.array_distinct(F.transform(r["starts"], lambda p: F.greatest(F.least(p, F.size(s) - r["size"]), F.lit(0))))
-
-    cut = F.flatten(
-        let(
-            _shingles(F.col("text")),
-            lambda s: F.transform("runs", lambda r: F.transform(held(s, r), lambda p: F.struct(r["size"].alias("size"), p.alias("start"), F.slice(s, p + 1, r["size"]).alias("shingles")))),
-        )
-    )
-    windows = chosen.select("doc_id", "version", F.explode(cut).alias("w")).select("doc_id", "version", "w.*")
-    # windows of one text recur in its copies: fingerprint each distinct one once
-    return windows
+    # windows are cut one after another, from shingles that are made once a text
+    places_of = F.flatten(F.transform("runs", lambda r: F.transform(r["starts"], lambda p: F.struct(r["size"].alias("size"), p.alias("place")))))
+    cut = chosen.select("doc_id", "version", _shingles(F.col("text")).alias("all"), places_of.alias("w")).select("doc_id", "version", "all", F.explode("w").alias("w"))
+    # a window too near the end moves left to the last full one (or to 0)
+    start = F.greatest(F.least(F.col("w.place"), F.size("all") - F.col("w.size")), F.lit(0))
+    cut = cut.select("doc_id", "version", "w.size", start.alias("start"), F.get("all", F.col("w.place")).alias("anchor"), "all")
+    return cut.select("doc_id", "version", "size", "start", "anchor", F.slice("all", F.col("start") + 1, F.col("size")).alias("shingles"))
 
 
 def _block(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
 
-def multi_index(items: DataFrame) -> DataFrame:
-    """(size, block, value, item_id, item_fp): each block value of an item and those a bit away."""
+def multi_index(rows: DataFrame) -> DataFrame:
+    """``rows`` with (size, fp, anchors) listed under each key of the index: an anchor, a block and each
+    of its values within a bit. Rows within ``RADIUS`` bits that share an anchor share a key."""
     near = [0, *[1 << b for b in range(WIDTH)]]
-    entries = [F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).bitwiseXOR(F.lit(m)).alias("value")) for k in range(BLOCKS) for m in near]
-    return items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(F.array(*entries)).alias("b")).select("size", "b.*", "item_id", "item_fp")
+    entries = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).bitwiseXOR(F.lit(m)).alias("value")) for k in range(BLOCKS) for m in near])
+    listed = rows.select("*", F.explode("anchors").alias("_anchor")).drop("anchors").select("*", F.explode(entries).alias("_entry"))
+    key = F.xxhash64("size", "_anchor", "_entry.block", "_entry.value")
+    return listed.withColumn("key", key).drop("_anchor", "_entry")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, version, item_id, similarity): the best verified window of each pair."""
     items = stored(item_table(benchmark))
-    windows = candidate_windows(docs, items)
     # equal windows of different documents are fingerprinted and compared once
-    content = F.xxhash64("shingles")
-    windows = stored(windows.withColumn("content", content))
-    distinct = windows.groupBy("size", "content").agg(F.first("shingles").alias("shingles"))
-    distinct = stored(distinct.select("size", "content", "shingles", simhash(F.col("shingles")).alias("fp")))
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)])
-    probes = distinct.select("size", "content", "fp", F.explode(blocks).alias("b")).select("size", "b.*", "content", "fp")
-    near = probes.join(multi_index(items), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    windows = stored(candidate_windows(docs, items).withColumn("content", F.xxhash64("shingles")))
+    distinct = windows.groupBy("size", "content").agg(F.first("shingles").alias("shingles"), F.collect_set("anchor").alias("anchors"))
+    distinct = stored(distinct.select("size", "content", "anchors", numbered(F.col("shingles")).alias("numbered"), simhash(F.col("shingles")).alias("fp")))
+    listed = multi_index(items.select("item_id", "size", F.col("fp"), F.array_distinct("shingles").alias("anchors")))
+    listed = listed.select("key", "item_id", F.col("size").alias("item_size"), F.col("fp").alias("item_fp"))
+    near = multi_index(distinct.select("size", "content", "fp", "anchors")).join(listed, "key")
+    near = near.where((F.col("size") == F.col("item_size")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
     pairs = near.select("size", "content", "item_id").distinct()
-    scored = pairs.join(distinct, ["size", "content"]).join(items.select("item_id", F.col("shingles").alias("item_shingles")), "item_id")
-    scored = scored.withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= SIMILARITY)
+    scored = pairs.join(distinct, ["size", "content"]).join(items.select("item_id", F.col("numbered").alias("item_numbered")), "item_id")
+    scored = scored.withColumn("similarity", similarity(F.col("numbered"), F.col("item_numbered"))).where(F.col("similarity") >= SIMILARITY)
     found = windows.select("doc_id", "version", "size", "content").distinct().join(scored.select("size", "content", "item_id", "similarity"), ["size", "content"])
     return found.groupBy("doc_id", "version", "item_id").agg(F.max("similarity").alias("similarity"))
 

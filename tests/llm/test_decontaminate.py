@@ -78,25 +78,70 @@ def test_empty_tables(spark):
 def test_multi_index_meets_every_fingerprint_within_radius(spark):
     rng = random.Random(1)
     base = rng.getrandbits(63)
-    rows = []
-    for k in range(300):
-        bits = rng.sample(range(64), rng.randint(0, 20))
-        rows.append((k, 9, base ^ sum(1 << b for b in bits) if 63 not in bits else base))
-    items = spark.createDataFrame(rows, "item_id long, size int, fp long")
-    index = D.multi_index(items)
-    probe = spark.createDataFrame([(9, base)], "size int, fp long").select("size", F.posexplode(F.array(*[D._block(F.col("fp"), k) for k in range(D.BLOCKS)])).alias("block", "value"))
-    met = {r["item_id"] for r in index.join(probe, ["size", "block", "value"]).collect()}
-    assert {k for k, _, fp in rows if (fp ^ base).bit_count() <= D.RADIUS} <= met
+    rows = [(0, 9, base, [5, 6])]
+    for k in range(1, 300):
+        bits = rng.sample(range(63), rng.randint(0, 30))
+        rows.append((k, 9, base ^ sum(1 << b for b in bits), [rng.choice((4, 5))]))
+    df = spark.createDataFrame(rows, "item_id long, size int, fp long, anchors array<long>")
+    probe = D.multi_index(df.where("item_id = 0")).select("key")
+    met = {r["item_id"] for r in D.multi_index(df).join(probe, "key", "left_semi").collect()}
+    near = {k for k, _, fp, _ in rows if (fp ^ base).bit_count() <= D.RADIUS}
+    assert {k for k, _, _, anchors in rows if k in near and set(anchors) & {5, 6}} <= met
+    assert not {k for k, _, _, anchors in rows if anchors == [4]} & met
 
 
 def test_simhash_and_similarity(spark):
     a, b = [3, 3, 5, -1], [3, 5, 5, 7]
-    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(D.simhash(F.col("a")), D.similarity(F.col("a"), F.col("b"))).first()
+    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(D.simhash(F.col("a")), D.similarity(D.numbered(F.col("a")), D.numbered(F.col("b")))).first()
     mask = (1 << 64) - 1
     assert row[0] & mask == sum(1 << k for k in range(64) if 2 * sum((x & mask) >> k & 1 for x in a) > 4)
     assert abs(row[1] - 2 / 6) < 1e-9
 
 
+def test_similarity_counts_repeats(spark):
+    rng = random.Random(8)
+    pairs = [([rng.randrange(6) for _ in range(rng.randint(0, 30))], [rng.randrange(6) for _ in range(rng.randint(1, 30))]) for _ in range(60)]
+    rows = spark.createDataFrame(pairs, "a array<long>, b array<long>").select("a", "b", D.similarity(D.numbered(F.col("a")), D.numbered(F.col("b"))).alias("s")).collect()
+    for r in rows:
+        common = sum((Counter(r["a"]) & Counter(r["b"])).values())
+        assert abs(r["s"] - common / (len(r["a"]) + len(r["b"]) - common)) < 1e-12
+
+
+def test_recall_of_random_edits_near_the_threshold(spark):
+    """Edits at every position, at the start, inside and at the end of documents: the query finds what a
+    comparison with all windows finds."""
+    rng = random.Random(21)
+    items = [(k, sentence(rng, rng.randint(40, 130))) for k in range(40)]
+    docs = []
+    for n in range(700):
+        words = items[n % len(items)][1].split()
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 2)] = ["edited"] * rng.randint(0, 2)
+        if rng.random() < 0.3:
+            words = words[rng.randint(0, 4) : len(words) - rng.randint(0, 4)]
+        before, after = (sentence(rng, rng.choice((0, 0, 6, 30))) for _ in range(2))
+        docs.append((n, f"{before} {' '.join(words)} {after}"))
+    got = {r["doc_id"]: r for r in found(spark, docs, items)}
+    near = 0
+    for d, text in docs:
+        item = items[d % len(items)][1]
+        exact = best(text, item)
+        near += 0.8 <= exact <= 0.84
+        if exact >= 0.8:
+            assert str(items[d % len(items)][0]) in got[d]["item_ids"].split(",") and abs(got[d]["similarity"] - exact) < 1e-6
+        elif len(shingles(text)) >= len(shingles(item)):
+            assert not got[d]["contaminated"]
+    assert near >= 40
+
+
+def test_very_long_items_and_texts(spark):
+    rng = random.Random(5)
+    item = sentence(rng, 2_500)
+    docs = [(1, f"{sentence(rng, 9)} {item} {sentence(rng, 70_000)}"), (2, sentence(rng, 90_000)), (3, "again " * 4_000)]
+    assert {r["doc_id"]: r["item_ids"] for r in found(spark, docs, [(7, item), (8, "again " * 2_500)])} == {1: "7", 2: "", 3: "8"}
+
+
 def test_leaks_at_the_end_of_documents_and_as_whole_documents(spark):
     rng = random.Random(11)
     items = [(k, sentence(rng, n)) for k, n in enumerate((40, 60, 80, 120))]
