@@ -1,16 +1,18 @@
 """Line deduplication across documents, in DataFrame operations only.
 
-Lines become 128-bit hashes. The hashes are range-partitioned together with a salt drawn from the
-document, sorted by document and position inside each partition, and one streaming pass keeps the
-first document of each (hash, salt). The few heads of the salts then meet in a second, much smaller
-pass that knows at most ``SALTS`` documents a hash, so a line that a third of the corpus holds is
-spread over as many partitions as its neighbours. What comes back is a compressed bitmap of dropped
-lines per document (64 lines a word, words without a dropped line left out), never text.
+Lines become 128-bit hashes, stored once: texts are split a single time. The hashes are
+range-partitioned, sorted by document and position inside each partition, and one streaming pass tells
+the first document of each hash from the later ones. A frequent-items sketch over all lines finds the
+hashes that would weigh on a partition (at most ``HOT_PER_PART`` a partition); only these are split
+further by a salt drawn from the document, and only their heads, one document a salt, are compared
+once more, by an aggregate with a row a task. The sketch decides where rows go, never which stay, so
+no other line is shuffled twice. What comes back is a compressed bitmap of kept lines per document (64
+lines a word, words without a dropped line left out), never text.
 
 Defined results. Null or empty text: one empty line, kept. Lines with a key under ``min_chars``
 code points are always kept. Rows that repeat a doc_id count as the same document, and a null
 doc_id sorts before all others. Empty tables give empty results; columns besides doc_id and text
-are carried along untouched.
+are carried along untouched, also where they have the names of the counts.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, stored
 
-#: A hot hash is dealt to this many partitions.
+#: A hot hash is dealt to this many salts, or to as many as there are partitions.
 SALTS = 64
+#: Hashes for each partition that may count as hot, and hashes that the sketch tracks for each of them.
+HOT_PER_PART, TRACKED = 4, 8
 MIN_CHARS = 10
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -44,39 +48,51 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.select("doc_id", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
 
 
+def hot_lines(lines: DataFrame, parts: int) -> DataFrame:
+    """(h1, hot) of the hashes with more rows than a fraction of an even partition."""
+    most = min(HOT_PER_PART * parts, 100_000)
+    found = lines.agg(F.expr(f"approx_top_k(h1, {most}, {TRACKED * most})").alias("top"), F.count("*").alias("n"))
+    found = found.select(F.explode("top").alias("t"), "n").where(F.col("t.count") * F.lit(most) > F.col("n"))
+    return found.select(F.col("t.item").alias("h1"), F.lit(True).alias("hot"))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, version, pos) of each line whose key a smaller doc_id holds too."""
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
-    rows = hashed_lines(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(SALTS)).cast("int"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
+    rows = stored(hashed_lines(docs, min_chars))
+    rows = rows.join(F.broadcast(stored(hot_lines(rows, parts))), "h1", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(max(SALTS, parts)))).otherwise(0).cast("int")
+    ranged = rows.withColumn("salt", salt).repartitionByRange(parts, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
     running = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = ranged.withColumn("head", F.first(rank).over(running)).withColumn("own", rank)
+    # what needs no second look goes on at once: later lines, and of the hot ones the heads of salts
+    seen = stored(seen.where(F.col("hot") | (F.col("own") > F.col("head"))).select("doc_id", "version", "pos", "hot", "h1", "h2", "own", "head"))
     later = seen.where(F.col("own") > F.col("head")).select("doc_id", "version", "pos")
-    heads = seen.where(F.col("own") == F.col("head"))
-    least = Window.partitionBy("h1", "h2")
-    beaten = heads.withColumn("least", F.min("own").over(least)).where(F.col("own") > F.col("least")).select("doc_id", "version", "pos")
+    heads = seen.where(F.col("hot") & (F.col("own") == F.col("head")))
+    least = heads.groupBy("h1", "h2").agg(F.min("own").alias("least"))  # at most the hot hashes
+    beaten = heads.join(F.broadcast(least), ["h1", "h2"]).where(F.col("own") > F.col("least")).select("doc_id", "version", "pos")
     return later.unionByName(beaten)
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, version, bitmap) for documents that lose lines: ``bitmap`` is an array of
-    (word, bits); bit b of word w says that line 64 * w + b goes."""
+    (word, bits); bit b of word w says that line 64 * w + b stays. All lines of other words stay."""
     words = (
         dropped_lines(docs, min_chars)
         .groupBy("doc_id", "version", F.expr("pos div 64").cast("int").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
+        .agg(F.expr("~bit_or(shiftleft(1L, pos % 64))").alias("bits"))
     )
     return words.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
 
 
 def _gone(bitmap: Column) -> Column:
-    """Positions that a bitmap marks."""
+    """Positions that a bitmap does not keep."""
     return F.flatten(
         F.transform(
             bitmap,
             lambda x: F.filter(
-                F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit(x["bits"], b) == 1, x["word"] * 64 + b)),
+                F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.getbit(x["bits"], b) == 0, x["word"] * 64 + b)),
                 lambda p: p.isNotNull(),
             ),
         )
@@ -84,19 +100,28 @@ def _gone(bitmap: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines that stay, plus the numbers of lines before and of
-    dropped ones under the names ``counts``. The bitmaps, not the lines, travel to the documents."""
-    marks = drop_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("bitmap").alias("_bitmap"))
-    version = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_doc"]) & (version == marks["_version"]), "left")
-    text, bitmap = docs["text"], marks["_bitmap"]
+    """``docs`` with ``text`` reduced to the lines that stay, and as the last two columns the numbers of
+    lines before and of dropped ones, named ``counts`` (after underscores where ``docs`` has columns of
+    these names). The bitmaps, not the lines, travel to the documents."""
+    total, fewer = (_unused(name, docs.columns) for name in counts)
+    doc, version, kept = (_unused(name, docs.columns) for name in ("_doc", "_version", "_bitmap"))
+    marks = keep_bitmaps(docs, min_chars).toDF(doc, version, kept)
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks[doc]) & (own == marks[version]), "left")
+    text, bitmap = docs["text"], marks[kept]
     return joined.select(
-        *[F.when(bitmap.isNull(), text).otherwise(_rebuilt(text, bitmap)).alias("text") if c == "text" else docs[c] for c in docs.columns if c not in counts],
-        F.size(_lines(text)).cast("long").alias(counts[0]),
-        F.coalesce(F.aggregate(bitmap, F.lit(0), lambda n, x: n + F.bit_count(x["bits"])), F.lit(0)).cast("long").alias(counts[1]),
+        *[F.when(bitmap.isNull(), text).otherwise(_rebuilt(text, bitmap)).alias("text") if c == "text" else docs[c] for c in docs.columns],
+        F.size(_lines(text)).cast("long").alias(total),
+        F.coalesce(F.aggregate(bitmap, F.lit(0), lambda n, x: n + 64 - F.bit_count(x["bits"])), F.lit(0)).cast("long").alias(fewer),
     )
 
 
+def _unused(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def _rebuilt(text: Column, bitmap: Column) -> Column:
     """The text without the marked lines; the split happens once."""
 

@@ -66,11 +66,35 @@ def test_extra_columns_and_empty_table(spark):
     assert result(spark, []) == []
 
 
-def test_bitmaps_name_lines_and_no_text(spark):
+def test_columns_named_like_the_counts_stay(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("doc_id as n_lines", "doc_id", "text", "7 as N_DROPPED", "1 as _version")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "_n_lines", "_n_dropped"]
+    same([(r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"] or "") for r in got.collect()], brute(ROWS))
+    assert all(r["n_lines"] == r["doc_id"] and r["N_DROPPED"] == 7 for r in got.collect())
+
+
+def test_bitmaps_name_lines_that_stay_and_no_text(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    marks = {r["doc_id"]: r["bitmap"] for r in line_dedup.drop_bitmaps(df).collect()}
+    marks = {r["doc_id"]: r["bitmap"] for r in line_dedup.keep_bitmaps(df).collect()}
     assert set(marks) == {d for d, _, n, _ in brute(ROWS) if n}
-    assert [(w["word"], w["bits"]) for w in marks[3]] == [(0, 1)]
+    assert [(w["word"], w["bits"]) for w in marks[3]] == [(0, ~1)]
+
+
+def test_only_hot_lines_are_salted(spark):
+    rows = [(i, f"{COMMON}document {i} says this\nand document {i} says that\nline of group {i % 40} here") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = line_dedup.hashed_lines(df)
+    hot = line_dedup.hot_lines(hashed, 8).collect()
+    common = hashed.groupBy("h1").count().orderBy("count", ascending=False).first()
+    assert common["count"] == 400 and common["h1"] in {r["h1"] for r in hot} and len(hot) <= 8 * line_dedup.HOT_PER_PART
+    same(result(spark, rows), brute(rows))
+
+
+def test_very_long_texts(spark):
+    lines = [f"line {k % 30_000} of a long text" for k in range(70_000)]
+    rows = [(2, "\n".join(lines)), (1, "\n".join(lines[::500])), (3, "x" * 3_000_000), (4, "y\nX" + "x" * 2_999_999)]
+    same(result(spark, rows), brute(rows))
 
 
 def test_query_digest(spark, sf):
