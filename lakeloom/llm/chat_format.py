@@ -3,16 +3,18 @@
 Each known layout of chat data is declared once as a set of nested field paths and a mapping that
 turns a row into canonical turns (role, text). The sorted field paths of a table (or, for JSON
 payloads, of each row) are hashed; the hash selects the mapping, so tables and rows of different
-layouts go through one formatter. Paths that no layout knows are ignored when a table is
-fingerprinted, so extra columns do no harm.
+layouts go through one formatter. Paths that a layout does not know are left out before it is looked
+up, so extra columns and fields do no harm; where several layouts are found, rows of turns go first,
+then the layout with the most paths.
 
 Format: ``<|role|>text<|end|>`` and a line feed for each turn. Inside roles and texts a backslash
 becomes ``\\b`` and a vertical bar ``\\p``; a control string thus never occurs inside a text, and
 two plain replacements restore it.
 
 Defined results. Null role or text: empty. Turns are ordered by turn (null first), then role, then
-text; repeated rows stay repeated. A payload of unknown layout or broken JSON has ``layout`` null
-and no turns. Empty tables give empty results.
+text; repeated rows stay repeated. A payload with an empty list of turns has its list's layout and no
+turns; one of unknown layout or broken JSON has ``layout`` null and no turns. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -79,16 +81,18 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], str, Callable]] = {
 #: The layout with a row for each turn; its turns are gathered by conversation.
 ROWS = ("conv_id", "turn", "role", "text")
 BY_FINGERPRINT = {fingerprint(paths): name for name, (paths, _, _) in LAYOUTS.items()} | {fingerprint(ROWS): "rows"}
-_KNOWN = {p for paths, _, _ in LAYOUTS.values() for p in paths} | {"role", "text", "turn"}
+#: Field paths of each layout, in the order in which they are tried.
+_TRIED = [ROWS, *sorted((paths for paths, _, _ in LAYOUTS.values()), key=len, reverse=True)]
 
 
 def layout_of(schema: T.StructType) -> str:
     """The layout that a table's fingerprint selects. ``conv_id`` is the key of every layout."""
-    paths = {p for p in field_paths(schema) if p in _KNOWN}
-    found = BY_FINGERPRINT.get(fingerprint(paths)) or BY_FINGERPRINT.get(fingerprint(paths | {"conv_id"}))
-    if not found:
-        raise ValueError(f"no chat layout has the field paths {sorted(paths)}")
-    return found
+    paths = set(field_paths(schema))
+    for known in _TRIED:
+        found = BY_FINGERPRINT.get(fingerprint(paths.intersection(known)))
+        if found and "conv_id" in paths:
+            return found
+    raise ValueError(f"no chat layout has the field paths {sorted(paths)}")
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -106,35 +110,35 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return df.select("conv_id", LAYOUTS[name][2](lambda field: df[field]).alias("turns"))
 
 
+def payload_paths(payload: Column) -> Column:
+    """Nested field paths of a JSON object, as ``field_paths`` writes them. The paths of a list are
+    those of all its elements; an empty list has every path that some layout knows of it."""
+    found = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    for field in sorted({p.split("[]")[0] for paths in _TRIED for p in paths if "[]" in p}):
+        known = sorted({p for paths in _TRIED for p in paths if p.startswith(f"{field}[]")})
+        elements = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "array<map<string,variant>>")
+        keys = F.flatten(F.transform(F.filter(elements, lambda e: e.isNotNull()), lambda e: F.map_keys(e)))
+        nested = F.when(F.size(elements) == 0, F.array(*map(F.lit, known))).otherwise(F.transform(keys, lambda k: F.concat(F.lit(f"{field}[]."), k)))
+        found = F.when(F.array_contains(found, field), F.concat(found, F.coalesce(nested, F.array().cast("array<string>")))).otherwise(found)
+    return found
+
+
 def canonical_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """(conv_id, layout, turns) of a column of JSON objects whose layout may differ by row: the
     fingerprint of each row's own field paths selects its mapping."""
-    shape = F.schema_of_variant(F.try_parse_json(F.col(payload)))
-    # the type text of a variant object lists the fields by name; only names and nesting matter
-    bare = F.regexp_replace(shape, r": (STRING|BIGINT|BOOLEAN|DOUBLE|VOID|DECIMAL\(\d+,\d+\))", "")
-    by_shape = {_variant_shape(kind): name for name, (_, kind, _) in LAYOUTS.items()}
-    shapes = F.create_map(*[F.lit(x) for s, name in by_shape.items() for x in (hashlib.sha256(s.encode()).hexdigest(), name)])
-    layout = F.get(F.array(shapes[F.sha2(bare, 256)]), F.lit(0))
+    def selected(paths: Column) -> Column:
+        names = F.create_map(*[F.lit(x) for pair in BY_FINGERPRINT.items() for x in pair])
+        tried = [names[F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, known)))), "\n"), 256)] for known in _TRIED if known != ROWS]
+        return F.coalesce(*tried)
+
     turns = F.lit(None).cast(f"array<{TURN}>")
     for name, (_, kind, build) in LAYOUTS.items():
         parsed = F.from_json(F.col(payload), kind)
         turns = F.when(F.col("layout") == name, build(lambda field, p=parsed: p[field])).otherwise(turns)
-    picked = df.select("conv_id", payload, layout.alias("layout"))
+    picked = df.select("conv_id", payload, let(payload_paths(F.col(payload)), selected).alias("layout"))
     return picked.select("conv_id", "layout", F.coalesce(turns, F.array().cast(f"array<{TURN}>")).alias("turns"))
 
 
-def _variant_shape(ddl: str) -> str:
-    """The type text that a variant of this layout has, without the types of its leaves."""
-    def text(kind: T.DataType) -> str:
-        if isinstance(kind, T.StructType):
-            return "OBJECT<" + ", ".join(f.name + (f": {t}" if (t := text(f.dataType)) else "") for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-        if isinstance(kind, T.ArrayType):
-            return f"ARRAY<{text(kind.elementType)}>"
-        return ""
-
-    return text(T._parse_datatype_string(ddl))
-
-
 def escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("|"), F.lit("\\p"))
 

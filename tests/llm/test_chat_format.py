@@ -69,6 +69,37 @@ def test_payload_rows_of_mixed_layouts(spark):
     assert all(got[i]["layout"] is None and got[i]["turns"] == [] for i in (90, 91, 92))
 
 
+def test_payloads_with_more_or_fewer_fields(spark):
+    turns = [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a", "tool": {"id": [1]}}]
+    payloads = [
+        {"messages": turns, "id": 5, "meta": {"a": [1, {"b": 2}]}}, {"messages": []}, {"messages": [turns[0], {"role": "assistant"}]},
+        {"prompt": "q", "response": "a", "score": 1.5, "input": None}, {"prompt": None, "response": "a"}, {"messages": [{"role": "user"}]}, {"messages": "q"},
+        {"messages": [None, turns[0]]}, {"instruction": "q", "output": "a", "messages": []},
+    ]
+    rows = [(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(90, "[1, 2]"), (91, "7"), (92, '"x"'), (93, ""), (94, "null")]
+    got = {r["conv_id"]: r for r in C.canonical_payloads(spark.createDataFrame(rows, "conv_id long, payload string")).collect()}
+    said = {i: [(t["role"], t["text"]) for t in r["turns"]] for i, r in got.items()}
+    assert [got[i]["layout"] for i in range(9)] == ["messages", "messages", "messages", "prompt_response", "prompt_response", None, None, "messages", "instruction"]
+    assert said[0] == said[3] == [("user", "q"), ("assistant", "a")] and said[1] == said[5] == []
+    assert said[2] == [("user", "q"), ("assistant", "")] and said[4] == [("user", ""), ("assistant", "a")]
+    assert said[7] == [("", ""), ("user", "q")]
+    assert all(got[i]["layout"] is None and said[i] == [] for i in range(90, 95))
+
+
+def test_columns_of_other_layouts_do_no_harm(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    for name in ("prompt", "response", "input", "output", "instruction", "completion", "layout", "turns"):
+        df = df.withColumn(name, F.lit("other"))
+    assert C.layout_of(df.schema) == "rows"
+    assert [(t["role"], t["text"]) for t in C.canonical_turns(df).first()["turns"]] == [("user", "a")]
+
+
+def test_very_long_texts(spark):
+    text = "<|end|>\n|\\" * 200_000
+    found = back(spark, [(1, 0, "user", text), (1, 1, "assistant", text + "x")])[1]
+    assert [t["text"] for t in found["turns"]] == [text, text + "x"]
+
+
 def test_query_has_the_extra_conversation(spark, sf):
     from lakeloom.llm.queries import op3_chat_format
 
