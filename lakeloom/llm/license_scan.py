@@ -57,6 +57,23 @@ NOTICES = {
     "This is free and unencumbered software released into the public domain": "unlicense",
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "Boost Software License - Version 1.0": "bsl-1.0",
+    # whole licence texts
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.": "mit-full",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.": "bsd-2-conditions",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.": "isc-full",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely": "zlib",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License.": "apache-2.0",
 }
 
 
@@ -70,14 +87,16 @@ def template_words(text: str) -> list[str]:
 
 
 def template_positions(spark: SparkSession) -> DataFrame:
-    """(template, label, phrase, grams, tpos, gram, h): a row for each gram of each template. Its
-    size is that of the fixed lists above."""
+    """(template, label, phrase, grams, often, tpos, gram, h): a row for each gram of each template;
+    often is the number of places of the template's commonest gram. Its size is that of the fixed lists
+    above."""
     rows = []
     for k, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
         words = template_words(text)
         grams = [" ".join(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)]
-        rows += [(k, label, k < len(PHRASES), len(grams), i, gram) for i, gram in enumerate(grams)]
-    found = spark.createDataFrame(rows, "template int, label string, phrase boolean, grams int, tpos int, gram string")
+        often = max(map(grams.count, grams))
+        rows += [(k, label, k < len(PHRASES), len(grams), often, i, gram) for i, gram in enumerate(grams)]
+    found = spark.createDataFrame(rows, "template int, label string, phrase boolean, grams int, often int, tpos int, gram string")
     return found.withColumn("h", F.get(shingle_hashes(F.split("gram", " "), GRAM), F.lit(0)))
 
 
@@ -91,7 +110,7 @@ def _scanned(words: Column, known: list[int]) -> Column:
 
 
 def diagonals(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, template, label, phrase, grams, diagonal, votes, at), and a row
+    """(row, doc_id, n_words, template, label, phrase, grams, often, diagonal, votes, at), and a row
     with a null template for each document without votes. ``row`` numbers the input rows, ``at`` has
     the document positions of the votes."""
     templates = template_positions(docs.sparkSession)
@@ -99,26 +118,31 @@ def diagonals(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", let(scan_words(F.col("text")), lambda w: _scanned(w, known)).alias("s"))
     rows = rows.select("row", "doc_id", "s.n_words", F.explode_outer("s.hits").alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     matched = rows.join(F.broadcast(templates), ["h", "gram"], "left").repartition("row")
-    return matched.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+    return matched.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", "often", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.count("pos").alias("votes"), F.collect_list("pos").alias("at")
     )
 
 
-def _covered(matches: Column, grams: Column) -> Column:
+def stretch_of(grams: Column) -> Column:
+    """Words of a document that a verified span may take: a break costs at least a gram, so it has no
+    more breaks than grams to miss; one more for a repeated word, which costs none."""
+    return grams + SLACK * (F.floor(grams * (1 - COVERED) + 1e-9).cast("int") + 1)
+
+
+def _covered(matches: Column, grams: Column, often: Column) -> Column:
     """Most distinct template positions in a stretch of the document. ``matches`` are sorted pairs
-    (pos, tpos); a position of a document matches at most all positions of the template."""
-    # a break costs at least a gram, so a verified passage has no more breaks than grams to miss; one
-    # more for a repeated word, which costs none
-    stretch = grams + SLACK * (F.floor(grams * (1 - COVERED) + 1e-9).cast("int") + 1)
+    (pos, tpos); a position of a document matches at most ``often`` positions of the template."""
+    stretch = stretch_of(grams)
 
     def best(ms: Column) -> Column:
-        def ahead(m: Column, j: Column) -> Column:
-            near = F.filter(F.slice(ms, j + 1, stretch * grams), lambda x: x["pos"] < m["pos"] + stretch)
+        def ahead(j: Column) -> Column:
+            near = F.filter(F.slice(ms, j + 1, stretch * often), lambda x: x["pos"] < F.get(ms, j)["pos"] + stretch)
             return F.size(F.array_distinct(F.transform(near, lambda x: x["tpos"])))
 
         whole = F.size(F.array_distinct(F.transform(ms, lambda x: x["tpos"])))
         fits = F.element_at(ms, -1)["pos"] < F.get(ms, F.lit(0))["pos"] + stretch
-        return F.when(fits, whole).otherwise(F.array_max(F.transform(ms, ahead)))
+        begins = F.filter(F.sequence(F.lit(0), F.size(ms) - 1), lambda j: F.coalesce(F.get(ms, j - 1)["pos"] < F.get(ms, j)["pos"], F.lit(True)))
+        return F.when(fits, whole).otherwise(F.array_max(F.transform(begins, ahead)))
 
     return let(matches, best)
 
@@ -131,13 +155,13 @@ def spans(found: DataFrame) -> DataFrame:
     merged = found.withColumn("jump", jump).withColumn("span", F.sum("jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.when(F.col("phrase") & (F.col("votes") == F.col("grams")), F.col("diagonal"))
     pairs = F.transform("at", lambda p: F.struct(p.alias("pos"), (p - F.col("diagonal")).alias("tpos")))
-    joined = merged.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", "span").agg(
+    joined = merged.groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "grams", "often", "span").agg(
         F.count(place).alias("places"),
         F.min(place).alias("first_place"),
         F.max(place).alias("last_place"),
         F.array_sort(F.flatten(F.collect_list(pairs))).alias("matches"),
     )
-    return joined.withColumn("covered", F.when(F.col("template").isNotNull(), _covered(F.col("matches"), F.col("grams")) / F.col("grams"))).drop("matches")
+    return joined.withColumn("covered", F.when(F.col("template").isNotNull(), _covered(F.col("matches"), F.col("grams"), F.col("often")) / F.col("grams"))).drop("matches")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

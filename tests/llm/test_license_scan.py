@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -61,3 +62,55 @@ def test_repeated_and_scattered_grams_are_not_a_notice(spark):
     got = rows(spark, [repeated, scattered, stutter, spread, "Boost Software License - Version 1.0 " * 3])
     assert [got[k]["labels"] for k in range(5)] == ["", "", "bsl-1.0", "mit-text", "bsl-1.0"]
     assert got[0]["score"] == 0.4 and got[1]["score"] == 0.8 and got[2]["score"] == got[4]["score"] == 1.0
+
+
+def spanned(text):
+    """Labels and score by comparing every place of a document with every template."""
+    words = L.template_words(text or "")
+    labels, score = set(), 0.0
+    for k, (wording, label) in enumerate([*L.PHRASES.items(), *L.NOTICES.items()]):
+        known = L.template_words(wording)
+        grams = len(known) - 1
+        matches = [(p, t) for p in range(len(words) - 1) for t in range(grams) if words[p : p + 2] == known[t : t + 2]]
+        if k < len(L.PHRASES):
+            if any(words[p : p + len(known)] == known for p in range(len(words))):
+                labels.add(label)
+                score = 1.0
+            continue
+        stretch = grams + L.SLACK * (int(grams * (1 - L.COVERED) + 1e-9) + 1)
+        chains = []
+        for p, t in sorted(matches, key=lambda m: m[0] - m[1]):
+            if not chains or (p - t) - chains[-1][-1][2] > L.SLACK:
+                chains.append([])
+            chains[-1].append((p, t, p - t))
+        for chain in chains:
+            most = max(len({t for p, t, _ in chain if at <= p < at + stretch}) for at, _, _ in chain) / grams
+            score = max(score, most)
+            if most >= L.COVERED:
+                labels.add(label)
+    return ",".join(sorted(labels)), round(score, 6)
+
+
+def test_labels_and_score_agree_with_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["public license " * 5, *TEXTS]
+    for _ in range(160):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = re.split(r"\s+", rng.choice([*L.PHRASES, *L.NOTICES]))
+            if rng.random() < 0.4:
+                words = words[rng.randint(0, len(words) // 2) : len(words) - rng.randint(0, len(words) // 2)]
+            for _ in range(rng.choice((0, 0, 1, 3, 6))):
+                at = rng.randrange(len(words) + 1)
+                words[at : at + rng.randint(0, 2)] = rng.choices(["odd", "license", "the", "software"], k=rng.randint(0, 3))
+            parts.append(" ".join(words * rng.choice((1, 1, 1, 3))))
+        texts.append((" " + FILL * rng.randint(0, 2)).join(parts))
+    got = rows(spark, texts)
+    assert {k: (r["labels"], r["score"]) for k, r in got.items()} == {k: spanned(t) for k, t in enumerate(texts)}
+    assert got[0]["labels"] == "" and got[0]["score"] < L.COVERED
+
+
+def test_very_long_and_repetitive_texts(spark):
+    mit = next(k for k, v in L.NOTICES.items() if v == "mit-full")
+    got = rows(spark, [FILL * 60_000 + mit, "the software and this software " * 8_000, f"{mit} {FILL}" * 100])
+    assert [got[k]["labels"] for k in range(3)] == ["mit-full,mit-text", "", "mit-full,mit-text"]
