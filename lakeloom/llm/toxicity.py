@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +32,6 @@ from .common import masked, shipped, stored, unmasked
 
 #: Bound of the labelled rows that are fitted on.
 FIT_ROWS = 24_000
-MAX_ENTRIES = 4_000
-MAX_EXCEPTIONS = 4_000
 MIN_DOCS = 3
 PRECISION = 0.85
 PREFIXES = range(4, 9)
@@ -84,11 +83,18 @@ class Matcher:
         free: list[tuple[int, int]] = []
         for end, (size, weight) in self.automaton.iter(f" {' '.join(words)} "):
             start = end - size + 1
-            if weight is None:
-                free.append((start, end))
-            else:
+            if weight is not None:
                 found[start] = max(weight, found.get(start, 0.0))
-        return {at: w for at, w in found.items() if not any(a <= at < b for a, b in free)} if free else found
+            else:
+                while free and free[-1][0] >= start:
+                    free.pop()  # the phrase found last starts before these and ends after them
+                if not free or free[-1][1] < end:
+                    free.append((start, end))
+        if not free:
+            return found
+        # starts and ends of what is left both rise: the last phrase that starts at or before a hit ends last
+        starts = [a for a, _ in free]
+        return {at: w for at, w in found.items() if not ((k := bisect_right(starts, at)) and at < free[k - 1][1])}
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         words = folded_words(text)
@@ -127,13 +133,13 @@ def _word_entries(words: list[str]) -> set[str]:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Entry -> weight; at most ``MAX_ENTRIES``, those with the most toxic documents."""
+    """Entry -> weight, of every entry that the rows of the fit bear out."""
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = totals.get(1, 0), totals.get(0, 0)
     if not (n_toxic and n_other):
         return {}
     counted = _document_counts(rows, _word_entries).where((F.col("t") >= MIN_DOCS) & (F.col("t") >= PRECISION * (F.col("t") + F.col("f"))))
-    best = counted.orderBy(F.desc("t"), "entry").limit(MAX_ENTRIES).collect()
+    best = counted.orderBy("entry").collect()  # entries of the rows of the fit, which are bounded
     return {r["entry"]: math.log((r["t"] + 0.5) / (n_toxic + 1)) - math.log((r["f"] + 0.5) / (n_other + 1)) for r in best}
 
 
@@ -154,7 +160,7 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float]) -> list[str]:
         return found
 
     counted = _document_counts(rows, phrases).where((F.col("f") >= MIN_DOCS) & (F.col("t") <= 0.2 * (F.col("t") + F.col("f"))))
-    return [r["entry"] for r in counted.orderBy(F.desc("f"), "entry").limit(MAX_EXCEPTIONS).collect()]
+    return [r["entry"] for r in counted.orderBy("entry").collect()]  # as bounded as the rows of the fit
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lakeloom.llm import toxicity as X
@@ -16,6 +18,32 @@ def test_matcher_words_beginnings_and_exceptions():
     assert X.Matcher({}).hits(["a"]) == {} and m.hits([]) == {}
 
 
+def brute(lexicon, exceptions, words):
+    text, found = f" {' '.join(words)} ", {}
+    for entry, weight in lexicon.items():
+        for at in range(len(text)):
+            if text.startswith(entry, at):
+                found[at] = max(weight, found.get(at, 0.0))
+    free = [(at, at + len(p) - 1) for p in exceptions for at in range(len(text)) if text.startswith(p, at)]
+    return {at: w for at, w in found.items() if not any(a <= at < b for a, b in free)}
+
+
+def test_matcher_against_brute_force():
+    for seed in range(200):
+        rng = random.Random(seed)
+        some = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(12)]
+        lexicon = {rng.choice([f" {w} ", f" {w}"]): rng.random() for w in rng.sample(some, 5)}
+        phrases = sorted({f" {' '.join(rng.choices(some, k=rng.randint(1, 3)))} " for _ in range(6)} - lexicon.keys())
+        words = rng.choices(some, k=rng.randint(0, 40))
+        assert X.Matcher(lexicon, phrases).hits(words) == (brute(lexicon, phrases, words) if words else {})
+
+
+def test_long_texts_take_linear_time():
+    m = X.Matcher({" bad ": 1.0}, [" bad day "])
+    hits = m.hits("bad day bad luck".split() * 100_000)
+    assert len(hits) == 100_000
+
+
 def test_length_normalises():
     m = X.Matcher({" bad ": 2.0})
     short, long = m.features("bad"), m.features("bad" + " fine" * 500)
@@ -50,8 +78,8 @@ def test_defined_edge_cases(spark):
 def test_held_out_accuracy(spark):
     from lakeloom.llm.queries import op6_toxicity
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     found = op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     toxic = found[found["toxic"] == 1]
-    assert (found["predicted"] == found["toxic"]).mean() > 0.93 and toxic["predicted"].mean() > 0.5
-    assert found[found["toxic"] == 0]["predicted"].mean() < 0.02
+    assert (found["predicted"] == found["toxic"]).mean() > 0.97 and toxic["predicted"].mean() > 0.9
+    assert found[found["toxic"] == 0]["predicted"].mean() < 0.01
