@@ -3,14 +3,21 @@ operations only.
 
 Each text becomes a vector of four transformed statistics (word length, symbol share, repeated
 lines, repeated word windows). Per language and source the three quarters of the rows with the
-least covariance determinant are sought: from coordinate-wise medians, concentration steps take the rows within
-the 75 % quantile of the Mahalanobis distance and estimate centre and covariance anew. Rows beyond
-the ``SURE`` quantile of the fitted distance are rejected.
+least covariance determinant are sought, from three fixed starts around the coordinate-wise medians
+(median deviations alone, with the correlation of spatial signs, with that of hyperbolic tangents).
+Concentration steps take the rows within the 75 % quantile of the Mahalanobis distance and estimate
+centre and covariance anew, which never raises the determinant: after ``TRIALS`` steps each group goes
+on with the start of least determinant, until no determinant moves any more.
+
+Rows beyond the ``SURE`` quantile of chi-square are rejected. Where the core itself scatters more than
+that distribution, the cut is raised by the same factor. Variances have floors: a statistic that hardly
+varies in a group must move visibly before it counts. So in groups of little scatter the cut is
+conservative: it keeps more than ``SURE`` says.
 
 Groups under ``MIN_ROWS`` rows are pooled: first per language, then all together; a pool that is
-still smaller rejects nothing. Estimates are aggregates (counts, sums, exact quantiles of rounded
-values), so a source with a third of all rows costs a row a task in each shuffle. Variances have
-floors: a statistic that hardly varies in a group must move visibly before it counts.
+still smaller rejects nothing. Quantiles are taken from histograms of rounded values, counted by group
+and value first, so a source with a third of all rows costs a row a task and value in each shuffle, and
+no task gets the rows of a group.
 
 Defined results. Null or empty text: no words, base_failed. Null lang or source: a group of their
 own, together with the empty string. Repeated rows count as often as they occur. Empty tables give
@@ -28,14 +35,20 @@ from .common import SPACE, let, shingle_hashes, stored, words_of
 
 WINDOW = 5
 MIN_WORDS = 10
-#: Share of a group's rows that the estimates rest on, and number of concentration steps.
-CORE, STEPS = 0.75, 4
+#: Share of a group's rows that the estimates rest on.
+CORE = 0.75
+#: Concentration steps of all starts, bound of those of the best, and the change of the determinant's
+#: logarithm below which they end.
+TRIALS, STEPS, STABLE = 2, 40, 1e-4
+STARTS = 3
 MIN_ROWS = 50
 #: Probability that a row of the fitted distribution is kept.
 SURE = 1 - 1e-7
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 #: Least standard deviation of each feature.
 FLOORS = (0.06, 0.25, 0.25, 0.25)
+#: Estimates are broadcast for up to this many groups (some 200 bytes each), beyond it joined by shuffle.
+BROADCAST_GROUPS = 50_000
 _P = len(FEATURES)
 
 
@@ -138,9 +151,21 @@ def _distance() -> Column:
     return total
 
 
-def _rounded(value: Column, most: float, digits: int) -> Column:
-    """Few distinct values, so that exact quantiles stay small and do not depend on the order."""
-    return F.round(F.least(value, F.lit(most)), digits)
+def _bin(distance: Column) -> Column:
+    """Few distinct values that rise with the distance."""
+    return F.round(F.log1p(F.greatest(F.least(distance, F.lit(1e8)), F.lit(0.0))), 3)
+
+
+def _small_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins a stored table with a row a group (or a few)."""
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS * STARTS else groups, keys, how)
+
+
+def _quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], share: float) -> DataFrame:
+    """(keys, quantiles under the names of ``values``), from counts of each rounded value."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("of"), value.alias("at")) for name, value in values.items()])
+    counted = rows.select(*keys, F.explode(pairs).alias("v")).groupBy(*keys, "v.of", "v.at").agg(F.count("*").alias("often"))
+    return counted.groupBy(*keys).agg(*[F.expr(f"percentile(at, {share}, often) FILTER (WHERE of = '{name}')").alias(name) for name in values])
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -154,48 +179,94 @@ def grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("n_lang") >= MIN_ROWS, F.concat_ws("\x01", F.lit("lang"), "lang"))
         .otherwise("all").alias("group"),
     )
-    return rows.join(stored(keys), ["lang", "source"], "left")
+    return _small_join(rows, stored(keys), ["lang", "source"], "left")
+
+
+def _lower(name: str) -> list[str]:
+    return [f"{name}{i}{j}" for i in range(_P) for j in range(i + 1)]
+
+
+def _with_factor(df: DataFrame, cov: dict[tuple[int, int], Column], keys: list[str]) -> DataFrame:
+    """(keys, centre, Cholesky factor, logarithm of the determinant), variances lifted to their floors."""
+    lifted = {(i, j): F.greatest(c, F.lit(FLOORS[i] ** 2)) if i == j else c for (i, j), c in cov.items()}
+    df = df.select(*keys, *[f"m{i}" for i in range(_P)], *[c.alias(f"c{i}{j}") for (i, j), c in lifted.items()])
+    factor = _factor({(i, j): F.col(f"c{i}{j}") for i, j in lifted})
+    df = df.select(*keys, *[f"m{i}" for i in range(_P)], *[c.alias(f"l{i}{j}") for (i, j), c in factor.items()])
+    return df.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)))
+
+
+def starts(usable: DataFrame) -> DataFrame:
+    """(group, start, n, m<i>, l<i><j>, det): the first estimates of each group."""
+    names = {f"m{i}": F.round(f, 3) for i, f in enumerate(FEATURES)}
+    middle = stored(_quantiles(usable, ["group"], names, 0.5))
+    apart = {f"s{i}": F.round(F.abs(F.col(f) - F.col(f"m{i}")), 3) for i, f in enumerate(FEATURES)}
+    spread = stored(_quantiles(_small_join(usable, middle, ["group"]), ["group"], apart, 0.5))
+    scale = [F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) for i in range(_P)]
+    placed = _small_join(usable, stored(middle.join(spread, "group").select("group", *names, *[s.alias(f"s{i}") for i, s in enumerate(scale)])), ["group"])
+    z = [(F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}") for i, f in enumerate(FEATURES)]
+    length = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    kinds = {"a": [x / F.greatest(length, F.lit(1e-9)) for x in z], "b": [F.tanh(x) for x in z]}
+    products = [F.avg(x[i] * x[j]).alias(f"{k}{i}{j}") for k, x in kinds.items() for i in range(_P) for j in range(i + 1)]
+    held = [F.first(f"{c}{i}").alias(f"{c}{i}") for c in "ms" for i in range(_P)]
+    moments = stored(placed.groupBy("group").agg(F.count("*").alias("n"), *held, *products))
+
+    def correlation(k: str, i: int, j: int) -> Column:
+        if k == "":
+            return F.lit(0.0)
+        return F.coalesce(F.col(f"{k}{i}{j}") / F.sqrt(F.nullif(F.col(f"{k}{i}{i}") * F.col(f"{k}{j}{j}"), F.lit(0.0))), F.lit(0.0))
+
+    found = None
+    for number, k in enumerate(("", "a", "b")):
+        cov = {(i, j): F.col(f"s{i}") * F.col(f"s{j}") * (F.lit(1.0) if i == j else correlation(k, i, j)) for i in range(_P) for j in range(i + 1)}
+        one = _with_factor(moments.withColumn("start", F.lit(number)), cov, ["group", "start", "n"])
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def concentrated(usable: DataFrame, state: DataFrame) -> DataFrame:
+    """The estimates after one concentration step, with the quantile of the distances before it."""
+    placed = _small_join(usable, state, ["group"]).withColumn("bin", _bin(_distance()))
+    cut = stored(_quantiles(placed, ["group", "start"], {"cut": F.col("bin")}, CORE))
+    core = _small_join(placed, cut, ["group", "start"]).where(F.col("bin") <= F.col("cut"))
+    moments = core.groupBy("group", "start").agg(
+        F.first("n").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
+        *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i in range(_P) for j in range(i + 1)],
+    )
+    # the covariance of the core understates that of a normal distribution by this factor
+    factor = CORE / _chi2_even(chi2_quantile(CORE, _P), _P + 2)
+    cov = {(i, j): factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) for i in range(_P) for j in range(i + 1)}
+    return _with_factor(moments, cov, ["group", "start", "n"])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(group, n, m<i>, l<i><j>): centre and Cholesky factor of the scatter of each group."""
+    """(group, n, m<i>, l<i><j>, scale): centre and Cholesky factor of the scatter of each group, and the
+    factor by which its core scatters more than the distribution that the cut assumes."""
     usable = rows.where(~F.col("base_failed")).select("group", *FEATURES)
     # small tables are stored before they are joined: their size is then known, and where they are
     # too large to broadcast, a join that shuffles both sides can be split at a hot group
-    middle = stored(usable.groupBy("group").agg(F.count("*").alias("n"), *[F.percentile(F.round(f, 3), F.lit(0.5)).alias(f"m{i}") for i, f in enumerate(FEATURES)]))
-    spread = usable.join(middle, "group").groupBy("group").agg(
-        F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_P)],
-        *[F.percentile(F.round(F.abs(F.col(f) - F.col(f"m{i}")), 3), F.lit(0.5)).alias(f"s{i}") for i, f in enumerate(FEATURES)],
-    )
-    state = stored(spread.select(
-        "group", "n", *[f"m{i}" for i in range(_P)],
-        *[(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)],
-    ))
-    # the covariance of the core understates that of a normal distribution by this factor
-    factor = CORE / _chi2_even(chi2_quantile(CORE, _P), _P + 2)
+    state = stored(starts(usable))
+    for _ in range(TRIALS):
+        state = stored(concentrated(usable, state))
+    best = state.groupBy("group").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
+    state = stored(state.join(best, ["group", "start"]))
     for _ in range(STEPS):
-        placed = usable.join(state, "group").withColumn("d2", _rounded(_distance(), 1e4, 2))
-        cut = stored(placed.groupBy("group").agg(F.percentile("d2", F.lit(CORE)).alias("cut")))
-        core = placed.join(cut, "group").where(F.col("d2") <= F.col("cut"))
-        moments = core.groupBy("group").agg(
-            F.first("n").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
-            *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i in range(_P) for j in range(i + 1)],
-        )
-        cov = {(i, j): factor * (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(_P) for j in range(i + 1)}
-        state = moments
-        for (i, j), value in _factor({k: F.col(f"c{k[0]}{k[1]}") for k in cov}).items():
-            cov[f"l{i}{j}"] = value
-        state = state.select("*", *[v.alias(f"c{k[0]}{k[1]}") for k, v in cov.items() if isinstance(k, tuple)])
-        state = stored(state.select("group", "n", *[f"m{i}" for i in range(_P)], *[v.alias(k) for k, v in cov.items() if isinstance(k, str)]))
-    return state
+        before = state.select("group", F.col("det").alias("was"))
+        state = stored(concentrated(usable, state))
+        moved = state.join(before, "group").agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+        if moved is None or moved < STABLE:
+            break
+    placed = _small_join(usable, state, ["group"]).withColumn("bin", _bin(_distance()))
+    core = stored(_quantiles(placed, ["group"], {"core": F.col("bin")}, CORE))
+    scale = F.greatest(F.expm1("core") / chi2_quantile(CORE, _P), F.lit(1.0))
+    return state.join(core, "group").select("group", "n", *[f"m{i}" for i in range(_P)], *_lower("l"), scale.alias("scale"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """The statistics of each row, its squared distance and whether it is kept."""
     measured = stored(_features(statistics(docs)))  # texts are read once, all else works on the vectors
     rows = stored(grouped(measured))
-    found = rows.join(estimates(rows), "group", "left").withColumn("distance", _distance())
-    outlier = F.coalesce((F.col("n") >= MIN_ROWS) & (F.col("distance") > chi2_quantile(SURE, _P)), F.lit(False))
+    found = _small_join(rows, stored(estimates(rows)), ["group"], "left").withColumn("distance", _distance())
+    outlier = F.coalesce((F.col("n") >= MIN_ROWS) & (F.col("distance") > chi2_quantile(SURE, _P) * F.col("scale")), F.lit(False))
     return found.select(*rows.columns, "distance", (~F.col("base_failed") & ~outlier).alias("kept"))
 
 
