@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import pathlib
 import tempfile
 import uuid
@@ -65,7 +64,6 @@ class Scratch:
         for _, path in gone:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        release(self.spark)
 
     def clear(self) -> None:
         self.drop(*[frame for frame, _ in self.held])
@@ -103,12 +101,6 @@ def unmasked(df: DataFrame, key: str, kind: T.DataType) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished phases now, not at some later time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

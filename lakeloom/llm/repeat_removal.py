@@ -11,8 +11,10 @@ and the bytes of a run a segment.
 2. Where one gram has several distinct segments, a representative of each is cut out of its text.
    The suffixes that start at their anchors are range-partitioned by leading tokens, with splitters
    that Spark samples; the bucket count follows the bytes. Each bucket sorts its suffixes by
-   multikey quicksort (8-byte tokens, equal parts go on to the next token) and compares, within each
-   run of suffixes with the same gram, all strings of the segments.
+   multikey quicksort (8-byte tokens, equal parts go on to the next token). A repeated string holds the
+   gram at the same place, so among the suffixes that start equally far before one gram the sort goes
+   on token by token, and neighbours that agree over ``LENGTH`` bytes are repeats: bytes are compared,
+   not hashes.
 3. A run of suffixes with one gram stays in one bucket, unless it has more than ``HOT_KINDS`` distinct
    segments: then what follows the gram splits it over several buckets, and the strings of its parts
    are compared across the boundaries in one more exchange, by 128-bit fingerprint.
@@ -26,7 +28,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -157,57 +159,114 @@ def cut_segments(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.withColumn("lead", F.when(F.col("kinds") > HOT_KINDS, F.col("suffix")).otherwise(F.expr(f"substring(suffix, 1, {GRAM})")))
 
 
+def refined(order: np.ndarray, part: np.ndarray, depths: int, token: Callable[[np.ndarray, int], np.ndarray]) -> None:
+    """Multikey quicksort in place, all open parts of a level at once: rows are sorted by their next
+    token within their part, and only parts of equals go deeper. ``part`` holds for each place of the
+    order the first place of its part; in the end rows of one part agree in all tokens."""
+    active = _open(part, np.arange(len(order)))
+    for depth in range(depths):
+        if not len(active):
+            return
+        rows, own = order[active], part[active]
+        key = token(rows, depth)
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        sizes = np.diff(np.append(heads, len(active)))
+        mixed = np.logical_or.reduceat(key != np.repeat(key[heads], sizes), heads)
+        if not mixed.any():
+            continue  # equals in every part: nothing moves
+        some = np.flatnonzero(np.repeat(mixed, sizes))
+        by = np.lexsort((key[some], own[some]))
+        places, key, own = active[some], key[some][by], own[some]
+        order[places] = rows[some][by]
+        starts = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+        part[places] = places[np.maximum.accumulate(np.where(starts, np.arange(len(places)), 0))]
+        active = _open(part, active)
+
+
+def _open(part: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places whose part has several rows."""
+    own = part[places]
+    twin = np.concatenate([own[1:] == own[:-1], [False]]) if len(own) else np.zeros(0, bool)
+    return places[twin | np.concatenate([[False], twin[:-1]])] if len(own) else places
+
+
 def multikey_order(bodies: list[bytes]) -> np.ndarray:
-    """Order of byte strings by multikey quicksort, all open parts of a level at once: rows are
-    sorted by their next 8-byte token within their part, and only parts of equals go deeper."""
+    """Order of byte strings by multikey quicksort over 8-byte tokens, then by length."""
     n = len(bodies)
-    width = -(-max(map(len, bodies), default=0) // 8) * 8
-    table = np.zeros((n, width), np.uint8)
-    for k, body in enumerate(bodies):
-        table[k, : len(body)] = np.frombuffer(body, np.uint8)
-    tokens = table.view(">u8")
-    sizes = np.array([len(b) for b in bodies])
+    sizes = np.array([len(b) for b in bodies], np.uint64)
+    begins = np.cumsum(sizes) - sizes
+    tokens = tokens_of(np.frombuffer(b"".join(bodies), np.uint8))
+    deep = -(-int(sizes.max()) // 8) if n else 0
+
+    def token(rows: np.ndarray, depth: int) -> np.ndarray:
+        if depth == deep:
+            return sizes[rows]
+        left = np.clip(sizes[rows].astype(np.int64) - 8 * depth, 0, 8)
+        at = np.minimum(begins[rows].astype(np.int64) + 8 * depth, len(tokens) - 1)
+        # what lies behind the end of a string reads as zero bytes
+        return tokens[at] & _AHEAD[left]
+
     order, part = np.arange(n), np.zeros(n, np.int64)
-    active = np.arange(n) if n > 1 else np.arange(0)
-    for depth in range(tokens.shape[1] + 1):
-        if not len(active):
-            break
-        rows = order[active]
-        key = tokens[rows, depth].astype(np.uint64) if depth < tokens.shape[1] else sizes[rows].astype(np.uint64)
-        by = np.lexsort((key, part[active]))
-        order[active], key = rows[by], key[by]
-        starts = np.concatenate([[True], (key[1:] != key[:-1]) | (part[active][1:] != part[active][:-1])])
-        part[active] = active[np.maximum.accumulate(np.where(starts, np.arange(len(active)), 0))]
-        twin = np.concatenate([part[active][1:] == part[active][:-1], [False]])
-        active = active[twin | np.concatenate([[False], twin[:-1]])]
+    refined(order, part, deep + 1, token)
     return order
 
 
+#: Masks that leave the first k bytes of a token.
+_AHEAD = np.array([0] + [_MASK ^ ((1 << (64 - 8 * k)) - 1) for k in range(1, 9)], np.uint64)
+
+
+def tokens_of(data: np.ndarray) -> np.ndarray:
+    """The 8-byte token that starts at each byte, as a number that sorts like its bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : k + len(out)]
+    return out
+
+
 class Bucket:
     """One bucket of segments in suffix order, with the strings of all of them."""
 
-    def __init__(self, frame: pd.DataFrame, one: Rolling, two: Rolling, hot: int):
+    def __init__(self, frame: pd.DataFrame, hot: int):
         order = multikey_order(frame["suffix"].tolist())
         self.frame = frame = frame.iloc[order].reset_index(drop=True)
         grams = frame["gram"].to_numpy()
         self.outer = ((grams == grams[0]) | (grams == grams[-1])) & (frame["kinds"].to_numpy() > hot)
         sizes = np.array([len(b) for b in frame["body"]])
-        self.data = np.frombuffer(b"".join(frame["body"]), np.uint8)
         counts = sizes - LENGTH + 1
         self.owner = np.repeat(np.arange(len(frame)), counts)
-        shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.start = frame["lo"].to_numpy()[self.owner] + shift
-        at = np.repeat(np.cumsum(sizes) - sizes, counts) + shift
-        self.first, self.second = (np.concatenate(list(_pieces(self.data, r)))[at] for r in (one, two))
+        self.shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.start = frame["lo"].to_numpy()[self.owner] + self.shift
+        self.at = np.repeat(np.cumsum(sizes) - sizes, counts) + self.shift
+        self.data = np.frombuffer(b"".join(frame["body"]), np.uint8)
 
     def repeated(self) -> np.ndarray:
-        """Strings that another segment of the bucket holds too."""
-        order = np.lexsort((self.second, self.first))
-        same = (self.first[order][1:] == self.first[order][:-1]) & (self.second[order][1:] == self.second[order][:-1])
+        """Strings that another segment of the bucket holds too: those that agree with a neighbour over
+        ``LENGTH`` bytes in the order of the suffixes that start as far before the same gram."""
+        kinds = np.unique(self.frame["gram"].to_numpy(), return_inverse=True)[1]
+        ahead = self.frame["off"].to_numpy()[self.owner] - self.shift
+        lead = kinds[self.owner] * LENGTH + ahead
+        order = np.argsort(lead, kind="stable")
+        lead = lead[order]
+        starts = np.concatenate([[True], lead[1:] != lead[:-1]])
+        part = np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+        tokens = tokens_of(self.data)
+        refined(order, part, LENGTH // 8, lambda rows, depth: tokens[self.at[rows] + 8 * depth])
         flags = np.zeros(len(order), bool)
-        flags[order[1:][same]] = flags[order[:-1][same]] = True
+        flags[order[_open(part, np.arange(len(order)))]] = True
         return flags
 
+    def fingerprints(self, some: np.ndarray, one: Rolling, two: Rolling) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each of some strings, for the comparison with other buckets."""
+        used = np.unique(self.owner[some])
+        bodies = [self.frame["body"].iloc[k] for k in used]
+        begins = np.zeros(len(self.frame), np.int64)
+        begins[used] = np.cumsum([0] + [len(b) for b in bodies])[:-1]
+        at = begins[self.owner[some]] + self.shift[some]
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        first, second = (np.concatenate(list(_pieces(data, r)))[at] for r in (one, two))
+        return first, second
+
 
 def _pieces(data: np.ndarray, rolling: Rolling) -> Iterator[np.ndarray]:
     for at in range(0, len(data) - LENGTH + 1, BLOCK):
@@ -223,7 +282,7 @@ def compare_buckets(segments: DataFrame, buckets: int) -> DataFrame:
         parts = [f for f in frames if len(f)]
         if not parts:
             return
-        bucket = Bucket(pd.concat(parts, ignore_index=True), Rolling(2), Rolling(3), hot)
+        bucket = Bucket(pd.concat(parts, ignore_index=True), hot)
         frame, owner, start = bucket.frame, bucket.owner, bucket.start
         twin, outer = bucket.repeated(), bucket.outer[owner]
         single = frame["n"].to_numpy()[owner] == 1
@@ -234,10 +293,15 @@ def compare_buckets(segments: DataFrame, buckets: int) -> DataFrame:
             yield _spans(frame, owner[first], start[first], start[last] + LENGTH)
         # what the bucket itself repeats is settled: one of each stands for it at the boundary
         edge = np.flatnonzero(outer)
-        edge = edge[np.unique(np.stack([bucket.first[edge], bucket.second[edge]]), axis=1, return_index=True)[1]] if len(edge) else edge
+        if not len(edge):
+            return
+        f1, f2 = bucket.fingerprints(edge, Rolling(2), Rolling(3))
+        one = np.unique(np.stack([f1, f2]), axis=1, return_index=True)[1]
+        edge, f1, f2 = edge[one], f1[one].view(np.int64), f2[one].view(np.int64)
         for at in range(0, len(edge), 200_000):
-            k = edge[at : at + 200_000]
-            yield _spans(frame, owner[k], start[k], start[k] + LENGTH, bucket.first[k].view(np.int64), bucket.second[k].view(np.int64), twin[k])
+            some = slice(at, at + 200_000)
+            k = edge[some]
+            yield _spans(frame, owner[k], start[k], start[k] + LENGTH, f1[some], f2[some], twin[k])
 
     dealt = shipped(segments).repartitionByRange(buckets, "lead")
     kind = segments.schema["doc_id"].dataType.simpleString()

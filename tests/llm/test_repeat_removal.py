@@ -98,6 +98,41 @@ def test_multikey_order_is_byte_order():
     assert [bodies[i] for i in order] == sorted(bodies)
 
 
+def test_neighbours_in_suffix_order_tell_the_repeats():
+    rng = random.Random(9)
+    rolling, shared = R.Rolling(1), words(rng, 80)
+    bodies = [(words(rng, 50) + shared[rng.randint(0, 40) :] + words(rng, 50)).encode() for _ in range(25)]
+    rows = []
+    for k, body in enumerate(bodies):
+        for gram, off, lo, hi in R.runs(body, rolling):
+            rows += [(k, int(g), int(o), int(a), body[a : b + R.LENGTH]) for g, o, a, b in zip(gram, off, lo, hi)]
+    often = Counter(r[1] for r in rows)
+    rows = [r for r in rows if often[r[1]] > 1]
+    frame = R.pd.DataFrame(rows, columns=["doc_id", "gram", "off", "lo", "body"]).assign(kinds=2, n=1)
+    frame["suffix"] = [b[o:] for b, o in zip(frame["body"], frame["off"])]
+    bucket = R.Bucket(frame, 10)
+    suffixes = [bytes(x) for x in bucket.frame["suffix"]]
+    assert suffixes == sorted(suffixes)
+    strings = [bytes(bucket.data[a : a + R.LENGTH]) for a in bucket.at]
+    seen = Counter(strings)
+    assert bucket.repeated().tolist() == [seen[x] > 1 for x in strings] and max(seen.values()) > 1
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(10)
+    long = words(rng, 60_000)
+    check(spark, [long, words(rng, 500) + long[200_000:230_000], "x" * 300_000])
+
+
+def test_clashing_columns(spark, texts):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    more = df.withColumns({c: F.lit(1) for c in ("version", "gram", "seg", "lo", "stop", "n", "kinds", "body", "suffix", "kept", "_doc")})
+    digest = lambda d: sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in R.remove_repeats(d).collect())
+    assert digest(df) == digest(more)
+
+
 def test_equal_strings_have_equal_anchors():
     rng = random.Random(6)
     body = words(rng, 200).encode()
