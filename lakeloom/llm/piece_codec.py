@@ -1,14 +1,22 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 Pieces and their scores come from a model file; the segmentation is the one with the greatest sum
-of scores (pieces as a unigram model, whichever way they were made), characters without a piece go
-to bytes. The search keeps scores for a window as long as the longest piece. Backpointers are kept
-until all surviving paths agree on a boundary: whatever lies before it is then final, its ids are
-committed and its backpointers dropped. Input may come in blocks of any size.
+of scores, characters without a piece go to bytes. The search takes text in blocks and holds scores
+and backpointers from the last committed boundary on. Where no piece reaches past a position, all
+paths meet there; otherwise, after the length of the longest piece and whenever what is held has
+doubled, the surviving backpointers are followed to where they converge. What lies before that boundary is final: its ids are committed and
+its text, scores and backpointers dropped. So the window is as long as the longest piece, and as much
+longer as the paths really disagree.
+
+Scores of a unigram model are log-probabilities and used as they are. A model made by merging has the
+ranks of its merges instead (they fall by one from piece to piece); a rank r stands for the
+log-probability of a Zipf-Mandelbrot law, -log(r + ``SHIFT``) less the normaliser. The ids are the most
+probable ones under that law, not those that merging in order gives: the README has figures.
 
 No piece of the usual vocabularies goes on past a blank, so paths always agree there; such places
-are found from the vocabulary (letter pairs inside no piece), and what lies between two of them is
-looked up in a bounded memo before it is searched. The result is that of one search over the text.
+are found from the vocabulary (letter pairs inside no piece). The search starts anew at each of them, so
+what it has committed between two is kept in a bounded memo and not searched again. The result is that
+of one search over the text.
 
 Blanks become U+2581 and one goes before the text, as the model's normaliser does. A U+2581 of the
 text itself is written in bytes, so decoding restores every text exactly.
@@ -35,9 +43,21 @@ from .common import shipped
 BLANK = "▁"
 #: Vocabulary file of the installed package of public tokenizers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO = 200_000
-MEMO_CHARS = 32
+#: Bound of the memo, in characters and entries times ``ENTRY``.
+MEMO, ENTRY = 3_000_000, 8
 UNKNOWN_PENALTY = 10.0
+#: Shift of the law that turns ranks into log-probabilities.
+SHIFT = 100
+EXACT = 1 << 24
+
+
+def log_probabilities(scores: list[float]) -> list[float]:
+    """Scores as they are, or if they are ranks of merges, those of the law of ranks."""
+    steps = sum(a - b == 1 for a, b in zip(scores, scores[1:], strict=False))
+    if steps < 0.9 * (len(scores) - 1) or len(scores) < 2:
+        return scores
+    norm = math.log(sum(1 / (SHIFT - s) for s in scores))
+    return [-math.log(SHIFT - s) - norm for s in scores]
 
 
 class Vocabulary:
@@ -47,7 +67,9 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}
+        worth = log_probabilities([model.get_score(i) for i in plain])
+        # multiples of a power of two have exact sums, so that equal paths are equal wherever a search begins
+        self.pieces = {model.id_to_piece(i): (i, round(w * EXACT) / EXACT) for i, w in zip(plain, worth, strict=True)}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         if len(self.bytes) != 256:
             raise ValueError("the model has no piece for every byte")
@@ -75,105 +97,103 @@ class Vocabulary:
 
 
 class StreamingViterbi:
-    """Feed blocks of text, take committed ids. ``widest`` is the longest stretch ever held."""
+    """Feed blocks of text, take committed ids. ``widest`` is the longest stretch that was ever searched
+    without a boundary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.text, self.done = "", 0
-        # position -> (score, start, id or None for bytes); positions are relative to the held text
-        self.best: dict[int, tuple[float, int, int | None]] = {0: (0.0, 0, None)}
+        self.text = ""
+        #: Places whose pieces are added, and the furthest place that a piece has reached.
+        self.done = self.reach = 0
+        #: Place of the last look for a boundary.
+        self.checked = 0
+        # by place since the last committed boundary: score, and where its best last piece starts and
+        # which it is (-1 for bytes)
+        self.score: list[float] = [0.0]
+        self.back: list[tuple[int, int]] = [(0, -1)]
         self.widest = 0
 
     def feed(self, block: str, last: bool = False) -> list[int]:
+        v = self.v
         self.text += block
+        text, score, back = self.text, self.score, self.back
+        n, longest, root, unknown = len(text), v.longest, v.tree, v.unknown
+        score += [-math.inf] * (n + 1 - len(score))
+        back += [(0, -1)] * (n + 1 - len(back))
         out: list[int] = []
-        held = self.v.longest
-        while self.done < len(self.text) and (last or self.done + held <= len(self.text)):
-            self._extend(self.done)
-            self.done += 1
-            self.widest = max(self.widest, self.done)
-            if self.done % held == 0 or self.done == len(self.text):
-                out += self._commit()
+        at, reach, begun, checked = self.done, self.reach, 0, self.checked
+        stop_at = n if last else n - longest + 1
+        while at < stop_at:
+            base, node, single = score[at], root, False
+            for stop in range(at, n):
+                found = node.get(text[stop])
+                if found is None:
+                    break
+                node, i, worth = found
+                if i >= 0:
+                    single = single or stop == at
+                    if base + worth > score[stop + 1]:
+                        score[stop + 1], back[stop + 1] = base + worth, (at, i)
+                        if stop >= reach:
+                            reach = stop + 1
+            if not single and base + unknown > score[at + 1]:
+                score[at + 1], back[at + 1] = base + unknown, (at, -1)
+            at += 1
+            reach = max(reach, at)
+            boundary = at if reach == at else begun
+            if boundary == begun and at - checked >= max(longest, checked - begun):
+                boundary, checked = self._converged(at, reach), at
+            if boundary > begun:
+                self.widest = max(self.widest, reach - begun)
+                self._commit(begun, boundary, out)
+                begun = checked = boundary
+        if begun:
+            base = score[begun]
+            self.score = [s - base for s in score[begun:]]
+            self.back = [(a - begun, i) for a, i in back[begun:]]
+            self.text = text[begun:]
+        self.done, self.reach, self.checked = at - begun, reach - begun, checked - begun
         return out
 
-    def _extend(self, at: int) -> None:
-        """Adds the pieces that start at ``at``."""
-        v, text, best = self.v, self.text, self.best
-        score, node = best[at][0], v.tree
-        single = node.get(text[at], (None, -1))[1] >= 0
-        for stop in range(at, len(text)):
-            found = node.get(text[stop])
-            if found is None:
-                break
-            node, i, worth = found
-            if i >= 0 and (stop + 1 not in best or score + worth > best[stop + 1][0]):
-                best[stop + 1] = (score + worth, at, i)
-        if not single and (at + 1 not in best or score + v.unknown > best[at + 1][0]):
-            best[at + 1] = (score + v.unknown, at, None)
-
-    def _commit(self) -> list[int]:
-        """Ids up to the last boundary on which the paths to all open positions agree."""
-        open_ = {p for p in self.best if p >= self.done}
+    def _converged(self, at: int, reach: int) -> int:
+        """The last boundary on which the best paths to all open places agree."""
+        back, score = self.back, self.score
+        open_ = {p for p in range(at, reach + 1) if score[p] > -math.inf}
         while len(open_) > 1:
             top = max(open_)
             open_.remove(top)
-            open_.add(self.best[top][1])
-        boundary = open_.pop()
-        if not boundary:
-            return []
-        out: list[int] = []
+            open_.add(back[top][0])
+        return open_.pop()
+
+    def _commit(self, begun: int, boundary: int, out: list[int]) -> None:
+        """Appends the ids between two boundaries."""
+        found: list[int] = []
         at = boundary
-        while at:
-            _, start, i = self.best[at]
-            out += [i] if i is not None else self.v.spelled(self.text[start])[::-1]
+        while at > begun:
+            start, i = self.back[at]
+            found += [i] if i >= 0 else self.v.spelled(self.text[start])[::-1]
             at = start
-        base = self.best[boundary][0]
-        self.best = {p - boundary: (s - base, b - boundary, i) for p, (s, b, i) in self.best.items() if p >= boundary}
-        self.best[0] = (0.0, 0, None)
-        self.text, self.done = self.text[boundary:], self.done - boundary
-        return out[::-1]
+        out += found[::-1]
 
 
 class Codec:
     def __init__(self, model_file: str = MODEL):
         self.v = Vocabulary(model_file)
         # two generations: when the young one is full it becomes the old one, so what is in use stays
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+        self.filled = 0
         alone = "".join(c for c in "\n\t\r" if c not in self.v.joined)  # paths agree on both sides of these
         self.chunks = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+") if self.v.ends_at_blanks else None
 
     def _searched(self, text: str) -> list[int]:
-        search = StreamingViterbi(self.v)
-        out: list[int] = []
-        for at in range(0, len(text), 4096):
-            out += search.feed(text[at : at + 4096])
-        return out + search.feed("", last=True)
-
-    def _within_window(self, text: str) -> tuple[int, ...]:
-        """The search for a stretch that one window holds: nothing is committed before its end."""
-        v, n = self.v, len(text)
-        tree, unknown = v.tree, v.unknown
-        score = [0.0] + [-math.inf] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        for at in range(n):
-            base, node = score[at], tree
-            for stop in range(at, n):
-                found = node.get(text[stop])
-                if found is None:
-                    break
-                node, i, worth = found
-                if i >= 0 and base + worth > score[stop + 1]:
-                    score[stop + 1], back[stop + 1] = base + worth, (at, i)
-            if base + unknown > score[at + 1] and tree.get(text[at], (None, -1))[1] < 0:
-                score[at + 1], back[at + 1] = base + unknown, (at, -1)
+        search, at = StreamingViterbi(self.v), 0
         out: list[int] = []
-        at = n
-        while at:
-            start, i = back[at]
-            out += [i] if i >= 0 else v.spelled(text[start])[::-1]
-            at = start
-        return tuple(out[::-1])
+        while at < len(text):
+            stop = at + max(self.v.longest, len(search.text))
+            out += search.feed(text[at:stop], last=stop >= len(text))
+            at = stop
+        return out
 
     def _stretch(self, text: str) -> list[int]:
         """Ids of a text in which U+2581 stands for blanks only."""
@@ -184,12 +204,10 @@ class Codec:
         for chunk in self.chunks.findall(text):
             ids = memo.get(chunk)
             if ids is None:
-                if len(chunk) > MEMO_CHARS:
-                    out.extend(self._searched(chunk))
-                    continue
-                ids = self.old.get(chunk) or self._within_window(chunk)
-                if len(memo) >= MEMO:
-                    self.old, self.memo = memo, {}
+                ids = self.old.get(chunk) or self._searched(chunk)
+                self.filled += len(chunk) + ENTRY
+                if self.filled > MEMO:
+                    self.old, self.memo, self.filled = memo, {}, len(chunk) + ENTRY
                     memo = self.memo
                 memo[chunk] = ids
             out.extend(ids)
