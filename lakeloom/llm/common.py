@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,49 +23,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests) is one made."""
+    """The folder that driver and executors share. One is made only on a single machine (tests); on a
+    cluster a folder of the driver would be seen by nobody else."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
     return context.getCheckpointDir().get()
 
 
-def _fresh_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
+#: Folders of intermediate tables that have not been deleted, oldest first.
+_made: dict[str, SparkSession] = {}
 
 
-def _stored_at(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage is cut, the
+    rows are compressed and columnar, and a lost executor loses nothing. The folder stays until it is
+    discarded, or the process ends."""
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_discard_all)
+    _made[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage is cut, the
-    rows are compressed and columnar, and a lost executor loses nothing."""
-    return _stored_at(df, _fresh_path(df.sparkSession))
+def _discard(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _discard_all() -> None:
+    for path in list(_made):
+        try:
+            _discard(path)
+        except Exception:  # the session has ended already: its folders go with the shared folder
+            return
 
 
 class Scratch:
     """Intermediate tables that are deleted as soon as a later one has taken their place."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self):
         self.held: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = _fresh_path(self.spark)
-        self.held.append((_stored_at(df, path), path))
+        self.held.append(_stored(df))
         return self.held[-1][0]
 
+    def alone(self, build: Callable[[], DataFrame]) -> DataFrame:
+        """Keeps what ``build`` returns and deletes the tables that were stored on the way to it."""
+        before = set(_made)
+        result = self.keep(build())
+        for path in [p for p in _made if p not in before and p != self.held[-1][1]]:
+            _discard(path)
+        return result
+
     def drop(self, *frames: DataFrame) -> None:
-        gone = [x for x in self.held if any(x[0] is f for f in frames)]
-        self.held = [x for x in self.held if not any(x is g for g in gone)]
-        for _, path in gone:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for frame, path in list(self.held):
+            if any(frame is f for f in frames):
+                self.held.remove((frame, path))
+                _discard(path)
 
     def clear(self) -> None:
         self.drop(*[frame for frame, _ in self.held])

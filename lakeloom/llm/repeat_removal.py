@@ -353,7 +353,7 @@ def merged(spans) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
     own, docs = docs.schema["doc_id"].dataType, masked(docs.select("doc_id", "text"), "doc_id")
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch()
     tables = repeated_spans(docs, scratch)
     spans = stored(
         reduce(DataFrame.unionByName, tables)
