@@ -6,13 +6,11 @@ never costs more than the stage at hand. All stages but the last return the colu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontaminate, line_dedup, piece_codec, quality_rules, simhash_dedup
-from lakeloom.llm.common import stored, table
+from lakeloom.llm.common import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; n_chars follows the text."""
-    columns = docs.columns
-    found = line_dedup.dedup_lines(docs, counts=("_lines_before", "_lines_dropped"))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.col("_lines_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    found = line_dedup.dedup_lines(docs)
+    dropped = F.col(found.columns[-1]) > 0
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(dropped, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's documents are stored, and what they were made from is deleted."""
     *first, (_, last) = STAGES
-    docs = reduce(lambda kept, stage: stored(stage[1](spark, kept, sf_dir)), first, table(spark, sf_dir, "documents"))
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch()
+    for _, stage in first:
+        kept = scratch.alone(lambda now=docs, stage=stage: stage(spark, now, sf_dir))
+        scratch.drop(docs)
+        docs = kept
     return last(spark, docs, sf_dir)
