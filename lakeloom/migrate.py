@@ -1,13 +1,15 @@
 """Schema migrations over the versioned store, and verification of entities against tables.
 
-Column and table changes rewrite the schema (and rows where needed); constraints are kept in the
-schema's metadata and checked when a migration adds them; indexes, enums and extensions have no
-counterpart in Parquet and are recorded only.
+Column and table changes rewrite the schema (and rows where needed). Constraints, defaults, generated
+columns, enum types and comments are kept with the table's version: a migration checks the rows when it
+adds them, and later writes keep to them. Indexes and extensions have no counterpart in Parquet and are
+accepted without effect.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from .model import KINDS, DefinitionError, EngineError, EntityMeta, spark_type
 from .rawsql import Fragment, literal
 from .relations import meta_of
+from .sources.constraints import ConstraintViolated
 from .sources.session import Session
 
 
@@ -62,6 +65,16 @@ class ColumnDef:
     def check(self, sql: str) -> ColumnDef:
         return self._put(check=sql)
 
+    def enum(self, name: str) -> ColumnDef:
+        """Takes only the values of an enum type."""
+        return self._put(enum=name)
+
+    def says(self) -> str:
+        known = {"default": "default {}", "check": "check ({})", "generated": "generated always as ({})", "enum": "enum {}"}
+        notes = [form.format(self.options[k]) for k, form in known.items() if k in self.options]
+        flags = [k.replace("_", " ") for k in ("unique",) if self.options.get(k)]
+        return " ".join([self.name, self.kind.simpleString(), *([] if self.is_nullable else ["not null"]), *flags, *notes])
+
     def comment(self, text: str) -> ColumnDef:
         return self._put(comment=text)
 
@@ -102,23 +115,34 @@ def soft_delete() -> ColumnDef:
 Change = Callable[[Session], None]
 
 
+def _saying(says: str) -> Callable:
+    """Gives a change or alteration the text that ``pretend_statements`` shows."""
+    def put(run: Callable) -> Callable:
+        run.says = says
+        return run
+
+    return put
+
+
 def create_table(name: str, *columns: ColumnDef | list[ColumnDef], if_not_exists: bool = False, comment: str = "") -> Change:
     fields = [c for x in columns for c in (x if isinstance(x, list) else [x])]
     if len({c.name for c in fields}) < len(fields):
         raise DefinitionError(f"{name} has a column twice")
 
+    @_saying(f"create table {name} ({', '.join(c.says() for c in fields)})")
     def run(session: Session) -> None:
         if session.store.exists(name):
             if if_not_exists:
                 return
             raise MigrationError(f"table {name} exists")
         schema = T.StructType([c.spark() for c in fields])
-        session.store.write(name, session.spark.createDataFrame([], schema), schema)
+        session.store.write(name, session.spark.createDataFrame([], schema), schema, comment)
 
     return run
 
 
 def drop_table(name: str, if_exists: bool = False) -> Change:
+    @_saying(f"drop table {name}")
     def run(session: Session) -> None:
         if session.store.exists(name):
             session.store.drop(name)
@@ -129,31 +153,87 @@ def drop_table(name: str, if_exists: bool = False) -> Change:
 
 
 def rename_table(old: str, new: str) -> Change:
-    return lambda session: session.store.rename(old, new)
+    return _saying(f"rename table {old} to {new}")(lambda session: session.store.rename(old, new))
 
 
 def raw(text: str, **values: Any) -> Change:
-    """A SELECT-like statement, run for its effect on Spark."""
-    return lambda session: session.sql(Fragment(text, values)) and None
+    """A statement: INSERT, UPDATE and DELETE change the store, others run on Spark."""
+    @_saying(text)
+    def run(session: Session) -> None:
+        kind = text.split(None, 1)[0].upper() if text.split() else ""
+        if kind in ("INSERT", "UPDATE", "DELETE"):
+            session.execute(Fragment(text, values))
+        else:
+            session.sql(Fragment(text, values))
+
+    return run
+
+
+def _enum_change(says: str, name: str, to: Callable[[list[str] | None], list[str] | None]) -> Change:
+    @_saying(says)
+    def run(session: Session) -> None:
+        found = session.store.enums()
+        values = to(found.get(name))
+        session.store.put_enums({k: v for k, v in (found | {name: values}).items() if v is not None})
+
+    return run
+
+
+def _known(values: list[str] | None, name: str) -> list[str]:
+    if values is None:
+        raise MigrationError(f"no enum type {name}")
+    return values
+
+
+def create_enum_type(name: str, *values: str) -> Change:
+    def to(old: list[str] | None) -> list[str]:
+        if old is not None:
+            raise MigrationError(f"enum type {name} exists")
+        return list(values)
+
+    return _enum_change(f"create enum type {name} ({', '.join(values)})", name, to)
+
 
+def drop_enum_type(name: str) -> Change:
+    return _enum_change(f"drop enum type {name}", name, lambda old: _known(old, name) and None)
 
-def recorded(*_: Any) -> Change:
-    """Enums, extensions: nothing to do for Parquet."""
-    return lambda session: None
 
+def add_enum_value(name: str, value: str) -> Change:
+    return _enum_change(f"alter enum type {name} add {value}", name, lambda old: [*[v for v in _known(old, name) if v != value], value])
 
-create_enum_type = drop_enum_type = add_enum_value = rename_enum_value = create_extension = drop_extension = recorded
+
+def rename_enum_value(name: str, old_value: str, value: str) -> Change:
+    """The type's value; rows are changed by an UPDATE of their own."""
+    return _enum_change(f"alter enum type {name} rename {old_value} to {value}", name, lambda old: [value if v == old_value else v for v in _known(old, name)])
+
+
+def enum_values(session: Session, name: str) -> list[str]:
+    return _known(session.store.enums().get(name), name)
+
+
+def recorded(*what: Any) -> Change:
+    """Extensions: nothing to do for Parquet."""
+    return _saying(" ".join(map(str, ["extension", *what])))(lambda session: None)
+
+
+create_extension = drop_extension = recorded
 
 #: An alteration turns (rows, schema) into (rows, schema).
 Alteration = Callable[[DataFrame, T.StructType], tuple[DataFrame, T.StructType]]
 
 
 def alter_table(name: str, *alterations: Alteration) -> Change:
+    @_saying(f"alter table {name}: {', '.join(getattr(a, 'says', 'change') for a in alterations)}")
     def run(session: Session) -> None:
         rows, schema = session.store.read(name), session.store.schema(name)
+        comment = None
         for alter in alterations:
             rows, schema = alter(rows, schema)
-        session.store.write(name, rows, schema)
+            comment = getattr(alter, "comment", comment)
+        try:
+            session.store.write(name, rows, schema, comment)
+        except ConstraintViolated as broken:
+            raise MigrationError(str(broken)) from broken
 
     return run
 
@@ -277,19 +357,42 @@ def drop_constraint(name: str) -> Alteration:
     return alter
 
 
-drop_foreign_key = drop_constraint
-
-
 def column_comment(name: str, text: str) -> Alteration:
     return lambda rows, schema: (rows, _noted(schema, name, comment=text))
 
 
+def table_comment(text: str) -> Alteration:
+    def alter(rows: DataFrame, schema: T.StructType):
+        return rows, schema
+
+    alter.comment = text
+    return alter
+
+
 def no_alteration(*_: Any, **__: Any) -> Alteration:
-    """Indexes and table comments: accepted, nothing to do for Parquet."""
+    """Indexes: accepted, nothing to do for Parquet."""
     return lambda rows, schema: (rows, schema)
 
 
-add_index = drop_index = drop_index_if_exists = drop_index_concurrently = rename_index = table_comment = no_alteration
+def _named(make: Callable[..., Alteration], says: str) -> Callable[..., Alteration]:
+    """An alteration that tells its name and arguments."""
+    @functools.wraps(make)
+    def put(*args: Any, **options: Any) -> Alteration:
+        alter = make(*args, **options)
+        alter.says = " ".join([says, *[a.says() if isinstance(a, ColumnDef) else a.simpleString() if isinstance(a, T.DataType) else str(a) for a in args]])
+        return alter
+
+    return put
+
+
+add_column, drop_column, rename_column = _named(add_column, "add column"), _named(drop_column, "drop column"), _named(rename_column, "rename column")
+alter_column_type, set_default, drop_default = _named(alter_column_type, "column type"), _named(set_default, "set default"), _named(drop_default, "drop default")
+set_not_null, drop_not_null = _named(set_not_null, "set not null"), _named(drop_not_null, "drop not null")
+add_unique, add_primary_key, add_check = _named(add_unique, "add unique"), _named(add_primary_key, "add primary key"), _named(add_check, "add check")
+add_foreign_key, drop_constraint = _named(add_foreign_key, "add foreign key"), _named(drop_constraint, "drop constraint")
+drop_foreign_key, column_comment, table_comment = drop_constraint, _named(column_comment, "comment on"), _named(table_comment, "comment")
+add_index, drop_index = _named(no_alteration, "add index"), _named(no_alteration, "drop index")
+drop_index_if_exists, drop_index_concurrently, rename_index = drop_index, drop_index, _named(no_alteration, "rename index")
 
 
 # running them
@@ -338,6 +441,10 @@ class Migrator:
 
     pretend = pending
 
+    def pretend_statements(self) -> list[str]:
+        """What ``migrate`` would do, without doing it."""
+        return [getattr(change, "says", "a change without a name") for m in self.pending() for change in m.up]
+
     def migrate(self, in_one: bool = True) -> list[str]:
         """All pending migrations, in one transaction or each in its own."""
         todo = self.pending()

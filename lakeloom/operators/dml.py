@@ -36,17 +36,28 @@ def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(conformed(new, rows))
 
 
-def upserted(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[str, Column] | None = None) -> DataFrame:
-    """Rows of ``new`` replace those with equal keys, the others are added. ``assign`` limits the
-    replacement to some columns; there ``old.x`` and ``new.x`` name both sides."""
+def replaced(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[str, Column] | None = None) -> DataFrame:
+    """``rows`` as they are after an upsert, without those that it adds. Without ``assign`` rows with
+    equal keys go (``added`` has their successors); with it they take ``old.x`` and ``new.x``."""
     if assign is None:
-        kept = rows.join(new.select(*on).distinct(), list(on), "left_anti").select(*rows.columns)
-        return appended(kept, new)
+        return rows.join(new.select(*on).distinct(), list(on), "left_anti").select(*rows.columns)
     a, b = rows.alias("old"), new.alias("new")
-    meet = _equal(on, "old", "new")
     hit = F.col(f"new.{on[0]}").isNotNull()
-    changed = a.join(b, meet, "left").select(*[F.when(hit, assign[c]).otherwise(F.col(f"old.{c}")).alias(c) if c in assign else F.col(f"old.{c}") for c in rows.columns])
-    return appended(changed, _absent(rows, new, on))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return a.join(b, _equal(on, "old", "new"), "left").select(
+        *[F.when(hit, assign[c].cast(kinds[c])).otherwise(F.col(f"old.{c}")).alias(c) if c in assign else F.col(f"old.{c}") for c in rows.columns]
+    )
+
+
+def added(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[str, Column] | None = None) -> DataFrame:
+    """The rows that an upsert adds."""
+    return conformed(new if assign is None else _absent(rows, new, on), rows)
+
+
+def upserted(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows of ``new`` replace those with equal keys, the others are added. ``assign`` limits the
+    replacement to some columns; there ``old.x`` and ``new.x`` name both sides."""
+    return replaced(rows, new, on, assign).unionByName(added(rows, new, on, assign))
 
 
 def inserted_ignoring(rows: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -38,6 +38,14 @@ def target_rows(session: Session, rel: Any, cond: Condition | None, scoped: bool
     raise DefinitionError(f"{rel!r} is no relationship")
 
 
+#: Numbers chosen records while their related rows are joined.
+ROW = "_row"
+
+
+def numbered_rows(rows: DataFrame, alias: str, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"{alias}.`{c}`") for c in columns], F.monotonically_increasing_id().alias(ROW)).alias(alias)
+
+
 def source_key(rel: Any) -> str:
     if isinstance(rel, Through):
         return rel.source.key
@@ -70,18 +78,51 @@ class EagerQuery:
         rows, out = q.filtered(root), [F.col(f"{root}.`{c}`") for c in q.meta.columns]
         if q.is_distinct:
             rows = rows.select(F.col(f"{root}.*")).distinct().alias(root)
+        if q.max_rows is not None:
+            return self._few(numbered_rows(q.arranged(rows, root), root, q.meta.columns), root)
         rows = q.arranged(rows, root).select(*out).alias(root)
-        for k, (rel, cond, pivot, both) in enumerate(self.loads):
-            found, key, alias, between = target_rows(q.session, rel, cond, q.scoped, pivot)
-            item = F.struct(*[F.col(f"`{alias}`.`{c}`") for c in rel.target.columns])
-            if both:
-                item = F.struct(item.alias("target"), F.struct(*[F.col(f"`{between}`.`{c}`") for c in rel.pivot.columns]).alias("pivot"))
+        for k, load in enumerate(self.loads):
+            found, key, item = self._children(load)
             grouped = found.groupBy(key.alias("_key")).agg(F.sort_array(F.collect_list(item)).alias("items")).alias(g := fresh("g"))
-            rows = rows.join(grouped, F.col(f"{root}.`{source_key(rel)}`") == F.col(f"{g}._key"), "left")
+            rows = rows.join(grouped, F.col(f"{root}.`{source_key(load[0])}`") == F.col(f"{g}._key"), "left")
             out.append(F.coalesce(F.col(f"{g}.items"), F.array()).alias(f"related_{k}"))
         keys = q.order_keys(root)
         return (rows.orderBy(*keys) if keys else rows).select(*out)
 
+    def _children(self, load: tuple) -> tuple[DataFrame, Column, Column]:
+        """Rows of one relationship, the key of their parent, and a row as a struct."""
+        rel, cond, pivot, both = load
+        found, key, alias, between = target_rows(self.query.session, rel, cond, self.query.scoped, pivot)
+        item = F.struct(*[F.col(f"`{alias}`.`{c}`") for c in rel.target.columns])
+        if both:
+            item = F.struct(item.alias("target"), F.struct(*[F.col(f"`{between}`.`{c}`") for c in rel.pivot.columns]).alias("pivot"))
+        return found, key, item
+
+    def _few(self, rows: DataFrame, root: str) -> DataFrame:
+        """Under a limit the chosen records meet their children, and only these are gathered."""
+        names = [*self.query.meta.columns]
+        for k, load in enumerate(self.loads):
+            found, key, item = self._children(load)
+            joined = rows.join(found, F.col(f"{root}.`{source_key(load[0])}`") == key, "left")
+            own = [F.first(F.col(f"{root}.`{c}`")).alias(c) for c in names]
+            items = F.sort_array(F.collect_list(F.when(key.isNotNull(), item))).alias(f"related_{k}")
+            rows = joined.groupBy(F.col(f"{root}.{ROW}").alias(ROW)).agg(*own, items).alias(root)
+            names.append(f"related_{k}")
+        keys = self.query.order_keys(root)
+        return (rows.orderBy(*keys) if keys else rows).select(*[F.col(f"{root}.`{c}`") for c in names])
+
+    def parts(self) -> dict[str, DataFrame]:
+        """The queries that the loading consists of: the root's and those of the related rows."""
+        found = {self.query.meta.table: self.query.df()}
+        for k, load in enumerate(self.loads):
+            rows, key, item = self._children(load)
+            found[f"related_{k}"] = rows.select(key.alias("key"), item.alias("item"))
+        return found
+
+    def statements(self) -> list[str]:
+        """The plan of each part, and of the whole, as text."""
+        return [df._jdf.queryExecution().optimizedPlan().toString() for df in [*self.parts().values(), self.df()]]
+
     def run(self) -> list[tuple]:
         found = []
         for row in self.df().collect():

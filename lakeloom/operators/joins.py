@@ -93,7 +93,9 @@ class JoinedQuery:
     # lowering
 
     def filtered(self) -> DataFrame:
-        rows = self.root.filtered("t0")
+        # a later OR is an alternative to the root's conditions too: then they are judged after the joins
+        late = any(kind == "or" for kind, _ in self.steps) and bool(self.root.steps)
+        rows = (self.root._with(steps=()) if late else self.root).filtered("t0")
         if self.root.is_distinct:
             rows = rows.select(F.col("t0.*")).distinct().alias("t0")
         for k, (meta, how, rel, at) in enumerate(self.joined, 1):
@@ -107,9 +109,9 @@ class JoinedQuery:
                     for test in scope.conditions(self.at(k)):
                         on = on & test
             rows = rows.join(other, on, how)
+        tests = [(step[0], self.root._as_column(step, "t0")) for step in (self.root.steps if late else ())]
         found: Column | None = None
-        for kind, test in self.steps:
-            own = test(self)
+        for kind, own in [*tests, *[(kind, test(self)) for kind, test in self.steps]]:
             found = own if found is None else found | own if kind == "or" else found & own
         return rows if found is None else rows.where(found)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import copy
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import ordered
 from ..model import CapabilityError, DefinitionError, EntityMeta, NotFound
@@ -17,7 +19,7 @@ from ..relations import Relation, meta_of
 from ..sources.session import Session
 from ..streaming.records import chunks, records
 from . import dml
-from .eager import EagerQuery, target_rows
+from .eager import ROW, EagerQuery, numbered_rows, target_rows
 from .exists import Cond, Condition, exists_column, related, with_counts, with_semi
 from .joins import JoinedQuery
 from .paging import KeysetPaginator, OffsetPage
@@ -267,13 +269,21 @@ class Query:
 
     # changes; they pass by hooks and soft deletes, as plain statements do
 
-    def _change(self, to: Callable[[DataFrame], DataFrame], rows: DataFrame) -> int:
+    def _store(self):
         if self.session.store is None:
             raise CapabilityError("changes need a session with a store")
-        n = rows.count()
-        if n:
-            self.session.store.change(self.meta.table, to)
-        return n
+        return self.session.store
+
+    def _change(self, to: Callable[[DataFrame], DataFrame]) -> int:
+        """Rewrites the files with rows that the conditions select; returns how many rows these are."""
+        return self._store().rewrite(self.meta.table, lambda rows: rows.alias(ROOT).where(self._condition()), to)
+
+    def _returned(self, values: dict[str, Column] | None) -> list:
+        """The selected rows as records, after the assignments if there are any."""
+        rows = self.session.table(self.meta).alias(ROOT).where(self._condition())
+        kinds = {f.column: f.kind.spark for f in self.meta.fields}
+        made = {c: (values or {}).get(c, F.col(f"{ROOT}.`{c}`")).cast(kinds[c]).alias(c) for c in self.meta.columns}
+        return [self.meta.record(r) for r in rows.select(*made.values()).collect()]
 
     def _condition(self) -> Column:
         """All conditions as one column over the bare table."""
@@ -293,7 +303,52 @@ class Query:
     def update_expr(self, values: dict[str, Column | str]) -> int:
         """Assignments as columns or SQL text."""
         made = {self.meta.column(k): F.expr(v) if isinstance(v, str) else v for k, v in values.items()}
-        return self._change(lambda rows: dml.updated(rows.alias(ROOT), self._condition(), made), self.filtered())
+        return self._change(lambda rows: dml.updated(rows.alias(ROOT), self._condition(), made))
+
+    def update_returning(self, **values: Any) -> list:
+        """Like ``update``, but returns the changed records as they are afterwards."""
+        made = {self.meta.column(k): v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
+        with self._store().transaction():
+            found = self._returned(made)
+            self.update_expr(made)
+        return found
+
+    def delete_returning(self) -> list:
+        """Like ``delete``, but returns the records that went."""
+        with self._store().transaction():
+            found = self._returned(None)
+            self.delete()
+        return found
+
+    def batch_update(self, rows: list[dict[str, Any]], on: list[str], assign: dict[str, Column | str] | None = None) -> BatchResult:
+        """One rewrite for many parameter sets: each set of ``rows`` changes the selected rows that agree
+        with it in the columns ``on``. Assignments name the set's values ``new.x`` and the row's
+        ``old.x``; by default every other value is assigned. Of sets with equal keys the last counts."""
+        if not rows:
+            return BatchResult([])
+        on = [self.meta.column(c) for c in on]
+        names = [self.meta.column(k) for k in rows[0]]
+        kinds = {f.column: f.kind.spark for f in self.meta.fields}
+        sets = {tuple(r[k] for k in rows[0] if self.meta.column(k) in on): tuple(r[k] for k in rows[0]) for r in rows}
+        new = self.session.spark.createDataFrame(list(sets.values()), T.StructType([T.StructField(c, kinds[c]) for c in names]))
+        made = {self.meta.column(k): F.expr(v) if isinstance(v, str) else v for k, v in (assign or {c: F.col(f"new.`{c}`") for c in names if c not in on}).items()}
+        chosen = lambda frame: frame.alias(ROOT).where(self._condition())
+        with self._store().transaction():
+            hits = chosen(self.session.table(self.meta)).join(new.select(*on), on, "left_semi").groupBy(*on).count().collect()
+            counts = {tuple(r[c] for c in on): r["count"] for r in hits}  # at most a row a set
+
+            def to(frame: DataFrame) -> DataFrame:
+                marked = frame.alias(ROOT).select("*", dml.holds(self._condition()).alias("_hit")).alias("old")
+                test = F.col("old._hit")
+                for c in on:
+                    test = test & (F.col(f"old.`{c}`") == F.col(f"new.`{c}`"))
+                joined = marked.join(F.broadcast(new).alias("new"), test, "left")
+                hit = F.col(f"new.`{on[0]}`").isNotNull()
+                return joined.select(*[F.when(hit, made[c].cast(kinds[c])).otherwise(F.col(f"old.`{c}`")).alias(c) if c in made else F.col(f"old.`{c}`") for c in frame.columns])
+
+            self.session.store.rewrite(self.meta.table, lambda frame: chosen(frame).join(new.select(*on), on, "left_semi"), to)
+        order = [k for k in rows[0] if self.meta.column(k) in on]
+        return BatchResult([counts.get(tuple(r[k] for k in sorted(order, key=lambda k: on.index(self.meta.column(k)))), 0) for r in rows])
 
     def increment(self, column: str, by: Any = 1) -> int:
         name = self.meta.column(column)
@@ -309,7 +364,18 @@ class Query:
         return self.update_expr({column: F.current_timestamp()})
 
     def delete(self) -> int:
-        return self._change(lambda rows: dml.deleted(rows.alias(ROOT), self._condition()), self.filtered())
+        return self._change(lambda rows: dml.deleted(rows.alias(ROOT), self._condition()))
+
+
+@dataclass(frozen=True)
+class BatchResult:
+    """Rows that each parameter set of a batch changed."""
+
+    counts: list[int]
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts)
 
 
 class CountQuery:
@@ -319,12 +385,21 @@ class CountQuery:
         self.query, self.rel, self.cond, self.name = query, rel, cond, name
 
     def df(self) -> DataFrame:
+        """With a limit the records are chosen first, and only their related rows are counted."""
         q = self.query
         rows = q.filtered()
         if q.is_distinct:
             rows = rows.select(F.col(f"{ROOT}.*")).distinct().alias(ROOT)
-        joined, n = with_counts(rows, ROOT, q.session, self.rel, self.cond, q.scoped, "_n")
-        return q.arranged(joined).select(*[F.col(f"{ROOT}.`{c}`") for c in q.meta.columns], n.alias(self.name))
+        if q.max_rows is None:
+            joined, n = with_counts(rows, ROOT, q.session, self.rel, self.cond, q.scoped, "_n")
+            return q.arranged(joined).select(*[F.col(f"{ROOT}.`{c}`") for c in q.meta.columns], n.alias(self.name))
+        chosen = numbered_rows(q.arranged(rows), ROOT, q.meta.columns)
+        found = related(q.session, self.rel, self.cond, q.scoped)
+        joined = chosen.join(found.rows, F.col(f"{ROOT}.`{found.source_key}`") == found.key, "left")
+        counted = joined.groupBy(F.col(f"{ROOT}.{ROW}")).agg(*[F.first(F.col(f"{ROOT}.`{c}`")).alias(c) for c in q.meta.columns], F.count(found.key).alias("_n")).alias(ROOT)
+        keys = q.order_keys()
+        counted = counted.orderBy(*keys) if keys else counted
+        return counted.select(*[F.col(f"{ROOT}.`{c}`") for c in q.meta.columns], F.col(f"{ROOT}._n").alias(self.name))
 
     def run(self) -> list[tuple]:
         return [(self.query.meta.record(r), r[self.name]) for r in self.df().collect()]

@@ -141,24 +141,60 @@ class Repo:
     def _hooked(self, kind: str) -> dict[str, Column]:
         return {c: v for s in self.scopes for c, v in getattr(s, kind)(self.meta).items()}
 
-    def raw_insert_all(self, records: Sequence) -> list:
-        """Appends with hook columns and generated keys, without observers; returns the new records."""
-        if not records:
-            return []
-        new = self._frame(records)
+    def _filled(self, new: DataFrame) -> DataFrame:
+        """Defaults of the entity, then those of the stored table, then hook columns."""
         for f in self.meta.fields:
             if f.column not in new.columns and f.has_default:
                 new = new.withColumn(f.column, F.lit(f.default).cast(f.kind.spark))
+        for f in self._store().schema(self.meta.table):
+            default = (f.metadata or {}).get("default")
+            if default is not None and f.name not in new.columns:
+                new = new.withColumn(f.name, F.expr(default).cast(f.dataType))
         for column, value in self._hooked("on_insert").items():
             new = new.withColumn(column, value)
-        key = self.meta.key
-        if key not in new.columns or new.where(F.col(key).isNotNull()).isEmpty():
-            new = dml.numbered(self._store().read(self.meta.table), new, key, ["_at"])
-        made = self.session.spark.createDataFrame(new.orderBy("_at").drop("_at").collect(), new.drop("_at").schema)
-        self._store().change(self.meta.table, lambda rows: dml.appended(rows, made))
+        return new
+
+    def raw_insert_all(self, records: Sequence) -> list:
+        """Appends with hook columns and generated keys, without observers; returns the new records."""
+        if not records:
+            return []
+        with self._store().transaction():
+            new = self._filled(self._frame(records))
+            old, key = self._store().read(self.meta.table), self.meta.key
+            if key not in new.columns or new.where(F.col(key).isNotNull()).isEmpty():
+                new = dml.numbered(old, new, key, ["_at"])
+            made = self.session.spark.createDataFrame(new.orderBy("_at").drop("_at").collect(), new.drop("_at").schema)
+            self._store().append(self.meta.table, dml.conformed(made, old))
         whole = dml.conformed(made, self.session.spark.createDataFrame([], self.meta.schema))
         return [self.meta.record(r) for r in whole.collect()]
 
+    def insert_frame(self, rows: DataFrame) -> None:
+        """Appends the rows of a DataFrame, which never pass through the driver. Columns that it lacks take
+        their defaults or hook values; a generated key is unique and goes on from the greatest, with gaps."""
+        unknown = set(rows.columns) - set(self.meta.columns)
+        if unknown:
+            raise DefinitionError(f"{self.meta.table} has no {', '.join(sorted(unknown))}")
+        with self._store().transaction():
+            old, key = self._store().read(self.meta.table), self.meta.key
+            new = self._filled(rows)
+            if key not in new.columns:
+                top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))  # one row
+                new = new.withColumn("_id", F.monotonically_increasing_id()).crossJoin(F.broadcast(top))
+                new = new.withColumn(key, (F.col("_top") + 1 + F.col("_id")).cast(self.meta.by_column[key].kind.spark))
+            self._store().append(self.meta.table, dml.conformed(new, old))
+
+    def upsert_frame(self, rows: DataFrame, on: Sequence[str] | None = None) -> int:
+        """Rows with known keys replace the old ones, the others are added; only files that hold known
+        keys are rewritten. Returns how many rows were replaced."""
+        return self._upserted(rows, on or self.meta.keys, None)
+
+    def _upserted(self, new: DataFrame, on: Sequence[str], assign: dict[str, Column] | None) -> int:
+        keys = new.select(*on).distinct()
+        return self._store().rewrite(
+            self.meta.table, lambda rows: rows.join(keys, list(on), "left_semi"),
+            lambda rows: dml.replaced(rows, new, on, assign), lambda rows: dml.added(rows, new, on, assign),
+        )
+
     def raw_insert(self, record: Any) -> Any:
         return self.raw_insert_all([record])[0]
 
@@ -198,17 +234,20 @@ class Repo:
 
     def update_all(self, records: Sequence) -> int:
         """One rewrite for all records; returns the rows that matched."""
+        if not records:
+            return 0
         new = self._frame(records).drop("_at")
         hooks = self._hooked("on_update")
         for column, value in hooks.items():
             new = new.withColumn(column, value)
         keep = (set(self._hooked("on_insert")) | set(self.meta.keys)) - set(hooks)
-        visible = self.query().df().select(*self.meta.keys)
-        new = new.join(visible, self.meta.keys, "left_semi")
-        new = self.session.spark.createDataFrame(new.collect(), new.schema)  # the caller's records
-        assign = {c: F.col(f"new.{c}") for c in new.columns if c not in keep}
-        self._store().change(self.meta.table, lambda rows: dml.upserted(rows, new, self.meta.keys, assign))
-        return new.count()
+        with self._store().transaction():
+            visible = self.query().df().select(*self.meta.keys)
+            new = new.join(visible, self.meta.keys, "left_semi")
+            new = self.session.spark.createDataFrame(new.collect(), new.schema)  # the caller's records
+            assign = {c: F.col(f"new.{c}") for c in new.columns if c not in keep}
+            keys = new.select(*self.meta.keys)
+            return self._store().rewrite(self.meta.table, lambda rows: rows.join(keys, self.meta.keys, "left_semi"), lambda rows: dml.replaced(rows, new, self.meta.keys, assign))
 
     def save(self, record: Any) -> Any:
         before = self.original(record)
@@ -223,37 +262,42 @@ class Repo:
         self.upsert_all([record])
 
     def upsert_all(self, records: Sequence, on: Sequence[str] | None = None) -> None:
-        new = self._frame(records).drop("_at")
-        self._store().change(self.meta.table, lambda rows: dml.upserted(rows, new, on or self.meta.keys))
+        if records:
+            self._upserted(self._frame(records).drop("_at"), on or self.meta.keys, None)
 
     def insert_on_conflict(self, records: Sequence, on: Sequence[str], assign: dict[str, Column] | None = None, ignore: bool = False) -> int:
         """``ignore``: rows whose ``on`` columns exist are left out; else they take ``assign`` (``new.x``
         and ``old.x``), or all columns of the record. Returns how many were inserted."""
+        if not records:
+            return 0
         new = self._frame(records).drop("_at")
-        old = self._store().read(self.meta.table)
-        fresh = new.dropDuplicates(list(on)).join(old.select(*on), list(on), "left_anti")
-        if self.meta.key not in new.columns:
-            fresh = dml.numbered(old, fresh, self.meta.key, [c for c in new.columns])
-        made = self.session.spark.createDataFrame(fresh.collect(), fresh.schema)
-        if ignore:
-            self._store().change(self.meta.table, lambda rows: dml.appended(rows, made))
-        else:
-            values = assign or {c: F.col(f"new.{c}") for c in new.columns if c not in on and c not in self.meta.keys}
-            known = new.join(old.select(*on), list(on), "left_semi")
-            known = self.session.spark.createDataFrame(known.collect(), known.schema)
-            self._store().change(self.meta.table, lambda rows: dml.appended(dml.upserted(rows, known, on, values), made))
-        return made.count()
+        with self._store().transaction():
+            old = self._store().read(self.meta.table)
+            fresh = new.dropDuplicates(list(on)).join(old.select(*on), list(on), "left_anti")
+            if self.meta.key not in new.columns:
+                fresh = dml.numbered(old, fresh, self.meta.key, [c for c in new.columns])
+            made = self.session.spark.createDataFrame(fresh.collect(), fresh.schema)  # the caller's records
+            if not ignore:
+                values = assign or {c: F.col(f"new.{c}") for c in new.columns if c not in on and c not in self.meta.keys}
+                keys = new.select(*on).distinct()
+                self._store().rewrite(self.meta.table, lambda rows: rows.join(keys, list(on), "left_semi"), lambda rows: dml.replaced(rows, new, on, values))
+            n = made.count()
+            if n:
+                self._store().append(self.meta.table, dml.conformed(self._filled(made), old))
+        return n
 
     def first_or_create(self, where: Callable[[Any], Column], record: Any) -> Any:
-        found = self.query().where(where).first()
-        return self.create(record) if found is None else found
+        with self._store().transaction():
+            found = self.query().where(where).first()
+            return self.create(record) if found is None else found
 
     def update_or_create(self, where: Callable[[Any], Column], record: Any) -> Any:
-        found = self.query().where(where).first()
-        if found is None:
-            return self.create(record)
-        self._write(self._scoped_key(found), record.meta.values(record))
-        return self.refresh(found)
+        with self._store().transaction():
+            found = self.query().where(where).first()
+            if found is None:
+                return self.create(record)
+            self._write(self._scoped_key(found), record.meta.values(record))
+            return self.refresh(found)
 
     def touch(self, record: Any) -> int:
         return self._scoped_key(record).touch()
@@ -284,7 +328,9 @@ class Repo:
         return self.delete_all_by_id([self.meta.key_of(r)[0] for r in records])
 
     def truncate(self) -> None:
-        self._store().change(self.meta.table, lambda rows: rows.limit(0))
+        with self._store().transaction():
+            schema = self._store().schema(self.meta.table)
+            self._store().write(self.meta.table, self.session.spark.createDataFrame([], schema), schema)
 
     # soft deletes
 
@@ -333,33 +379,53 @@ class PivotRepo:
         names = [*self._on, *(extra or {})]
         return self.session.spark.createDataFrame([tuple(r[c] for c in names) for r in rows], T.StructType([T.StructField(c, kinds[c]) for c in names]))
 
-    def attach(self, source: Any, targets: Iterable, **extra: Any) -> None:
-        new = self._links(source, targets, extra)
-        self.session.store.change(self.rel.table, lambda rows: dml.appended(rows, new))
+    def attach(self, source: Any, targets: Iterable, record: Any = None, **extra: Any) -> None:
+        """Links with further pivot columns, given by name or as a ``record`` of the pivot's creator."""
+        new = self._links(source, targets, self._created(record) | extra)
+        with self.session.store.transaction():
+            self.session.store.append(self.rel.table, dml.conformed(new, self.session.store.read(self.rel.table)))
+
+    def attach_all(self, source: Any, records: dict[Any, Any]) -> None:
+        """A record of the pivot's creator for each target."""
+        with self.session.store.transaction():
+            for target, record in records.items():
+                self.attach(source, [target], record)
+
+    def _created(self, record: Any) -> dict[str, Any]:
+        if record is None:
+            return {}
+        if self.rel.writable is None or not isinstance(record, self.rel.writable):
+            raise DefinitionError("the relationship's pivot is not written by such records")
+        return {c: v for c, v in record.meta.values(record).items() if c not in self._on}
+
+    def update_pivot(self, source: Any, target: Any, record: Any = None, **extra: Any) -> int:
+        """Changes the pivot columns of a link."""
+        old = self.session.store.schema(self.rel.table)
+        values = {c: F.lit(v).cast(old[c].dataType) for c, v in (self._created(record) | extra).items()}
+        hit = (F.col(self.rel.source_fk) == F.lit(source)) & (F.col(self.rel.target_fk) == F.lit(target))
+        return self.session.store.rewrite(self.rel.table, lambda rows: rows.where(hit), lambda rows: dml.updated(rows, hit, values))
 
     def detach(self, source: Any, targets: Iterable | None = None) -> int:
-        targets = None if targets is None else list(targets)
         hit = F.col(self.rel.source_fk) == F.lit(source)
         if targets is not None:
-            hit = hit & F.col(self.rel.target_fk).isin(targets)
-        n = self.session.store.read(self.rel.table).where(hit).count()
-        if n:
-            self.session.store.change(self.rel.table, lambda rows: dml.deleted(rows, hit))
-        return n
+            hit = hit & F.col(self.rel.target_fk).isin(list(targets))
+        return self.session.store.rewrite(self.rel.table, lambda rows: rows.where(hit), lambda rows: dml.deleted(rows, hit))
 
     def detach_all(self, source: Any) -> int:
         return self.detach(source)
 
-    def sync(self, source: Any, targets: Iterable, **extra: Any) -> SyncResult:
-        want = self._links(source, targets)
-        have = self.session.store.read(self.rel.table).where(F.col(self.rel.source_fk) == F.lit(source))
-        found = SyncResult()
-        for row in dml.sync_difference(have, want, [self.rel.target_fk]).orderBy(self.rel.target_fk).collect():
-            getattr(found, row["state"]).append(row[self.rel.target_fk])
-        if found.detached:
-            self.detach(source, found.detached)
-        if found.attached:
-            self.attach(source, found.attached, **extra)
+    def sync(self, source: Any, targets: Iterable, record: Any = None, **extra: Any) -> SyncResult:
+        """Makes ``targets`` the source's links; new ones get the pivot columns."""
+        with self.session.store.transaction():
+            want = self._links(source, targets)
+            have = self.session.store.read(self.rel.table).where(F.col(self.rel.source_fk) == F.lit(source))
+            found = SyncResult()
+            for row in dml.sync_difference(have, want, [self.rel.target_fk]).orderBy(self.rel.target_fk).collect():
+                getattr(found, row["state"]).append(row[self.rel.target_fk])
+            if found.detached:
+                self.detach(source, found.detached)
+            if found.attached:
+                self.attach(source, found.attached, record, **extra)
         return found
 
 

@@ -6,6 +6,7 @@ import logging
 import time
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,14 @@ from ..rawsql import Fragment
 from .store import Store
 
 
+@dataclass(frozen=True)
+class Changed:
+    """What a statement changed: the number of rows, and those that RETURNING asked for."""
+
+    count: int
+    rows: list | None = None
+
+
 class QueryFailed(EngineError):
     pass
 
@@ -45,6 +54,16 @@ class SqlLogger:
             self.emit(f"{what} took {took:.3f} s")
 
 
+@dataclass(frozen=True)
+class JdbcParts:
+    """How a table of a database is read by several tasks."""
+
+    column: str
+    lower: int | str
+    upper: int | str
+    tasks: int
+
+
 class Session:
     """Tables are looked up in ``tables``, then in the store, then in Spark's catalog."""
 
@@ -53,14 +72,38 @@ class Session:
         self._tables = tables or {}
         self.scopes: dict[str, tuple] = {}
         self.loaded: dict[tuple, Any] = {}
+        self.database: tuple[str, dict[str, str]] | None = None
 
     @classmethod
     def parquet(cls, spark: SparkSession, folder: str, **options: Any) -> "Session":
         return cls(spark, lambda name: spark.read.parquet(f"{folder}/{name}.parquet"), **options)
 
     @classmethod
-    def jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str], **options: Any) -> "Session":
-        return cls(spark, lambda name: spark.read.jdbc(url, name, properties=properties), **options)
+    def jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str], parts: Mapping[str, JdbcParts] | None = None, fetch_size: int = 10_000, **options: Any) -> "Session":
+        """Tables of a database. ``parts`` says by which column and bounds a table is read by several
+        tasks; rows outside the bounds go to the first and last of them. Filters and columns go into the
+        database's statement."""
+        settings = properties | {"fetchsize": str(fetch_size)}
+
+        def frame(name: str) -> DataFrame:
+            cut = (parts or {}).get(name)
+            if cut is None:
+                return spark.read.jdbc(url, name, properties=settings)
+            return spark.read.jdbc(url, name, column=cut.column, lowerBound=cut.lower, upperBound=cut.upper, numPartitions=cut.tasks, properties=settings)
+
+        found = cls(spark, frame, **options)
+        found.database = url, settings
+        return found
+
+    def save(self, table: str, rows: DataFrame, mode: str = "append", batch_size: int = 10_000, connections: int | None = None) -> None:
+        """Writes rows to a table of the database, by at most ``connections`` tasks at a time; each task
+        commits its own part."""
+        if self.database is None:
+            raise EngineError("saving needs a session over a database")
+        url, properties = self.database
+        if connections is not None:
+            rows = rows.coalesce(connections)
+        rows.write.option("batchsize", batch_size).jdbc(url, table, mode, properties)
 
     def register(self, entity: Any, *scopes: Any) -> None:
         """Scopes that apply wherever the entity is read by a scoped query."""
@@ -88,6 +131,14 @@ class Session:
         with self.logger.timed(text):
             return self.spark.sql(text, args=args)
 
+    def execute(self, fragment: Fragment | str, **values: Any) -> Changed:
+        """Runs an INSERT, UPDATE or DELETE over the store; see ``statements``."""
+        from ..operators.statements import execute
+
+        fragment = fragment if isinstance(fragment, Fragment) else Fragment(fragment, values)
+        with self.logger.timed(fragment.text):
+            return execute(self, fragment)
+
     def views(self, *tables: str) -> None:
         """Makes tables known to SQL by their names."""
         for name in tables:
