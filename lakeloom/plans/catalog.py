@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..active import Active
 from ..functions import aggregates as agg
 from ..functions.aggregates import ordered
 from ..migrate import issues_df
-from ..operators import dml
 from ..operators.eager import EagerQuery
-from ..operators.query import Query, lazy_rows
+from ..operators.query import Query
 from ..rawsql import TableInfo, sql
-from ..repo import Repo
-from ..scopes import SoftDeletes, Where
+from ..repo import PivotRepo, Repo
+from ..scopes import SoftDeletes, Timestamps, Where
 from ..sources.session import Session
 from .tables import (
     CUSTOMER, CUSTOMERS, EVENTS, ITEM_ORDER, ITEM_PART, ITEM_SUPPLIER, ITEMS, LABEL, LINKS, NATION, NATIONS, ORDER_PARTS, ORDERS,
-    PART_SUPPLIERS, REGION, REGION_CUSTOMERS, REGION_SUPPLIERS_VIA, SUPPLIERS, TRASHABLE,
-    Customer, Document, LineItem, Nation, Order, Part, Region, Supplier, TrashableOrder, session_over,
+    PART_LINKS, PART_SUPPLIERS, REGION, REGION_CUSTOMERS, REGION_CUSTOMERS_VIA, REGION_SUPPLIER, REGION_SUPPLIERS_VIA, SUPPLIERS, TRASHABLE,
+    Customer, Document, LineItem, Nation, NewNation, NewPartLink, NewTimedNation, Order, OrderStatus, Part, PartLink, Region, Supplier, TimedNation,
+    TrashableOrder, session_over, stored_session,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,12 @@ def query(oracle: str | None):
     return put
 
 
+def _frame(s: Session, entity, records) -> DataFrame:
+    """Records as rows, to be compared."""
+    meta = entity.meta
+    return s.spark.createDataFrame([tuple(meta.values(r)[c] for c in meta.columns) for r in records], meta.schema)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations by the balance of their wealthy customers: scope, join, group, having, top-k."""
     s = session_over(spark, sf_dir)
@@ -68,7 +75,7 @@ def query_without_scope(s):
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 42")
 def find_by_id(s):
-    return Query(s, Customer).where(lambda c: c.c_custkey == 42).df()
+    return _frame(s, Customer, [Repo(s, Customer).find(42)])
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey IN (1, 7, 13, 99999999)")
@@ -93,10 +100,10 @@ def filter_and(s):
     return Query(s, Order).where(lambda c: c.o_orderstatus == "O").where(lambda c: c.o_totalprice > 100000).df()
 
 
-@query(f"SELECT {_O} FROM orders WHERE ((o_orderstatus = 'O' AND o_totalprice > 200000) OR o_orderpriority = '1-URGENT') AND o_orderkey % 3 = 0")
+@query(f"SELECT {_O} FROM orders WHERE ((o_orderstatus = 'O' AND o_totalprice > 200000) OR o_orderpriority = '1-URGENT') AND o_totalprice < 300000")
 def filter_or(s):
     q = Query(s, Order).where(lambda c: c.o_orderstatus == "O").where(lambda c: c.o_totalprice > 200000)
-    return q.or_where(lambda c: c.o_orderpriority == "1-URGENT").where(lambda c: c.o_orderkey % 3 == 0).df()
+    return q.or_where(lambda c: c.o_orderpriority == "1-URGENT").where(lambda c: c.o_totalprice < 300000).df()
 
 
 @query(f"SELECT {_O} FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice < 50000 OR o_orderpriority = '5-LOW')")
@@ -145,9 +152,9 @@ def not_in_empty(s):
     return Query(s, Customer).where(lambda c: ~c.c_custkey.isin([])).df()
 
 
-@query(f"SELECT {_P} FROM part WHERE p_retailprice BETWEEN 1000 AND 1200")
+@query(f"SELECT {_P} FROM part WHERE p_retailprice BETWEEN 920 AND 960.5")
 def between(s):
-    return Query(s, Part).where(lambda c: c.p_retailprice.between(1000, 1200)).df()
+    return Query(s, Part).where(lambda c: c.p_retailprice.between(920, 960.5)).df()
 
 
 @query(f"SELECT {_P} FROM part WHERE p_type LIKE '%BRASS%' OR p_brand LIKE 'Brand#1_'")
@@ -200,10 +207,9 @@ def json_field(s):
     return Query(s, Event).select(lambda c: {"event_id": c.event_id, "k": F.get_json_object(c.props, "$.k").cast("bigint")}).df()
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE list_contains(embedding, embedding[1]) AND len(embedding) > 0 AND label = 1")
+@query("SELECT p_partkey, p_type FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS')")
 def array_contains_tag(s):
-    e = s.frame("embeddings")
-    return e.where(F.array_contains("embedding", F.get("embedding", F.lit(0))) & (F.size("embedding") > 0) & (F.col("label") == 1)).select("vec_id", "label")
+    return Query(s, Part).where(lambda c: F.array_contains(F.split(c.p_type, " "), "BRASS")).select(lambda c: {"p_partkey": c.p_partkey, "p_type": c.p_type}).df()
 
 
 # aggregates
@@ -241,9 +247,15 @@ def agg_empty(s):
 
 @query("SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 100000) AS found, EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS missing")
 def exists_flag(s):
-    some = Query(s, Order).where(lambda c: c.o_totalprice > 100000).filtered()
-    none = Query(s, Order).where(lambda c: c.o_totalprice < 0).filtered()
-    return s.spark.range(1).select(some.exists().alias("found"), none.exists().alias("missing"))
+    found = [Query(s, Order).where(lambda c, n=n, up=up: c.o_totalprice > n if up else c.o_totalprice < n).exists() for n, up in ((100000, True), (0, False))]
+    return s.spark.createDataFrame([tuple(found)], "found boolean, missing boolean")
+
+
+@query("SELECT round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_custkey) AS lo, max(o_custkey) AS hi, count(*) AS n FROM orders WHERE o_orderstatus = 'O'")
+def agg_scalars(s):
+    q, price = Query(s, Order).where(lambda c: c.o_orderstatus == "O"), lambda c: c.o_totalprice
+    row = (round(q.sum(price), 2), round(q.avg(price), 4), q.min(lambda c: c.o_custkey), q.max(lambda c: c.o_custkey), q.count())
+    return s.spark.createDataFrame([row], "total double, mean double, lo bigint, hi bigint, n bigint")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS segments, round(sum(c_acctbal), 2) AS balance FROM customer")
@@ -348,6 +360,19 @@ def join_where(s):
     return q.or_where(lambda j: j.of(Customer).c_acctbal < -900).select(lambda j: {"c_custkey": j.of(Customer).c_custkey, "n_name": j.of(Nation).n_name}).df()
 
 
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE ((c_acctbal > 9000 OR c_mktsegment = 'BUILDING') AND n_regionkey = 1) OR n_name = 'NATION_3'")
+def join_or_root(s):
+    root = Query(s, Customer).where(lambda c: c.c_acctbal > 9000).or_where(lambda c: c.c_mktsegment == "BUILDING")
+    q = root.join(NATION).where(lambda j: j.of(Nation).n_regionkey == 1).or_where(lambda j: j.of(Nation).n_name == "NATION_3")
+    return q.select(lambda j: {"c_custkey": j.of(Customer).c_custkey, "n_name": j.of(Nation).n_name}).df()
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE (o_totalprice > 200000 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)) OR c_acctbal > 9900")
+def join_or_root_exists(s):
+    root = Query(s, Order).where(lambda c: c.o_totalprice > 200000).where_has(ITEMS, lambda i: i.l_quantity >= 49)
+    return root.join(CUSTOMER).or_where(lambda j: j.of(Customer).c_acctbal > 9900).select(lambda j: {"o_orderkey": j.of(Order).o_orderkey, "c_name": j.of(Customer).c_name}).df()
+
+
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 5")
 def join_order_limit(s):
     q = Query(s, Order).join(CUSTOMER).order_by(lambda j: j.of(Order).o_totalprice, descending=True).order_by(lambda j: j.of(Order).o_orderkey).offset(5).limit(7)
@@ -447,9 +472,14 @@ def with_count(s):
     return Query(s, Customer).with_count(ORDERS, name="n_orders").df()
 
 
-@query(f"SELECT {_C}, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AS n_orders FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+@query(f"SELECT {_C}, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AS n_orders FROM customer")
 def with_count_cond(s):
-    q = Query(s, Customer).order_by(lambda c: c.c_acctbal, descending=True).order_by(lambda c: c.c_custkey).limit(50)
+    return Query(s, Customer).with_count(ORDERS, lambda o: o.o_totalprice > 250000, name="n_orders").df()
+
+
+@query(f"SELECT {_C}, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AS n_orders FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 10")
+def with_count_top(s):
+    q = Query(s, Customer).order_by(lambda c: c.c_acctbal, descending=True).order_by(lambda c: c.c_custkey).offset(10).limit(50)
     return q.with_count(ORDERS, lambda o: o.o_totalprice > 250000, name="n_orders").df()
 
 
@@ -473,6 +503,17 @@ def has_count_zero(s):
     return Query(s, Customer).has(EVENTS, lambda n: n == 0).select(lambda c: {"c_custkey": c.c_custkey}).df()
 
 
+@query("SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) <= 5 AND (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) <> 3 AND (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 1")
+def has_count_others(s):
+    return Query(s, Customer).has(ORDERS, lambda n: n <= 5).has(ORDERS, lambda n: n != 3).has(ORDERS, lambda n: n > 1).select(lambda c: {"c_custkey": c.c_custkey}).df()
+
+
+@query("SELECT r_name, (SELECT count(*) FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_regionkey = r_regionkey AND c_acctbal > 5000) AS n FROM region WHERE EXISTS (SELECT 1 FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE n_regionkey = r_regionkey AND s_acctbal > 5000)")
+def composed_exists_and_count(s):
+    q = Query(s, Region).where_has(REGION_SUPPLIERS_VIA, lambda c: c.s_acctbal > 5000)
+    return q.with_count(REGION_CUSTOMERS_VIA, lambda c: c.c_acctbal > 5000, name="n").df().select("r_name", "n")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 9500 OR (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) >= 18")
 def has_count_or(s):
     return Query(s, Customer).where(lambda c: c.c_acctbal > 9500).or_where(lambda c: c.has(ORDERS, lambda n: n >= 18)).select(lambda c: {"c_custkey": c.c_custkey}).df()
@@ -546,10 +587,73 @@ def eager_via(s):
     return _sizes(Query(s, Region).with_related(REGION_SUPPLIERS_VIA), "r_regionkey", ("suppliers", "s_suppkey"))
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS sum_orders FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS sum_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey")
 def eager_cond(s):
+    return _sizes(Query(s, Customer).with_related(ORDERS, lambda o: o.o_orderstatus == "O"), "c_custkey", ("orders", "o_orderkey"))
+
+
+def _items(q: EagerQuery, key: str, *columns: str, at: str = "related_0", of: str = "") -> DataFrame:
+    """A row for each related record, with what it holds."""
+    item = F.explode(at).alias("item")
+    return q.df().select(key, item).select(key, *[F.col(f"item.{of}{c}").alias(c) for c in columns])
+
+
+@query("SELECT c_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100) JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O'")
+def eager_top_rows(s):
     q = Query(s, Customer).order_by(lambda c: c.c_acctbal, descending=True).order_by(lambda c: c.c_custkey).limit(100)
-    return _sizes(q.with_related(ORDERS, lambda o: o.o_orderstatus == "O"), "c_custkey", ("orders", "o_orderkey"))
+    return _items(q.with_related(ORDERS, lambda o: o.o_orderstatus == "O"), "c_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
+@query("SELECT c_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM customer JOIN orders ON o_custkey = c_custkey")
+def eager_has_many_rows(s):
+    return _items(Query(s, Customer).with_related(ORDERS), "c_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
+@query("SELECT p_partkey, s_suppkey, s_name, s_acctbal FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
+def eager_pivot_rows(s):
+    return _items(Query(s, Part).with_related(PART_SUPPLIERS), "p_partkey", "s_suppkey", "s_name", "s_acctbal")
+
+
+@query("SELECT p_partkey, s_name, l_orderkey, l_linenumber, l_quantity FROM part JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 40 JOIN supplier ON l_suppkey = s_suppkey")
+def eager_with_pivot_rows(s):
+    rows = Query(s, Part).with_related_and_pivot(LINKS, pivot=lambda v: v.l_quantity > 40).df().select("p_partkey", F.explode("related_0").alias("i"))
+    return rows.select("p_partkey", "i.target.s_name", "i.pivot.l_orderkey", "i.pivot.l_linenumber", "i.pivot.l_quantity")
+
+
+@query("SELECT r_regionkey, c_custkey, c_name, c_mktsegment FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey")
+def eager_through_rows(s):
+    return _items(Query(s, Region).with_related(REGION_CUSTOMERS), "r_regionkey", "c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT r_regionkey, s_suppkey, s_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey <= 5")
+def eager_has_one_through(s):
+    return _items(Query(s, Region).with_related(REGION_SUPPLIER, lambda c: c.s_suppkey <= 5), "r_regionkey", "s_suppkey", "s_name")
+
+
+@query("SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE n_regionkey = r_regionkey AND s_suppkey <= 2)")
+def where_has_one_through(s):
+    return Query(s, Region).where_has(REGION_SUPPLIER, lambda c: c.s_suppkey <= 2).select(lambda c: {"r_name": c.r_name}).df()
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def eager_belongs_to_rows(s):
+    return _items(Query(s, Order).with_related(CUSTOMER), "o_orderkey", "c_custkey", "c_name")
+
+
+@query("SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def eager_has_one_rows(s):
+    return _items(Query(s, Document).with_related(LABEL), "doc_id", "quality", "toxic")
+
+
+@query("SELECT n_nationkey, s_suppkey, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def eager_chain_rows(s):
+    return _items(Query(s, Nation).with_related(CUSTOMERS).with_related(SUPPLIERS), "n_nationkey", "s_suppkey", "s_name", at="related_1")
+
+
+@query("SELECT r_regionkey, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region ORDER BY r_name LIMIT 1")
+def eager_first(s):
+    record, nations = Query(s, Region).order_by(lambda c: c.r_name).with_related(NATIONS).first()
+    return s.spark.createDataFrame([(record.r_regionkey, len(nations))], "r_regionkey int, n bigint")
 
 
 @query("""SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_customers, (SELECT CAST(coalesce(sum(c_custkey), 0) AS BIGINT) FROM customer WHERE c_nationkey = n_nationkey) AS sum_customers,
@@ -567,7 +671,12 @@ def eager_with_pivot(s):
 
 @query(f"SELECT {_O} FROM orders WHERE o_custkey = 7")
 def lazy_load(s):
-    return lazy_rows(s, ORDERS, 7)
+    return _frame(s, Order, Active(Repo(s, Customer), Repo(s, Customer).find(7)).load(ORDERS))
+
+
+@query(f"SELECT {_C} FROM customer WHERE c_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = 5)")
+def lazy_load_one(s):
+    return _frame(s, Customer, [Active(Repo(s, Order), Repo(s, Order).find(5)).load_one(CUSTOMER)])
 
 
 # order, extent, pages
@@ -591,12 +700,24 @@ def order_raw(s):
 
 @query(f"SELECT {_O} FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1")
 def first_row(s):
-    return Query(s, Order).order_by(lambda c: c.o_orderdate).order_by(lambda c: c.o_orderkey).limit(1).df()
+    return _frame(s, Order, [Query(s, Order).order_by(lambda c: c.o_orderdate).order_by(lambda c: c.o_orderkey).first_or_fail()])
 
 
 @query(f"SELECT {_C} FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40")
 def paginate_offset(s):
-    return Query(s, Customer).order_by(lambda c: c.c_custkey).offset(2 * 20).limit(20).df()
+    return _frame(s, Customer, Query(s, Customer).order_by(lambda c: c.c_custkey).paginate(3, 20).items)
+
+
+@query("SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, true AS has_next, true AS has_prev FROM customer")
+def paginate_totals(s):
+    page = Query(s, Customer).order_by(lambda c: c.c_custkey).paginate(3, 20)
+    return s.spark.createDataFrame([(page.total, page.total_pages, page.has_next, page.has_prev)], "total bigint, pages bigint, has_next boolean, has_prev boolean")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, (row_number() OVER (ORDER BY n_nationkey) - 1) // 7 AS chunk FROM nation")
+def chunks(s):
+    found = [(r.n_nationkey, r.n_name, r.n_regionkey, k) for k, part in enumerate(Query(s, Nation).order_by(lambda c: c.n_nationkey).chunk(7)) for r in part]
+    return s.spark.createDataFrame(found, "n_nationkey int, n_name string, n_regionkey int, chunk bigint")
 
 
 @query(f"SELECT {_C} FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 20")
@@ -610,103 +731,269 @@ def paginate_keyset_mixed(s):
     return page.after("2-HIGH", 200000.0, 5).df()
 
 
-# row changes: the table as it is afterwards
+# row changes through the API: the table as it is afterwards
 
 
 def _nations(s):
-    return s.table(Nation.meta)
+    return stored_session(s, "nation")
 
 
-def _new_nations(s, *rows):
-    return s.spark.createDataFrame(rows, Nation.meta.schema)
+def _rows(s, entity):
+    return s.table(entity.meta)
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'CHANGED' ELSE n_name END AS n_name, n_regionkey FROM nation")
 def update_where(s):
-    return dml.updated(_nations(s), F.col("n_regionkey") == 1, {"n_name": F.lit("CHANGED")})
+    t = _nations(s)
+    Query(t, Nation).where(lambda c: c.n_regionkey == 1).update(n_name="CHANGED")
+    return _rows(t, Nation)
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
 def update_expr(s):
-    return dml.updated(s.table(Customer.meta), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.expr("c_acctbal * 2")})
+    t = stored_session(s, "customer")
+    Query(t, Customer).where(lambda c: c.c_mktsegment == "BUILDING").update_expr({"c_acctbal": "c_acctbal * 2"})
+    return _rows(t, Customer)
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 10 THEN n_regionkey + 3 ELSE n_regionkey END AS n_regionkey FROM nation")
 def increment(s):
-    return dml.updated(_nations(s), F.col("n_nationkey") < 10, {"n_regionkey": F.col("n_regionkey") + 3})
+    t = _nations(s)
+    Query(t, Nation).where(lambda c: c.n_nationkey < 10).increment("n_regionkey", 3)
+    return _rows(t, Nation)
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 10 OR n_regionkey = 4 THEN n_regionkey - 2 ELSE n_regionkey END AS n_regionkey FROM nation")
+def decrement(s):
+    t = _nations(s)
+    Query(t, Nation).where(lambda c: c.n_nationkey < 10).or_where(lambda c: c.n_regionkey == 4).decrement("n_regionkey", 2)
+    return _rows(t, Nation)
 
 
 @query("SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS status FROM orders WHERE NOT coalesce(NULLIF(o_orderstatus, 'P') = 'F', false)")
 def delete_where(s):
-    rows = Query(s, Order).select(lambda c: {"o_orderkey": c.o_orderkey, "status": F.nullif(c.o_orderstatus, F.lit("P"))}).df()
-    return dml.deleted(rows, F.col("status") == "F")
+    status = Query(s, Order).select(lambda c: {"o_orderkey": c.o_orderkey, "status": F.nullif(c.o_orderstatus, F.lit("P"))}).df()
+    t = stored_session(s, order_status=status)
+    Query(t, OrderStatus).where(lambda c: c.status == "F").delete()
+    return _rows(t, OrderStatus)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE NOT (c_acctbal < 5000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000))")
+def delete_where_missing(s):
+    t = stored_session(s, "customer", "orders")
+    Query(t, Customer).where(lambda c: c.c_acctbal < 5000).doesnt_have(ORDERS, lambda o: o.o_totalprice > 300000).delete()
+    return _rows(t, Customer)
 
 
 @query("SELECT * FROM nation WHERE n_nationkey NOT IN (3, 4) UNION ALL SELECT 3, 'THREE', 0 UNION ALL SELECT 4, 'FOUR', 1 UNION ALL SELECT 99, 'NEW', 2")
 def upsert_by_pk(s):
-    return dml.upserted(_nations(s), _new_nations(s, (3, "THREE", 0), (4, "FOUR", 1), (99, "NEW", 2)), ["n_nationkey"])
+    t = _nations(s)
+    Repo(t, Nation).upsert_all([Nation(n_nationkey=k, n_name=n, n_regionkey=r) for k, n, r in ((3, "THREE", 0), (4, "FOUR", 1), (99, "NEW", 2))])
+    return _rows(t, Nation)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey <= 500 THEN 1.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT 10000000 + c_custkey, c_name, c_nationkey, 1.5, c_mktsegment FROM customer WHERE c_custkey <= 20")
+def upsert_frame(s):
+    t = stored_session(s, "customer")
+    known, new = _rows(t, Customer).where("c_custkey <= 500"), _rows(t, Customer).where("c_custkey <= 20").withColumn("c_custkey", F.col("c_custkey") + 10000000)
+    Repo(t, Customer).upsert_frame(known.unionByName(new).withColumn("c_acctbal", F.lit(1.5)))
+    return _rows(t, Customer)
 
 
 @query("SELECT * FROM nation WHERE n_nationkey NOT IN (1, 2, 3)")
 def delete_by_ids(s):
-    return dml.deleted_by_keys(_nations(s), s.spark.createDataFrame([(1,), (2,), (3,)], "n_nationkey int"), ["n_nationkey"])
+    t = _nations(s)
+    Repo(t, Nation).delete_all_by_id([1, 2, 3])
+    return _rows(t, Nation)
+
+
+@query("SELECT * FROM nation WHERE n_nationkey <> 7")
+def delete_record(s):
+    t = _nations(s)
+    repo = Repo(t, Nation)
+    repo.delete(repo.find_or_fail(7))
+    return _rows(t, Nation)
+
+
+@query("SELECT * FROM nation WHERE 1 = 0")
+def truncate(s):
+    t = _nations(s)
+    Repo(t, Nation).truncate()
+    return _rows(t, Nation)
 
 
 @query("SELECT * FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 1, 'A', 0 UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 2, 'B', 1")
 def insert_append(s):
-    new = s.spark.createDataFrame([("A", 0), ("B", 1)], "n_name string, n_regionkey int")
-    return dml.appended(_nations(s), dml.numbered(_nations(s), new, "n_nationkey", ["n_name"]))
+    t = _nations(s)
+    Repo(t, Nation).raw_insert_all([NewNation(n_name="A", n_regionkey=0), NewNation(n_name="B", n_regionkey=1)])
+    return _rows(t, Nation)
+
+
+@query("SELECT * FROM customer UNION ALL SELECT c_custkey + 50000000, 'copy', c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 9000")
+def insert_frame(s):
+    t = stored_session(s, "customer")
+    Repo(t, Customer).insert_frame(_rows(t, Customer).where("c_acctbal > 9000").withColumn("c_custkey", F.col("c_custkey") + 50000000).withColumn("c_name", F.lit("copy")))
+    return _rows(t, Customer)
 
 
 @query("SELECT * FROM nation UNION ALL SELECT 77, 'NEW', 2")
 def insert_ignore(s):
-    return dml.inserted_ignoring(_nations(s), _new_nations(s, (5, "IGNORED", 0), (77, "NEW", 2)), ["n_nationkey"])
+    t = _nations(s)
+    Repo(t, Nation).insert_on_conflict([Nation(n_nationkey=5, n_name="IGNORED", n_regionkey=0), Nation(n_nationkey=77, n_name="NEW", n_regionkey=2)], ["n_nationkey"], ignore=True)
+    return _rows(t, Nation)
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 5 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 77, 'NEW', 2")
 def upsert_conflict(s):
-    new = _new_nations(s, (5, "KEPT", 10), (77, "NEW", 2))
-    return dml.upserted(_nations(s), new, ["n_nationkey"], {"n_regionkey": F.col("old.n_regionkey") + F.col("new.n_regionkey")})
+    t = _nations(s)
+    new = [Nation(n_nationkey=5, n_name="KEPT", n_regionkey=10), Nation(n_nationkey=77, n_name="NEW", n_regionkey=2)]
+    Repo(t, Nation).insert_on_conflict(new, ["n_nationkey"], {"n_regionkey": F.col("old.n_regionkey") + F.col("new.n_regionkey")})
+    return _rows(t, Nation)
 
 
 @query("SELECT * FROM nation UNION ALL SELECT 70, 'X', 0 UNION ALL SELECT 71, 'Y', 0")
 def insert_all_ignoring(s):
-    return dml.inserted_ignoring(_nations(s), _new_nations(s, (1, "A", 0), (70, "X", 0), (71, "Y", 0), (2, "B", 0)), ["n_nationkey"])
+    t = _nations(s)
+    new = [Nation(n_nationkey=k, n_name=n, n_regionkey=0) for k, n in ((1, "A"), (70, "X"), (71, "Y"), (2, "B"))]
+    Repo(t, Nation).insert_on_conflict(new, ["n_nationkey"], ignore=True)
+    return _rows(t, Nation)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey IN (1, 2) THEN 'ALL' || n_nationkey WHEN n_nationkey = 3 THEN 'PART' WHEN n_nationkey = 4 THEN 'SAVED' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def update_records(s):
+    t = _nations(s)
+    repo = Repo(t, Nation)
+    repo.update_all([r.copy(n_name=f"ALL{r.n_nationkey}") for r in repo.find_all_by_id([1, 2])])
+    three, four = repo.find(3), repo.find(4)
+    repo.update_partial(three, three.copy(n_name="PART"))
+    four.n_name = "SAVED"
+    repo.save(four)
+    return _rows(t, Nation)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'one' WHEN n_nationkey = 2 THEN 'two' ELSE n_name END AS n_name, CASE WHEN n_nationkey IN (1, 2) THEN n_regionkey + n_nationkey ELSE n_regionkey END AS n_regionkey FROM nation")
+def batch_update(s):
+    t = _nations(s)
+    sets = [{"n_nationkey": 1, "n_name": "one", "n_regionkey": 1}, {"n_nationkey": 2, "n_name": "two", "n_regionkey": 2}, {"n_nationkey": 999, "n_name": "none", "n_regionkey": 0}]
+    Query(t, Nation).batch_update(sets, ["n_nationkey"], {"n_name": "new.n_name", "n_regionkey": "old.n_regionkey + new.n_regionkey"})
+    return _rows(t, Nation)
+
+
+@query("SELECT n_nationkey, n_name || '!' AS n_name FROM nation WHERE n_regionkey = 2")
+def update_returning(s):
+    t = _nations(s)
+    got = t.execute("UPDATE nation SET n_name = concat(n_name, :mark) WHERE n_regionkey = :r RETURNING n_nationkey, n_name", mark="!", r=2)
+    return s.spark.createDataFrame(got.rows, "n_nationkey int, n_name string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT n_nationkey + 100, upper(n_name), n_regionkey FROM nation WHERE n_regionkey IN (0, 1)")
+def raw_statements(s):
+    t = _nations(s)
+    t.views("nation")
+    t.execute("INSERT INTO nation SELECT n_nationkey + 100, upper(n_name), n_regionkey FROM nation WHERE n_regionkey IN (:a, :b)", a=0, b=1)
+    t.execute("DELETE FROM nation AS n WHERE n.n_regionkey = :gone", gone=3)
+    return _rows(t, Nation)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 1, 'MADE', 1")
+def first_or_create(s):
+    t = _nations(s)
+    repo = Repo(t, Nation)
+    for name in ("MADE", "MADE"):
+        repo.first_or_create(lambda c, name=name: c.n_name == name, NewNation(n_name=name, n_regionkey=1))
+    return _rows(t, Nation)
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey = 6 THEN 44 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 1, 'MADE', 2")
+def update_or_create(s):
+    t = _nations(s)
+    repo = Repo(t, Nation)
+    repo.update_or_create(lambda c: c.n_nationkey == 6, NewNation(n_name=repo.find(6).n_name, n_regionkey=44))
+    repo.update_or_create(lambda c: c.n_name == "MADE", NewNation(n_name="MADE", n_regionkey=2))
+    return _rows(t, Nation)
+
+
+def _timed(s):
+    old = s.frame("nation").select("n_nationkey", "n_name", *[F.expr("TIMESTAMP_NTZ '2000-01-01'").alias(c) for c in ("made", "changed")])
+    return stored_session(s, timed_nation=old)
+
+
+@query("SELECT n_nationkey, n_nationkey < 5 AS touched FROM nation")
+def touch(s):
+    t = _timed(s)
+    Query(t, TimedNation).where(lambda c: c.n_nationkey < 5).touch()
+    return _rows(t, TimedNation).select("n_nationkey", (F.col("changed") > F.expr("TIMESTAMP_NTZ '2020-01-01'")).alias("touched"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'B' ELSE n_name END AS n_name, TIMESTAMP '2000-01-01' AS made, CASE WHEN n_nationkey = 2 THEN TIMESTAMP '2030-01-01' ELSE TIMESTAMP '2000-01-01' END AS changed FROM nation
+          UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + 1, 'NEW', TIMESTAMP '2030-01-01', TIMESTAMP '2030-01-01'""")
+def timestamps(s):
+    t = _timed(s)
+    repo = Repo(t, TimedNation, [Timestamps(TimedNation, lambda: F.expr("TIMESTAMP_NTZ '2030-01-01'"))])
+    repo.create(NewTimedNation(n_name="NEW"))
+    repo.update(repo.find(2).copy(n_name="B"))
+    return _rows(t, TimedNation)
+
+
+def _trashable(s):
+    t = stored_session(s, trashable_orders=s.table(TrashableOrder.meta))
+    return t, Repo(t, TrashableOrder, [SoftDeletes(TrashableOrder, lambda: F.expr("TIMESTAMP_NTZ '2030-01-01'"))])
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN o_orderdate WHEN o_custkey < 20 THEN TIMESTAMP '2030-01-01' END AS deleted_at FROM orders")
 def soft_delete(s):
-    now = F.expr("TIMESTAMP_NTZ '2030-01-01'")
-    values = SoftDeletes(TrashableOrder, lambda: now).rewrite_delete(TrashableOrder.meta)
-    return dml.updated(s.table(TrashableOrder.meta), (F.col("o_custkey") < 20) & F.col("deleted_at").isNull(), values)
+    t, repo = _trashable(s)
+    repo.delete_all_by_id([r["o_orderkey"] for r in repo.query().where(lambda c: c.o_custkey < 20).df().select("o_orderkey").collect()])
+    return _rows(t, TrashableOrder)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F')")
+def restore(s):
+    _, repo = _trashable(s)
+    repo.restore(repo.only_trashed().order_by(lambda c: c.o_orderkey).first())
+    return repo.query().select(lambda c: {"o_orderkey": c.o_orderkey}).df()
 
 
-def _links(s):
-    return s.frame("lineitem").select("l_partkey", "l_suppkey")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F')")
+def force_delete(s):
+    _, repo = _trashable(s)
+    repo.force_delete(repo.only_trashed().order_by(lambda c: c.o_orderkey).first())
+    return repo.with_trashed().select(lambda c: {"o_orderkey": c.o_orderkey}).df()
 
 
 @query("SELECT l_partkey, l_suppkey FROM lineitem WHERE NOT (l_partkey = 1 AND l_suppkey IN (1, 2, 3, 4, 5))")
 def pivot_detach(s):
-    return dml.deleted(_links(s), (F.col("l_partkey") == 1) & F.col("l_suppkey").isin(1, 2, 3, 4, 5))
+    t = stored_session(s, "lineitem")
+    PivotRepo(t, PART_SUPPLIERS).detach(1, [1, 2, 3, 4, 5])
+    return t.frame("lineitem").select("l_partkey", "l_suppkey")
 
 
 @query("""WITH have AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = 1), want AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])::BIGINT AS l_suppkey)
           SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> 1 OR l_suppkey IN (SELECT l_suppkey FROM want)
           UNION ALL SELECT 1::BIGINT, l_suppkey FROM want WHERE l_suppkey NOT IN (SELECT l_suppkey FROM have)""")
 def pivot_sync(s):
-    want = s.spark.range(1, 11).select(F.col("id").alias("l_suppkey"))
-    have = _links(s).where("l_partkey = 1")
-    state = dml.sync_difference(have, want, ["l_suppkey"])
-    gone = state.where("state = 'detached'").select(F.lit(1).cast("bigint").alias("l_partkey"), "l_suppkey")
-    new = state.where("state = 'attached'").select(F.lit(1).cast("bigint").alias("l_partkey"), "l_suppkey")
-    return dml.appended(dml.deleted_by_keys(_links(s), gone, ["l_partkey", "l_suppkey"]), new)
+    t = stored_session(s, "lineitem")
+    PivotRepo(t, PART_SUPPLIERS).sync(1, range(1, 11))
+    return t.frame("lineitem").select("l_partkey", "l_suppkey")
 
 
 @query("""WITH have AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = 1), want AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])::BIGINT AS l_suppkey)
           SELECT coalesce(have.l_suppkey, want.l_suppkey) AS l_suppkey, CASE WHEN have.l_suppkey IS NULL THEN 'attached' WHEN want.l_suppkey IS NULL THEN 'detached' ELSE 'unchanged' END AS state
           FROM have FULL JOIN want ON have.l_suppkey = want.l_suppkey""")
 def pivot_sync_diff(s):
-    return dml.sync_difference(_links(s).where("l_partkey = 1"), s.spark.range(1, 11).select(F.col("id").alias("l_suppkey")), ["l_suppkey"])
+    found = PivotRepo(stored_session(s, "lineitem"), PART_SUPPLIERS).sync(1, range(1, 11))
+    return s.spark.createDataFrame([(k, state) for state in ("attached", "detached", "unchanged") for k in getattr(found, state)], "l_suppkey bigint, state string")
+
+
+@query("""SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_partkey = 2 THEN 'late' END AS note FROM lineitem WHERE l_partkey < 50
+          UNION ALL SELECT 1::BIGINT, 9000001::BIGINT, 'made' UNION ALL SELECT 1::BIGINT, 9000002::BIGINT, 'made'""")
+def pivot_attach_with_creator(s):
+    t = stored_session(s, part_link=s.frame("lineitem").where("l_partkey < 50").select("l_partkey", "l_suppkey").distinct().withColumn("note", F.lit(None).cast("string")))
+    links = PivotRepo(t, PART_LINKS)
+    links.attach(1, [9000001, 9000002], NewPartLink(note="made"))
+    for r in t.frame("part_link").where("l_partkey = 2").select("l_suppkey").collect():
+        links.update_pivot(2, r["l_suppkey"], NewPartLink(note="late"))
+    return _rows(t, PartLink)
 
 
 # raw SQL, verification

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Entity, deleted_at, field
-from ..relations import belongs_to, belongs_to_many, has_many, has_many_through, has_one
+from ..model import Entity, created_at, deleted_at, field, updated_at
+from ..relations import belongs_to, belongs_to_many, has_many, has_many_through, has_one, has_one_through
 from ..scopes import SoftDeletes, Where
 from ..sources.session import Session
+from ..sources.store import Store
 
 
 class Region(Entity, table="region"):
@@ -22,6 +27,37 @@ class Nation(Entity, table="nation"):
     n_regionkey = field("int")
 
 
+class NewNation(Entity, creates=Nation):
+    n_name = field("string")
+    n_regionkey = field("int")
+
+
+class TimedNation(Entity, table="timed_nation"):
+    n_nationkey = field("int", pk=True)
+    n_name = field("string")
+    made = created_at("local_timestamp", nullable=True)
+    changed = updated_at("local_timestamp", nullable=True)
+
+
+class NewTimedNation(Entity, creates=TimedNation):
+    n_name = field("string")
+
+
+class OrderStatus(Entity, table="order_status"):
+    o_orderkey = field("bigint", pk=True)
+    status = field("string", nullable=True)
+
+
+class PartLink(Entity, table="part_link"):
+    l_partkey = field("bigint", pk=True)
+    l_suppkey = field("bigint", pk=True)
+    note = field("string", nullable=True)
+
+
+class NewPartLink(Entity, creates=PartLink):
+    note = field("string", nullable=True)
+
+
 class Customer(Entity, table="customer"):
     c_custkey = field("bigint", pk=True)
     c_name = field("string")
@@ -93,6 +129,12 @@ class Document(Entity, table="documents"):
     n_chars = field("bigint")
 
 
+class Vector(Entity, table="embeddings"):
+    vec_id = field("bigint", pk=True)
+    embedding = field("array<float>")
+    label = field("int")
+
+
 class Label(Entity, table="labels"):
     doc_id = field("bigint", pk=True)
     quality = field("int")
@@ -121,6 +163,11 @@ TRASHABLE = has_many(Customer, TrashableOrder, "o_custkey")
 LINKS = PART_SUPPLIERS.with_pivot(LineItem)
 
 
+REGION_SUPPLIER = has_one_through(Region, Nation, Supplier, "n_regionkey", "s_nationkey")
+REGION_CUSTOMERS_VIA = NATIONS.via(CUSTOMERS)
+PART_LINKS = belongs_to_many(Part, Supplier, "part_link", "l_partkey", "l_suppkey").with_pivot(PartLink, NewPartLink)
+
+
 def session_over(spark: SparkSession, sf_dir: str) -> Session:
     """The test tables; ``trashable_orders`` are orders whose finished ones count as deleted."""
     def frame(name: str):
@@ -132,4 +179,33 @@ def session_over(spark: SparkSession, sf_dir: str) -> Session:
     found = Session(spark, frame)
     found.register(TrashableOrder, SoftDeletes(TrashableOrder))
     found.register(Supplier, Where("solvent", lambda c: c.s_acctbal > 0))
+    found.folder = sf_dir
     return found
+
+
+def stored_session(over: Session, *names: str, **frames: DataFrame) -> Session:
+    """A session whose tables can be changed: ``names`` are the test tables, taken over without a copy
+    (changes rewrite the files that they touch, the test data stay), ``frames`` are written."""
+    spark = over.spark
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="lakeloom-")
+    store = Store(spark, f"{shared.rstrip('/')}/lakeloom-store-{uuid.uuid4().hex}")
+    atexit.register(_destroy, store)
+    with store.transaction():
+        for name in names:
+            store.adopt(name, f"{over.folder}/{name}.parquet")
+        for name, rows in frames.items():
+            store.write(name, rows)
+    found = Session(spark, store=store)
+    found.scopes = dict(over.scopes)
+    return found
+
+
+def _destroy(store: Store) -> None:
+    try:
+        store.destroy()
+    except Exception:  # the session has ended already: the folder goes with the shared one
+        return
