@@ -207,9 +207,11 @@ def json_field(s):
     return Query(s, Event).select(lambda c: {"event_id": c.event_id, "k": F.get_json_object(c.props, "$.k").cast("bigint")}).df()
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS')")
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'widget') AND NOT list_contains(string_split(p_name, ' '), 'red')")
 def array_contains_tag(s):
-    return Query(s, Part).where(lambda c: F.array_contains(F.split(c.p_type, " "), "BRASS")).select(lambda c: {"p_partkey": c.p_partkey, "p_type": c.p_type}).df()
+    has = lambda c, tag: F.array_contains(F.split(c.p_name, " "), tag)
+    q = Query(s, Part).where(lambda c: has(c, "widget")).where(lambda c: ~has(c, "red"))
+    return q.select(lambda c: {"p_partkey": c.p_partkey, "p_name": c.p_name}).df()
 
 
 # aggregates
