@@ -98,7 +98,9 @@ class Query:
         return self._with(is_distinct=True)
 
     def lock_for_update(self) -> Query:
-        raise CapabilityError("Spark has no row locks; use Session.transact(), which holds the store's lock")
+        """Spark reads without locks, also from databases that have them."""
+        self.session.dialect.require("row_locks")
+        raise CapabilityError("rows are not locked from Spark; use Session.transact(), which holds the store's lock")
 
     for_share = lock_for_update
 
@@ -219,6 +221,15 @@ class Query:
     def exists(self) -> bool:
         return not self.filtered().isEmpty()
 
+    def save(self, path: str, format: str = "parquet", mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> None:
+        """Writes the rows from the executors."""
+        with self.session.logger.timed(f"save of {self.meta.table}"):
+            self.df().write.format(format).mode(mode).partitionBy(*partition_by).save(path)
+
+    def statements(self) -> list[str]:
+        """The plan that Spark runs, as text."""
+        return [self.df()._jdf.queryExecution().optimizedPlan().toString()]
+
     def explain(self) -> str:
         return self.df()._jdf.queryExecution().toString()
 
@@ -401,6 +412,9 @@ class CountQuery:
         counted = counted.orderBy(*keys) if keys else counted
         return counted.select(*[F.col(f"{ROOT}.`{c}`") for c in q.meta.columns], F.col(f"{ROOT}._n").alias(self.name))
 
+    def statements(self) -> list[str]:
+        return [self.df()._jdf.queryExecution().optimizedPlan().toString()]
+
     def run(self) -> list[tuple]:
         return [(self.query.meta.record(r), r[self.name]) for r in self.df().collect()]
 

@@ -45,10 +45,23 @@ class Observer:
 
 
 class Repo:
+    """Subclasses and mixins may bring scopes of their own: ``injected`` ones come before those that the
+    repository is made with, ``final`` ones after them, each in the order of the classes from base to
+    subclass. A scope may be given as a function of the entity."""
+
+    injected: Sequence[Scope | Callable[[Any], Scope]] = ()
+    final: Sequence[Scope | Callable[[Any], Scope]] = ()
+
     def __init__(self, session: Session, entity: Any, scopes: Sequence[Scope] = (), observers: Sequence[Observer] = ()):
-        self.session, self.meta, self.scopes, self.observers = session, meta_of(entity), tuple(scopes), tuple(observers)
+        self.session, self.meta, self.observers = session, meta_of(entity), tuple(observers)
+        stacked = [*self._stacked("injected"), *scopes, *self._stacked("final")]
+        self.scopes = tuple(s if isinstance(s, Scope) else s(self.meta) for s in stacked)
         self.session.scopes[self.meta.table] = self.scopes
 
+    @classmethod
+    def _stacked(cls, name: str) -> list:
+        return [s for c in reversed(cls.__mro__) for s in vars(c).get(name, ())]
+
     # reading
 
     def query(self) -> Query:

@@ -12,7 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import EngineError, EntityMeta
-from ..rawsql import Fragment
+from ..rawsql import Fragment, bound
+from .dialects import DIALECTS, Dialect, dialect_of
 from .store import Store
 
 
@@ -95,6 +96,19 @@ class Session:
         found.database = url, settings
         return found
 
+    @property
+    def dialect(self) -> Dialect:
+        return dialect_of(self.database[0]) if self.database else DIALECTS["spark"]
+
+    def native(self, fragment: Fragment | str, limit: int | None = None, offset: int | None = None, **values: Any) -> DataFrame:
+        """A SELECT in the database's own SQL, run there; what is not in it runs on Spark."""
+        if self.database is None:
+            raise EngineError("native SQL needs a session over a database")
+        fragment = fragment if isinstance(fragment, Fragment) else Fragment(fragment, values)
+        url, properties = self.database
+        text = bound(fragment.text, fragment.values) + self.dialect.window(limit, offset)
+        return self.spark.read.format("jdbc").options(url=url, query=text, **properties).load()
+
     def save(self, table: str, rows: DataFrame, mode: str = "append", batch_size: int = 10_000, connections: int | None = None) -> None:
         """Writes rows to a table of the database, by at most ``connections`` tasks at a time; each task
         commits its own part."""

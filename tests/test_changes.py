@@ -387,3 +387,48 @@ def test_databases_are_read_in_parts_and_written(s):
     assert "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,98)]" in q.where(lambda c: c.id > 98).df()._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(EngineError):
         s.save("x", s.spark.range(1))
+    assert [tuple(r) for r in db.native('SELECT "ID" FROM PLAIN WHERE "ID" > :least ORDER BY "ID"', limit=2, offset=1, least=90).collect()] == [(92,), (93,)]
+    with pytest.raises(CapabilityError, match="Derby has no row locks"):
+        q.lock_for_update()
+    with pytest.raises(EngineError):
+        s.native("SELECT 1")
+
+
+def test_dialects():
+    from lakeloom.sources.dialects import DIALECTS, dialect_of
+
+    assert dialect_of("jdbc:postgresql://h/db").window(5, 10) == " LIMIT 5 OFFSET 10" and dialect_of("jdbc:oracle:thin:@h").window(5, None) == " OFFSET 0 ROWS FETCH NEXT 5 ROWS ONLY"
+    assert DIALECTS["mysql"].window(None, 3) == f" LIMIT {(1 << 63) - 1} OFFSET 3" and DIALECTS["postgresql"].window(None, 3) == " OFFSET 3" and DIALECTS["h2"].window(None, None) == ""
+    assert DIALECTS["mysql"].identifier("a`b") == "`a``b`" and DIALECTS["sqlite"].identifier("a") == '"a"'
+    with pytest.raises(CapabilityError):
+        dialect_of("jdbc:unknown:x")
+    with pytest.raises(CapabilityError):
+        DIALECTS["clickhouse"].require("row_locks")
+
+
+def test_scopes_stack_from_base_to_subclass(s):
+    from lakeloom.scopes import Where
+
+    seen = lambda key: Where(key, lambda c: c.id > 0)
+
+    class Base(Repo):
+        injected = (seen("first"), lambda meta: Where("of " + meta.table, lambda c: c.n < 100))
+
+    class Mixin:
+        final = (seen("last"),)
+
+    class Own(Mixin, Base):
+        injected = (seen("second"),)
+        final = (seen("very last"),)
+
+    repo = Own(s, Plain, [Where("given", lambda c: c.id > 2)])
+    assert [x.key for x in repo.scopes] == ["first", "of plain", "second", "given", "last", "very last"]
+    assert repo.count() == 7 and repo.query_without("given").count() == 9
+
+
+def test_rows_are_saved_from_the_executors(s, tmp_path):
+    q, at = Query(s, Plain).where(lambda c: c.id < 7), str(tmp_path / "out")
+    q.save(at, "json", partition_by=("name",))
+    assert s.spark.read.json(at).count() == 6 and len(q.statements()) == 1 and "Filter" in q.statements()[0]
+    with pytest.raises(Exception, match="exist"):
+        q.save(at, "json")
