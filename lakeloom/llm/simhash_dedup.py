@@ -62,14 +62,19 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _version(text: Column) -> Column:
+    """Tells rows that repeat a doc_id with another text apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row."""
+    """(doc_id, version, fp) of each row."""
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": [fingerprint(t) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "version": frame["version"], "fp": [fingerprint(t) for t in frame["text"]]})
 
-    rows = masked(shipped(docs).select("doc_id", "text"), "doc_id")
-    found = rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = masked(shipped(docs).select("doc_id", _version(F.col("text")).alias("version"), "text"), "doc_id")
+    found = rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version bigint, fp bigint")
     return unmasked(found, "doc_id", docs.schema["doc_id"].dataType)
 
 
@@ -141,18 +146,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: component_id is the smallest doc_id reachable."""
+    """(doc_id, version, fp, component_id) of each row: component_id is the smallest doc_id reachable."""
     rows = stored(fingerprints(docs))
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(near_edges(classes.select("fp")))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = stored(rooted.join(least, "root").select("fp", "component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "version", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without the members of a component other than its smallest doc_id. Rows without a
-    doc_id have no place in an order: they stay."""
-    found = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """Documents without the members of a component other than its smallest doc_id. Rows with one doc_id
+    and text are one document: they stay or go together; another text under that doc_id is judged on
+    its own. Rows without a doc_id have no place in an order: they stay."""
+    found = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct()
+    return docs.join(found, (docs["doc_id"] == found["_gone"]) & (_version(docs["text"]) == found["_version"]), "left_anti")

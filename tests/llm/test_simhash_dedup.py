@@ -91,3 +91,19 @@ def test_repeats_nulls_and_empty(spark):
     assert [r["component_id"] for r in S.near_duplicates(df).collect()] == [1, 1, 1]
     assert S.keep_one(df).count() == 3
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_another_text_of_a_doc_id_is_judged_on_its_own(spark):
+    rows = [(1, "one two three four"), (5, "one two three four"), (5, "a text that nobody else has"), (5, "a text that nobody else has")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([rows[0], rows[2], rows[3]])
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(2)
+    long = " ".join(rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(150_000))  # several blocks
+    assert S.fingerprint(long) & (1 << 64) - 1 == brute_fp(long)
+    df = spark.createDataFrame([(2, long), (1, long.upper())], "doc_id long, text string").withColumns({c: F.lit(3) for c in ("version", "node", "rep", "u", "v", "_gone", "_version", "component_id")})
+    assert [r["component_id"] for r in S.near_duplicates(df).collect()] == [1, 1]
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1]
