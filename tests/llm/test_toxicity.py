@@ -75,6 +75,14 @@ def test_defined_edge_cases(spark):
     assert X.score_toxicity(d.limit(0), model).count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = [(i, "you vile thing" if i % 2 else "a fine day") for i in range(120)]
+    d = spark.createDataFrame(docs + docs[:5], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("toxic", "fold", "score", "held_out", "entry", "n")})
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    got = X.score_toxicity(d, X.fit(d, lab.drop("text"))).collect()
+    assert len(got) == 125 and len({(r["doc_id"], r["score"]) for r in got}) == 120
+
+
 def test_held_out_accuracy(spark):
     from lakeloom.llm.queries import op6_toxicity
 
