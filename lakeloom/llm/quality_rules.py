@@ -156,9 +156,15 @@ def _bin(distance: Column) -> Column:
     return F.round(F.log1p(F.greatest(F.least(distance, F.lit(1e8)), F.lit(0.0))), 3)
 
 
-def _small_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Joins a stored table with a row a group (or a few)."""
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS * STARTS else groups, keys, how)
+class _Groups:
+    """How tables with a row a group (or a few) are joined: by broadcast if the groups are counted and few,
+    else by a shuffle that can be split at a hot group."""
+
+    def __init__(self, known: DataFrame):
+        self.few = known.count() <= BROADCAST_GROUPS
+
+    def join(self, rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        return rows.join(F.broadcast(table) if self.few else table, keys, how)
 
 
 def _quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], share: float) -> DataFrame:
@@ -179,7 +185,8 @@ def grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("n_lang") >= MIN_ROWS, F.concat_ws("\x01", F.lit("lang"), "lang"))
         .otherwise("all").alias("group"),
     )
-    return _small_join(rows, stored(keys), ["lang", "source"], "left")
+    keys = stored(keys)
+    return _Groups(keys).join(rows, keys, ["lang", "source"], "left")
 
 
 def _lower(name: str) -> list[str]:
@@ -195,14 +202,13 @@ def _with_factor(df: DataFrame, cov: dict[tuple[int, int], Column], keys: list[s
     return df.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)))
 
 
-def starts(usable: DataFrame) -> DataFrame:
-    """(group, start, n, m<i>, l<i><j>, det): the first estimates of each group."""
-    names = {f"m{i}": F.round(f, 3) for i, f in enumerate(FEATURES)}
-    middle = stored(_quantiles(usable, ["group"], names, 0.5))
+def starts(usable: DataFrame, middle: DataFrame, groups: _Groups) -> DataFrame:
+    """(group, start, n, m<i>, l<i><j>, det): the first estimates of each group, around its medians."""
     apart = {f"s{i}": F.round(F.abs(F.col(f) - F.col(f"m{i}")), 3) for i, f in enumerate(FEATURES)}
-    spread = stored(_quantiles(_small_join(usable, middle, ["group"]), ["group"], apart, 0.5))
+    spread = stored(_quantiles(groups.join(usable, middle, ["group"]), ["group"], apart, 0.5))
     scale = [F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) for i in range(_P)]
-    placed = _small_join(usable, stored(middle.join(spread, "group").select("group", *names, *[s.alias(f"s{i}") for i, s in enumerate(scale)])), ["group"])
+    both = stored(middle.join(spread, "group").select("group", *[f"m{i}" for i in range(_P)], *[s.alias(f"s{i}") for i, s in enumerate(scale)]))
+    placed = groups.join(usable, both, ["group"])
     z = [(F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}") for i, f in enumerate(FEATURES)]
     length = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
     kinds = {"a": [x / F.greatest(length, F.lit(1e-9)) for x in z], "b": [F.tanh(x) for x in z]}
@@ -223,11 +229,11 @@ def starts(usable: DataFrame) -> DataFrame:
     return found
 
 
-def concentrated(usable: DataFrame, state: DataFrame) -> DataFrame:
+def concentrated(usable: DataFrame, state: DataFrame, groups: _Groups) -> DataFrame:
     """The estimates after one concentration step, with the quantile of the distances before it."""
-    placed = _small_join(usable, state, ["group"]).withColumn("bin", _bin(_distance()))
+    placed = groups.join(usable, state, ["group"]).withColumn("bin", _bin(_distance()))
     cut = stored(_quantiles(placed, ["group", "start"], {"cut": F.col("bin")}, CORE))
-    core = _small_join(placed, cut, ["group", "start"]).where(F.col("bin") <= F.col("cut"))
+    core = groups.join(placed, cut, ["group", "start"]).where(F.col("bin") <= F.col("cut"))
     moments = core.groupBy("group", "start").agg(
         F.first("n").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)],
         *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i in range(_P) for j in range(i + 1)],
@@ -244,18 +250,20 @@ def estimates(rows: DataFrame) -> DataFrame:
     usable = rows.where(~F.col("base_failed")).select("group", *FEATURES)
     # small tables are stored before they are joined: their size is then known, and where they are
     # too large to broadcast, a join that shuffles both sides can be split at a hot group
-    state = stored(starts(usable))
+    middle = stored(_quantiles(usable, ["group"], {f"m{i}": F.round(f, 3) for i, f in enumerate(FEATURES)}, 0.5))
+    groups = _Groups(middle)
+    state = stored(starts(usable, middle, groups))
     for _ in range(TRIALS):
-        state = stored(concentrated(usable, state))
+        state = stored(concentrated(usable, state, groups))
     best = state.groupBy("group").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
     state = stored(state.join(best, ["group", "start"]))
     for _ in range(STEPS):
         before = state.select("group", F.col("det").alias("was"))
-        state = stored(concentrated(usable, state))
+        state = stored(concentrated(usable, state, groups))
         moved = state.join(before, "group").agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
         if moved is None or moved < STABLE:
             break
-    placed = _small_join(usable, state, ["group"]).withColumn("bin", _bin(_distance()))
+    placed = groups.join(usable, state, ["group"]).withColumn("bin", _bin(_distance()))
     core = stored(_quantiles(placed, ["group"], {"core": F.col("bin")}, CORE))
     scale = F.greatest(F.expm1("core") / chi2_quantile(CORE, _P), F.lit(1.0))
     return state.join(core, "group").select("group", "n", *[f"m{i}" for i in range(_P)], *_lower("l"), scale.alias("scale"))
@@ -265,7 +273,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """The statistics of each row, its squared distance and whether it is kept."""
     measured = stored(_features(statistics(docs)))  # texts are read once, all else works on the vectors
     rows = stored(grouped(measured))
-    found = _small_join(rows, stored(estimates(rows)), ["group"], "left").withColumn("distance", _distance())
+    fitted = stored(estimates(rows))
+    found = _Groups(fitted).join(rows, fitted, ["group"], "left").withColumn("distance", _distance())
     outlier = F.coalesce((F.col("n") >= MIN_ROWS) & (F.col("distance") > chi2_quantile(SURE, _P) * F.col("scale")), F.lit(False))
     return found.select(*rows.columns, "distance", (~F.col("base_failed") & ~outlier).alias("kept"))
 
