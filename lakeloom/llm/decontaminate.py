@@ -34,7 +34,8 @@ BLOCKS, WIDTH = 8, 8
 #: Bits by which a window and an item may miss each other in a block.
 NEAR = 2
 RADIUS = (NEAR + 1) * BLOCKS - 1
-#: Item shingles are broadcast up to this number of rows (16 bytes each), beyond it joined by shuffle.
+#: Item shingles and the items' index are broadcast up to this number of rows (16 and 40 bytes each),
+#: beyond it joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -136,7 +137,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     distinct = stored(distinct.select("size", "content", "anchors", numbered(F.col("shingles")).alias("numbered"), simhash(F.col("shingles")).alias("fp")))
     listed = multi_index(items.select("item_id", "size", F.col("fp"), F.array_distinct("shingles").alias("anchors")))
     listed = listed.select("key", "item_id", F.col("size").alias("item_size"), F.col("fp").alias("item_fp"))
-    near = multi_index(distinct.select("size", "content", "fp", "anchors")).join(listed, "key")
+    # explode multiplies rows behind the planner's back, so the way of joining is chosen from the count
+    rows = (items.agg(F.sum(F.size(F.array_distinct("shingles")))).first()[0] or 0) * BLOCKS * (1 + WIDTH)
+    near = multi_index(distinct.select("size", "content", "fp", "anchors"))
+    near = near.join(F.broadcast(listed), "key") if rows <= BROADCAST_ROWS else near.hint("merge").join(listed, "key")
     near = near.where((F.col("size") == F.col("item_size")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
     pairs = near.select("size", "content", "item_id").distinct()
     scored = pairs.join(distinct, ["size", "content"]).join(items.select("item_id", F.col("numbered").alias("item_numbered")), "item_id")
