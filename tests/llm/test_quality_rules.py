@@ -155,3 +155,95 @@ def test_constant_statistics_and_long_texts(spark):
     rows += [(100, " ".join(f"w{k}" for k in range(300_000)), "en", "s"), (101, "one two three four five " * 60_000, "en", "s")]
     got = {r["doc_id"]: r for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i]["kept"] for i in range(80)) and got[100]["n_words"] == 300_000 and got[101]["base_failed"]
+
+
+def half_up(x, digits):
+    return np.floor(np.asarray(x) * 10**digits + 0.5) / 10**digits
+
+
+def estimate(x):
+    """Centre, covariance and scale of a group in plain numpy: the same three starts and steps."""
+    factor = Q.CORE / Q._chi2_even(Q.chi2_quantile(Q.CORE, 4), 6)
+
+    def lifted(cov):
+        cov = cov.copy()
+        cov[np.diag_indices(4)] = np.maximum(cov.diagonal(), np.square(Q.FLOORS))
+        return cov
+
+    def bins(state):
+        gap = x - state[0]
+        z = np.linalg.solve(np.linalg.cholesky(state[1]), gap.T)
+        return half_up(np.log1p(np.minimum((z * z).sum(axis=0), 1e8)), 3)
+
+    def step(state):
+        b = bins(state)
+        core = x[b <= np.quantile(b, Q.CORE)]
+        return core.mean(axis=0), lifted(factor * np.cov(core.T, bias=True))
+
+    def det(state):
+        return np.linalg.slogdet(state[1])[1]
+
+    middle = np.median(half_up(x, 3), axis=0)
+    scale = np.maximum(1.4826 * np.median(half_up(np.abs(x - middle), 3), axis=0), Q.FLOORS)
+    z = (x - middle) / scale
+    signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+    states = []
+    for t in (None, signs, np.tanh(z)):
+        corr = np.eye(4)
+        if t is not None:
+            m = t.T @ t / len(t)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                corr = np.nan_to_num(m / np.sqrt(np.outer(m.diagonal(), m.diagonal())), nan=0.0)
+            corr[np.diag_indices(4)] = 1
+        states.append((middle, lifted(corr * np.outer(scale, scale))))
+    for _ in range(Q.TRIALS):
+        states = [step(s) for s in states]
+    state = min(states, key=det)
+    for _ in range(Q.STEPS):
+        was, state = det(state), step(state)
+        if abs(det(state) - was) < Q.STABLE:
+            break
+    return state, max(1.0, np.expm1(np.quantile(bins(state), Q.CORE)) / Q.chi2_quantile(Q.CORE, 4))
+
+
+def verdicts(rows):
+    """(kept, distance) of rows (text, lang, source) in plain Python."""
+    base, vectors, of = [], [], []
+    for text, lang, source in rows:
+        n, chars, symbols, dup, repeats, failed = brute(text)
+        lines = sum(1 for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        base.append(failed)
+        vectors.append([np.log((chars + 200) / (n + 40)), np.log1p(100 * symbols / (chars + 100)), np.log1p(10 * dup / (lines + 5)), np.log1p(10 * repeats / (n + 40))])
+        of.append((lang or "", source or ""))
+    vectors = np.array(vectors)
+    sizes = Counter(k for k, failed in zip(of, base) if not failed)
+    by_lang = Counter()
+    for (lang, _), n in sizes.items():
+        by_lang[lang] += n if n < Q.MIN_ROWS else 0
+
+    def group(k):
+        if k not in sizes:
+            return None
+        return k if sizes[k] >= Q.MIN_ROWS else k[0] if by_lang[k[0]] >= Q.MIN_ROWS else ""
+
+    groups = [group(k) for k in of]
+    out = [(not failed, None) for failed in base]
+    for g in {g for g in groups if g is not None}:
+        own = [i for i, x in enumerate(groups) if x == g]
+        usable = vectors[[i for i in own if not base[i]]]
+        (centre, cov), scale = estimate(usable)
+        for i in own:
+            z = np.linalg.solve(np.linalg.cholesky(cov), vectors[i] - centre)
+            far = len(usable) >= Q.MIN_ROWS and z @ z > Q.chi2_quantile(Q.SURE, 4) * scale
+            out[i] = (not base[i] and not far, z @ z)
+    return out
+
+
+def test_verdicts_agree_with_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = docs.collect()
+    want = dict(zip([r["doc_id"] for r in rows], verdicts([(r["text"], r["lang"], r["source"]) for r in rows])))
+    got = {r["doc_id"]: r for r in Q.judged(docs).collect()}
+    assert {d: r["kept"] for d, r in got.items()} == {d: k for d, (k, _) in want.items()}
+    for d, (_, distance) in want.items():
+        assert distance is None and got[d]["distance"] is None or abs(got[d]["distance"] - distance) <= 0.02 * distance + 0.01
