@@ -17,7 +17,8 @@ many items there are. Pairs within the radius are then verified by the exact wei
 common shingles over all shingles, each weighted by its count.
 
 Defined results. Items and texts with under five words have no shingles and match nothing. Null
-texts are empty. Repeated rows are found alike. An empty benchmark clears every document. Columns
+texts are empty. Repeated rows are found alike; items that repeat an item_id are each compared, and one
+with a null item_id contaminates without being listed. An empty benchmark clears every document. Columns
 besides doc_id, item_id and text are carried along or ignored.
 """
 
@@ -75,10 +76,11 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, shingles, numbered, fp) of the items that have shingles."""
+    """(item_id, item, size, shingles, numbered, fp) of the items that have shingles; ``item`` is a hash of
+    what they say."""
     found = benchmark.select("item_id", _shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0)
     s = F.col("shingles")
-    return found.select("item_id", F.size(s).alias("size"), s, numbered(s).alias("numbered"), simhash(s).alias("fp"))
+    return found.select("item_id", F.xxhash64(s).alias("item"), F.size(s).alias("size"), s, numbered(s).alias("numbered"), simhash(s).alias("fp"))
 
 
 def _needed(size: Column) -> Column:
@@ -130,22 +132,24 @@ def multi_index(rows: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, version, item_id, similarity): the best verified window of each pair."""
-    items = stored(item_table(benchmark))
+    named = stored(item_table(benchmark))
+    items = stored(named.drop("item_id").dropDuplicates(["item"]))  # items that say the same are one
     # equal windows of different documents are fingerprinted and compared once
     windows = stored(candidate_windows(docs, items).withColumn("content", F.xxhash64("shingles")))
     distinct = windows.groupBy("size", "content").agg(F.first("shingles").alias("shingles"), F.collect_set("anchor").alias("anchors"))
     distinct = stored(distinct.select("size", "content", "anchors", numbered(F.col("shingles")).alias("numbered"), simhash(F.col("shingles")).alias("fp")))
-    listed = multi_index(items.select("item_id", "size", F.col("fp"), F.array_distinct("shingles").alias("anchors")))
-    listed = listed.select("key", "item_id", F.col("size").alias("item_size"), F.col("fp").alias("item_fp"))
+    listed = multi_index(items.select("item", "size", "fp", F.array_distinct("shingles").alias("anchors")))
+    listed = listed.select("key", "item", F.col("size").alias("item_size"), F.col("fp").alias("item_fp"))
     # explode multiplies rows behind the planner's back, so the way of joining is chosen from the count
     rows = (items.agg(F.sum(F.size(F.array_distinct("shingles")))).first()[0] or 0) * BLOCKS * (1 + WIDTH)
     near = multi_index(distinct.select("size", "content", "fp", "anchors"))
     near = near.join(F.broadcast(listed), "key") if rows <= BROADCAST_ROWS else near.hint("merge").join(listed, "key")
     near = near.where((F.col("size") == F.col("item_size")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
-    pairs = near.select("size", "content", "item_id").distinct()
-    scored = pairs.join(distinct, ["size", "content"]).join(items.select("item_id", F.col("numbered").alias("item_numbered")), "item_id")
+    pairs = near.select("size", "content", "item").distinct()
+    scored = pairs.join(distinct, ["size", "content"]).join(items.select("item", F.col("numbered").alias("item_numbered")), "item")
     scored = scored.withColumn("similarity", similarity(F.col("numbered"), F.col("item_numbered"))).where(F.col("similarity") >= SIMILARITY)
-    found = windows.select("doc_id", "version", "size", "content").distinct().join(scored.select("size", "content", "item_id", "similarity"), ["size", "content"])
+    found = windows.select("doc_id", "version", "size", "content").distinct().join(scored.select("size", "content", "item", "similarity"), ["size", "content"])
+    found = found.join(named.select("item", "item_id"), "item")
     return found.groupBy("doc_id", "version", "item_id").agg(F.max("similarity").alias("similarity"))
 
 

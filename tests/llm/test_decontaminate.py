@@ -135,6 +135,16 @@ def test_recall_of_random_edits_near_the_threshold(spark):
     assert near >= 40
 
 
+def test_null_and_repeated_items(spark):
+    rng = random.Random(6)
+    one, two, three = (sentence(rng, 30) for _ in range(3))
+    docs = [(1, one), (2, two), (3, three), (None, one), (5, f"{one} {two}")]
+    got = found(spark, docs, [(None, one), (7, two), (7, three), (7, two), (8, two)])
+    assert sorted((str(r["doc_id"]), r["contaminated"], r["n_items"], r["item_ids"]) for r in got) == [
+        ("1", True, 0, ""), ("2", True, 2, "7,8"), ("3", True, 1, "7"), ("5", True, 2, "7,8"), ("None", True, 0, ""),
+    ]
+
+
 def test_very_long_items_and_texts(spark):
     rng = random.Random(5)
     item = sentence(rng, 2_500)

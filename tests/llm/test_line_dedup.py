@@ -91,6 +91,22 @@ def test_only_hot_lines_are_salted(spark):
     same(result(spark, rows), brute(rows))
 
 
+def test_ranges_of_hashes_are_ordered_and_even(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h")).union(spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,), (-1,)], "h long"))
+    found = rows.select("h", line_dedup.part_of(F.col("h"), F.lit(0), 7).alias("p")).orderBy("h").collect()
+    assert [r["p"] for r in found] == sorted(r["p"] for r in found) and (found[0]["p"], found[-1]["p"]) == (0, 6)
+    sizes = [sum(r["p"] == k for r in found) for k in range(7)]
+    assert min(sizes) > 2600 and max(sizes) < 3100
+
+
+def test_one_shuffle_of_lines(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    plan = line_dedup.dropped_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_very_long_texts(spark):
     lines = [f"line {k % 30_000} of a long text" for k in range(70_000)]
     rows = [(2, "\n".join(lines)), (1, "\n".join(lines[::500])), (3, "x" * 3_000_000), (4, "y\nX" + "x" * 2_999_999)]
