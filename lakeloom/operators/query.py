@@ -233,8 +233,24 @@ class Query:
     def explain(self) -> str:
         return self.df()._jdf.queryExecution().toString()
 
+    def tables(self) -> list[str]:
+        """The tables that the query reads, the root's first."""
+        found = [self.meta.table]
+        for step in self.steps:
+            rel = step[1] if step[0] in ("exists", "count") else None
+            for meta in (getattr(rel, "middle", None), getattr(getattr(rel, "outer", None), "target", None), getattr(rel, "target", None)):
+                if meta is not None:
+                    found.append(meta.table)
+            if getattr(rel, "table", None):
+                found.append(rel.table)
+        return list(dict.fromkeys(found))
+
     def debug(self, rows: int = 20) -> Query:
+        """Prints the plan, the first rows of each table that the query reads, and its own."""
         print(self.explain())
+        for name in self.tables():
+            print(name)
+            self.session.frame(name).show(rows)
         self.df().show(rows)
         return self
 

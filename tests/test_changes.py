@@ -432,3 +432,19 @@ def test_rows_are_saved_from_the_executors(s, tmp_path):
     assert s.spark.read.json(at).count() == 6 and len(q.statements()) == 1 and "Filter" in q.statements()[0]
     with pytest.raises(Exception, match="exist"):
         q.save(at, "json")
+
+
+def test_debug_shows_the_tables_of_a_query(s, capsys):
+    s.store.write("child", s.spark.createDataFrame([(1, 1)], Child.meta.schema))
+    q = Query(s, Plain).where_has(has_many(Plain, Child, "plain_id"))
+    assert q.tables() == ["plain", "child"] and q.debug(2) is q
+    out = capsys.readouterr().out
+    assert "Physical Plan" in out and "plain_id" in out and "only showing top 2 rows" in out
+
+
+def test_compacting_keeps_the_rows(s):
+    for k in range(3):
+        s.store.append("plain", s.spark.createDataFrame([(100 + k, "z", k)], Plain.meta.schema))
+    before = rows(s)
+    s.store.compact("plain")
+    assert rows(s) == before and len(s.store.read("plain").inputFiles()) == 1
