@@ -340,6 +340,47 @@ class Query:
             self.update_expr(made)
         return found
 
+    # changes by record: the record's key picks the row among those that the query selects
+
+    def _of(self, record: Any) -> Query:
+        found = self
+        for column, value in zip(self.meta.keys, self.meta.key_of(record), strict=True):
+            found = found.where(F.col(f"{ROOT}.`{column}`") == F.lit(value))
+        return found
+
+    def _typed(self, values: dict[str, Any]) -> dict[str, Column]:
+        return {c: F.lit(v).cast(self.meta.by_column[c].kind.spark) for c, v in values.items() if c not in self.meta.keys}
+
+    def update_record(self, record: Any) -> int:
+        return self._of(record).update_expr(self._typed(self.meta.values(record)))
+
+    def update_partial(self, before: Any, record: Any) -> int:
+        """Writes the columns that differ."""
+        if self.meta.key_of(before) != self.meta.key_of(record):
+            raise DefinitionError("both records must have the same key")
+        old = self.meta.values(before)
+        changed = {c: v for c, v in self.meta.values(record).items() if v != old.get(c)}
+        return self._of(record).update_expr(self._typed(changed)) if changed else 0
+
+    def delete_record(self, record: Any) -> int:
+        return self._of(record).delete()
+
+    def upsert_by_pk(self, record: Any) -> None:
+        """The record takes the place of the row with its key, whatever the query's conditions."""
+        values = self.meta.values(record)
+        new = self.session.spark.createDataFrame([tuple(values.get(c) for c in self.meta.columns)], self.meta.schema)
+        keys = new.select(*self.meta.keys)
+        self._store().rewrite(
+            self.meta.table, lambda rows: rows.join(keys, self.meta.keys, "left_semi"),
+            lambda rows: dml.replaced(rows, new, self.meta.keys), lambda rows: dml.added(rows, new, self.meta.keys),
+        )
+
+    def truncate(self) -> None:
+        """All rows of the table go."""
+        with self._store().transaction():
+            schema = self._store().schema(self.meta.table)
+            self._store().write(self.meta.table, self.session.spark.createDataFrame([], schema), schema)
+
     def delete_returning(self) -> list:
         """Like ``delete``, but returns the records that went."""
         with self._store().transaction():

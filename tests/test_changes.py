@@ -448,3 +448,19 @@ def test_compacting_keeps_the_rows(s):
     before = rows(s)
     s.store.compact("plain")
     assert rows(s) == before and len(s.store.read("plain").inputFiles()) == 1
+
+
+def test_changes_by_record(s):
+    q = Query(s, Plain)
+    two = q.where(lambda c: c.id == 2).first()
+    assert q.update_record(two.copy(name="x", n=1)) == 1 and (2, "x", 1) in rows(s)
+    assert q.where(lambda c: c.n > 50).update_record(two) == 0  # not among the selected rows
+    assert q.update_partial(two, two.copy(n=7)) == 1 and (2, "x", 7) in rows(s) and q.update_partial(two, two.copy()) == 0
+    q.upsert_by_pk(Plain(id=2, name="y", n=2))
+    q.upsert_by_pk(Plain(id=200, name="z", n=3))
+    assert {(2, "y", 2), (200, "z", 3)} <= set(rows(s)) and len(rows(s)) == 13
+    assert q.delete_record(two) == 1 and len(rows(s)) == 12
+    with pytest.raises(DefinitionError):
+        q.update_partial(two, two.copy(id=3))
+    q.truncate()
+    assert rows(s) == []
