@@ -1,9 +1,9 @@
 """Line deduplication across documents, in DataFrame operations only.
 
 Lines become 128-bit hashes, stored once: texts are split a single time. The hashes are
-range-partitioned, sorted by document and position inside each partition, and one streaming pass tells
+range-partitioned (by ranges of equal width, as hashes are uniform), sorted by document and position inside each partition, and one streaming pass tells
 the first document of each hash from the later ones. A frequent-items sketch over all lines finds the
-hashes that would weigh on a partition (at most ``HOT_PER_PART`` a partition); only these are split
+hashes that would weigh on a partition (at most ``HOT_PER_PART`` a partition); only these are dealt
 further by a salt drawn from the document, and only their heads, one document a salt, are compared
 once more, by an aggregate with a row a task. The sketch decides where rows go, never which stay, so
 no other line is shuffled twice. What comes back is a compressed bitmap of kept lines per document (64
@@ -56,6 +56,13 @@ def hot_lines(lines: DataFrame, parts: int) -> DataFrame:
     return found.select(F.col("t.item").alias("h1"), F.lit(True).alias("hot"))
 
 
+def part_of(hash_: Column, salt: Column, parts: int) -> Column:
+    """The range of a hash among ``parts`` of equal width: hashes are uniform, so the splitters need no
+    sample. Salts of a hot hash go to the ranges next to its own."""
+    place = F.shiftrightunsigned(hash_.bitwiseXOR(F.lit(-(1 << 63))), 33)
+    return F.pmod(F.shiftright(place * F.lit(parts).cast("long"), 31) + salt, F.lit(parts)).cast("int")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, version, pos) of each line whose key a smaller doc_id holds too."""
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
@@ -63,8 +70,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = stored(hashed_lines(docs, min_chars))
     rows = rows.join(F.broadcast(stored(hot_lines(rows, parts))), "h1", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(max(SALTS, parts)))).otherwise(0).cast("int")
-    ranged = rows.withColumn("salt", salt).repartitionByRange(parts, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
-    running = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("salt", salt).withColumn("part", part_of(F.col("h1"), F.col("salt"), parts))
+    ranged = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h1", "h2", "salt", "doc_id", "pos")
+    running = Window.partitionBy("part", "h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = ranged.withColumn("head", F.first(rank).over(running)).withColumn("own", rank)
     # what needs no second look goes on at once: later lines, and of the hot ones the heads of salts
     seen = stored(seen.where(F.col("hot") | (F.col("own") > F.col("head"))).select("doc_id", "version", "pos", "hot", "h1", "h2", "own", "head"))
