@@ -32,6 +32,7 @@ import functools
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -81,6 +82,7 @@ class Vocabulary:
             for char in piece[:-1]:
                 node = node.setdefault(char, ({}, -1, 0.0))[0]
             node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, i, worth)
+        self.singles = {piece for piece in self.pieces if len(piece) == 1}
         self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.joined = set("".join(self.inside))
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
@@ -103,103 +105,111 @@ class StreamingViterbi:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.text = ""
-        #: Places whose pieces are added, and the furthest place that a piece has reached.
-        self.done = self.reach = 0
-        #: Place of the last look for a boundary.
-        self.checked = 0
-        # by place since the last committed boundary: score, and where its best last piece starts and
-        # which it is (-1 for bytes)
+        #: Places whose pieces are added, the furthest place that a piece has reached, and the place of
+        #: the last look for a boundary.
+        self.done = self.reach = self.checked = 0
+        # by place since the last committed boundary: score, where its best last piece starts, and which
+        # that is (-1 for bytes)
         self.score: list[float] = [0.0]
-        self.back: list[tuple[int, int]] = [(0, -1)]
+        self.start: list[int] = [0]
+        self.piece: list[int] = [-1]
         self.widest = 0
 
     def feed(self, block: str, last: bool = False) -> list[int]:
         v = self.v
-        self.text += block
-        text, score, back = self.text, self.score, self.back
-        n, longest, root, unknown = len(text), v.longest, v.tree, v.unknown
-        score += [-math.inf] * (n + 1 - len(score))
-        back += [(0, -1)] * (n + 1 - len(back))
-        out: list[int] = []
-        at, reach, begun, checked = self.done, self.reach, 0, self.checked
+        text = self.text + block if self.text else block
+        score, start, piece = self.score, self.start, self.piece
+        n, longest, root, singles, unknown = len(text), v.longest, v.tree, v.singles, v.unknown
+        more = n + 1 - len(score)
+        score += [-math.inf] * more
+        start += [0] * more
+        piece += [-1] * more
+        at, reach, boundary, checked, widest = self.done, self.reach, 0, self.checked, self.widest
         stop_at = n if last else n - longest + 1
         while at < stop_at:
-            base, node, single = score[at], root, False
-            for stop in range(at, n):
-                found = node.get(text[stop])
+            base, node, end = score[at], root, at
+            for char in text[at : at + longest]:
+                found = node.get(char)
                 if found is None:
                     break
                 node, i, worth = found
-                if i >= 0:
-                    single = single or stop == at
-                    if base + worth > score[stop + 1]:
-                        score[stop + 1], back[stop + 1] = base + worth, (at, i)
-                        if stop >= reach:
-                            reach = stop + 1
-            if not single and base + unknown > score[at + 1]:
-                score[at + 1], back[at + 1] = base + unknown, (at, -1)
+                end += 1
+                if i >= 0 and base + worth > score[end]:
+                    score[end], start[end], piece[end] = base + worth, at, i
+                    if end > reach:
+                        reach = end
             at += 1
-            reach = max(reach, at)
-            boundary = at if reach == at else begun
-            if boundary == begun and at - checked >= max(longest, checked - begun):
-                boundary, checked = self._converged(at, reach), at
-            if boundary > begun:
-                self.widest = max(self.widest, reach - begun)
-                self._commit(begun, boundary, out)
-                begun = checked = boundary
-        if begun:
-            base = score[begun]
-            self.score = [s - base for s in score[begun:]]
-            self.back = [(a - begun, i) for a, i in back[begun:]]
-            self.text = text[begun:]
-        self.done, self.reach, self.checked = at - begun, reach - begun, checked - begun
+            if text[at - 1] not in singles and base + unknown > score[at]:
+                score[at], start[at], piece[at] = base + unknown, at - 1, -1
+            if reach <= at:  # no piece reaches on: all paths meet here
+                reach = at
+                if at - boundary > widest:
+                    widest = at - boundary
+                boundary = checked = at
+            elif at - checked >= longest and at - checked >= checked - boundary:
+                boundary, checked = self._converged(at, reach, boundary), at
+        self.widest = widest
+        if not boundary:
+            self.text, self.done, self.reach, self.checked = text, at, reach, checked
+            return []
+        out: list[int] = []
+        place = boundary
+        while place:
+            if piece[place] >= 0:
+                out.append(piece[place])
+                place = start[place]
+            else:
+                place = start[place]
+                out += v.spelled(text[place])[::-1]
+        out.reverse()
+        if boundary < n:
+            base = score[boundary]
+            self.score = [s - base for s in score[boundary:]]
+            self.start, self.piece = [s - boundary for s in start[boundary:]], piece[boundary:]
+        else:
+            self.score, self.start, self.piece = [0.0], [0], [-1]
+        self.text = text[boundary:]
+        self.done, self.reach, self.checked = at - boundary, reach - boundary, checked - boundary
         return out
 
-    def _converged(self, at: int, reach: int) -> int:
-        """The last boundary on which the best paths to all open places agree."""
-        back, score = self.back, self.score
+    def _converged(self, at: int, reach: int, least: int) -> int:
+        """The last boundary on which the best paths to all open places agree; ``least`` is one."""
+        start, score = self.start, self.score
         open_ = {p for p in range(at, reach + 1) if score[p] > -math.inf}
         while len(open_) > 1:
             top = max(open_)
             open_.remove(top)
-            open_.add(back[top][0])
+            open_.add(max(start[top], least))
         return open_.pop()
 
-    def _commit(self, begun: int, boundary: int, out: list[int]) -> None:
-        """Appends the ids between two boundaries."""
-        found: list[int] = []
-        at = boundary
-        while at > begun:
-            start, i = self.back[at]
-            found += [i] if i >= 0 else self.v.spelled(self.text[start])[::-1]
-            at = start
-        out += found[::-1]
-
 
 class Codec:
     def __init__(self, model_file: str = MODEL):
         self.v = Vocabulary(model_file)
-        # two generations: when the young one is full it becomes the old one, so what is in use stays
-        self.memo: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        #: Ready for the next text whenever the last block of one has been fed: all of it is committed.
+        self.search = StreamingViterbi(self.v)
+        # ids as packed 32-bit numbers, in two generations: when the young one is full it becomes the old
+        # one, so what is in use stays
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.filled = 0
         alone = "".join(c for c in "\n\t\r" if c not in self.v.joined)  # paths agree on both sides of these
         self.chunks = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+") if self.v.ends_at_blanks else None
 
-    def _searched(self, text: str) -> list[int]:
-        search, at = StreamingViterbi(self.v), 0
-        out: list[int] = []
-        while at < len(text):
-            stop = at + max(self.v.longest, len(search.text))
-            out += search.feed(text[at:stop], last=stop >= len(text))
+    def _searched(self, text: str) -> bytes:
+        search, longest, n, at = self.search, self.v.longest, len(text), 0
+        out = b""
+        while at < n:
+            stop = at + max(longest, len(search.text))
+            out += array("i", search.feed(text[at:stop], stop >= n)).tobytes()
             at = stop
         return out
 
-    def _stretch(self, text: str) -> list[int]:
-        """Ids of a text in which U+2581 stands for blanks only."""
+    def _stretch(self, text: str, out: bytearray) -> None:
+        """Adds the ids of a text in which U+2581 stands for blanks only."""
         if self.chunks is None:
-            return self._searched(text)
-        out: list[int] = []
+            out += self._searched(text)
+            return
         memo = self.memo
         for chunk in self.chunks.findall(text):
             ids = memo.get(chunk)
@@ -210,18 +220,21 @@ class Codec:
                     self.old, self.memo, self.filled = memo, {}, len(chunk) + ENTRY
                     memo = self.memo
                 memo[chunk] = ids
-            out.extend(ids)
+            out += ids
+
+    def packed(self, text: str | None) -> bytearray:
+        """The ids of a text as 32-bit numbers of this machine."""
+        out = bytearray()
+        if text:
+            first, *others = text.split(BLANK)
+            self._stretch(BLANK + first.replace(" ", BLANK), out)
+            for part in others:
+                out += array("i", self.v.spelled(BLANK)).tobytes()
+                self._stretch(part.replace(" ", BLANK), out)
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        first, *others = text.split(BLANK)
-        out = self._stretch(BLANK + first.replace(" ", BLANK))
-        for part in others:
-            out += self.v.spelled(BLANK)
-            out += self._stretch(part.replace(" ", BLANK))
-        return out
+        return array("i", bytes(self.packed(text))).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the blank before the text is taken off."""
@@ -239,12 +252,11 @@ def encode_texts(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_file)
         for frame in frames:
-            sizes, parts = [0], []
+            sizes, parts = [0], bytearray()
             for text in frame.column("text").to_pylist():
-                ids = np.array(codec.encode(text), np.int32)
-                parts.append(ids)
-                sizes.append(sizes[-1] + len(ids))
-            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+                parts += codec.packed(text)
+                sizes.append(len(parts) // 4)
+            ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(parts, np.int32)))
             yield pa.RecordBatch.from_arrays([frame.column("doc_id"), ids], ["doc_id", "ids"])
 
     return shipped(docs).select("doc_id", "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
