@@ -23,19 +23,11 @@ def deleted(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(~holds(condition))
 
 
-def deleted_by_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return rows.join(keys.select(*on).distinct(), list(on), "left_anti").select(*rows.columns)
-
-
 def conformed(rows: DataFrame, to: DataFrame) -> DataFrame:
     """The columns of ``to`` in order and type; what is missing is null."""
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in to.schema])
 
 
-def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
-    return rows.unionByName(conformed(new, rows))
-
-
 def replaced(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[str, Column] | None = None) -> DataFrame:
     """``rows`` as they are after an upsert, without those that it adds. Without ``assign`` rows with
     equal keys go (``added`` has their successors); with it they take ``old.x`` and ``new.x``."""
@@ -54,16 +46,6 @@ def added(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[st
     return conformed(new if assign is None else _absent(rows, new, on), rows)
 
 
-def upserted(rows: DataFrame, new: DataFrame, on: Sequence[str], assign: Mapping[str, Column] | None = None) -> DataFrame:
-    """Rows of ``new`` replace those with equal keys, the others are added. ``assign`` limits the
-    replacement to some columns; there ``old.x`` and ``new.x`` name both sides."""
-    return replaced(rows, new, on, assign).unionByName(added(rows, new, on, assign))
-
-
-def inserted_ignoring(rows: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
-    return appended(rows, _absent(rows, new, on))
-
-
 def _absent(rows: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     return new.dropDuplicates(list(on)).join(rows.select(*on).distinct(), list(on), "left_anti").select(*new.columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregates import ordered
-from ..model import CapabilityError, DefinitionError, EntityMeta, NotFound
+from ..model import CapabilityError, DefinitionError, NotFound
 from ..rawsql import bound
 from ..relations import Relation, meta_of
 from ..sources.session import Session

@@ -21,7 +21,7 @@ from .tables import (
     CUSTOMER, CUSTOMERS, EVENTS, ITEM_ORDER, ITEM_PART, ITEM_SUPPLIER, ITEMS, LABEL, LINKS, NATION, NATIONS, ORDER_PARTS, ORDERS,
     PART_LINKS, PART_SUPPLIERS, REGION, REGION_CUSTOMERS, REGION_CUSTOMERS_VIA, REGION_SUPPLIER, REGION_SUPPLIERS_VIA, SUPPLIERS, TRASHABLE,
     Customer, Document, LineItem, Nation, NewNation, NewPartLink, NewTimedNation, Order, OrderStatus, Part, PartLink, Region, Supplier, TimedNation,
-    TrashableOrder, session_over, stored_session,
+    TrashableOrder, Vector, session_over, stored_session,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,6 +207,12 @@ def json_field(s):
     return Query(s, Event).select(lambda c: {"event_id": c.event_id, "k": F.get_json_object(c.props, "$.k").cast("bigint")}).df()
 
 
+@query("SELECT vec_id, len(embedding) AS dims, label FROM embeddings WHERE embedding[1] > 0 AND label = 1")
+def array_field(s):
+    q = Query(s, Vector).where(lambda c: F.get(c.embedding, F.lit(0)) > 0).where(lambda c: c.label == 1)
+    return q.select(lambda c: {"vec_id": c.vec_id, "dims": F.size(c.embedding).cast("bigint"), "label": c.label}).df()
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'widget') AND NOT list_contains(string_split(p_name, ' '), 'red')")
 def array_contains_tag(s):
     has = lambda c, tag: F.array_contains(F.split(c.p_name, " "), tag)
