@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import migrate as M
 from ..active import Active
 from ..functions import aggregates as agg
 from ..functions.aggregates import ordered
 from ..migrate import issues_df
+from ..model import NotFound
 from ..operators.eager import EagerQuery
 from ..operators.query import Query
 from ..rawsql import TableInfo, sql
-from ..repo import PivotRepo, Repo
+from ..relations import belongs_to_many
+from ..repo import Observer, PivotRepo, Repo
 from ..scopes import SoftDeletes, Timestamps, Where
 from ..sources.session import Session
 from .tables import (
@@ -1004,6 +1007,100 @@ def pivot_attach_with_creator(s):
     return _rows(t, PartLink)
 
 
+# transactions, migrations, hooks, tracking
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'kept' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def transactions(s):
+    t = _nations(s)
+    with t.transact():
+        Query(t, Nation).where(lambda c: c.n_nationkey == 1).update(n_name="kept")
+    try:
+        with t.transact():
+            Query(t, Nation).delete()
+            raise NotFound("the block fails")
+    except NotFound:
+        pass  # nothing of the second block is published
+    return _rows(t, Nation)
+
+
+def _migrations():
+    return [
+        M.Migration("1", "nations", [M.create_table("place", M.column("id", "int").primary_key(), M.column("name", "string"), M.column("region", "int"), M.column("far", "boolean").nullable().generated_always_as("region > 2"))]),
+        M.Migration("2", "more", [
+            M.raw("INSERT INTO place (id, name, region) SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+            M.alter_table("place", M.rename_column("name", "title"), M.add_column(M.column("note", "string").default("none")), M.alter_column_type("id", "bigint")),
+        ], [M.alter_table("place", M.drop_column("note"), M.rename_column("title", "name"))]),
+    ]
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title, n_regionkey AS region, n_regionkey > 2 AS far, 'none' AS note FROM nation")
+def migrations(s):
+    t = _nations(s)
+    t.views("nation")
+    M.Migrator(t, _migrations()).migrate()
+    return t.store.read("place")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, n_regionkey AS region, n_regionkey > 2 AS far FROM nation")
+def migration_rollback(s):
+    t = _nations(s)
+    t.views("nation")
+    runner = M.Migrator(t, _migrations())
+    runner.migrate(in_one=False)
+    runner.rollback_steps(1)
+    return t.store.read("place")
+
+
+@query("SELECT * FROM (VALUES (0, 'creating', 'NEW'), (1, 'created', 'NEW'), (2, 'updating', 'CHANGED'), (3, 'updated', 'CHANGED'), (4, 'deleting', 'CHANGED'), (5, 'deleted', 'CHANGED')) v(step, event, name)")
+def observers(s):
+    seen = []
+
+    class Note(Observer):
+        def __getattribute__(self, name):
+            return (lambda record: seen.append((len(seen), name, record.n_name))) if not name.startswith("_") else object.__getattribute__(self, name)
+
+    t = _nations(s)
+    repo = Repo(t, Nation, observers=[Note()])
+    made = repo.create(NewNation(n_name="NEW", n_regionkey=0))
+    made = made.copy(n_name="CHANGED")
+    repo.update(made)
+    repo.delete(made)
+    return s.spark.createDataFrame(seen, "step int, event string, name string")
+
+
+@query("SELECT 'n_name' AS changed, n_name AS before, 'other' AS after, n_name AS refreshed FROM nation WHERE n_nationkey = 3")
+def change_tracking(s):
+    t = _nations(s)
+    repo = Repo(t, Nation)
+    record = repo.find_or_fail(3)
+    record.n_name = "other"
+    changes = repo.changes(record)
+    return s.spark.createDataFrame([(k, repo.original(record).n_name, v, repo.refresh(record).n_name) for k, v in changes.items()], "changed string, before string, after string, refreshed string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 3")
+def iterate_rows(s):
+    return _frame(s, Nation, list(Query(s, Nation).where(lambda c: c.n_regionkey < 3).iterate()))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2 AND n_name <> 'NATION_9'")
+def scopes_stacked(s):
+    class Base(Repo):
+        injected = (Where("region", lambda c: c.n_regionkey == 1),)
+        final = (lambda meta: Where(f"named in {meta.table}", lambda c: c.n_name != "NATION_9"),)
+
+    return Base(s, Nation, [Where("late", lambda c: c.n_nationkey > 2)]).query().df()
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey <= 20 GROUP BY l_partkey, l_suppkey")
+def belongs_to_many_by_convention(s):
+    links = s.frame("lineitem").where("l_partkey <= 20").select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("supplier_id"))
+    t = Session(s.spark, {"part": s.frame("part"), "supplier": s.frame("supplier"), "part_supplier": links})
+    found = Query(t, Part).with_related(belongs_to_many(Part, Supplier)).df().select(F.col("p_partkey").alias("l_partkey"), F.explode("related_0").alias("i"))
+    return found.groupBy("l_partkey", F.col("i.s_suppkey").alias("l_suppkey")).count().withColumnRenamed("count", "n")
+
+
 # raw SQL, verification
 
 
@@ -1024,6 +1121,6 @@ def raw_sql_join(s):
     )
 
 
-@query(None)
+@query("SELECT 'extra_column' AS kind, 'documents' AS table_name, 'text' AS column_name, '' AS detail, true AS warning")
 def verify_schema(s):
     return issues_df(s, Region, Nation, Customer, Supplier, Part, Order, LineItem, Document)
