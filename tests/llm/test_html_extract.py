@@ -100,6 +100,23 @@ def test_a_lone_nameless_page_keeps_its_article():
     assert says in text_of(page)
 
 
+def test_pages_without_names_read_like_those_with_names():
+    """The test pages with every telling tag and class taken out: positions, slots and weights decide."""
+    import pyarrow.parquet as pq
+
+    hosts = {}
+    for row in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist():
+        hosts.setdefault(re.sub(r"^\w+://([^/]*).*", r"\1", row["url"] or ""), []).append(row["html"])
+    several = [pages for pages in hosts.values() if len(set(pages)) > 1][:12]
+    assert several
+    for pages in several:
+        bare = [re.sub(r"<(/?)(?:nav|article|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+        judged = H.judge(wrapper_of(*bare), len(bare))
+        for page, plain in zip(pages, bare):
+            article = re.search(r"(?s)<article>(.*)</article>", page)[1]
+            assert H.read(H.parse(plain), judged) == text_of(f"<article>{article}</article>")
+
+
 def regex_of(item):
     """A wrapper as a regular expression over tokens, without alternatives."""
     inner = "".join(regex_of(i) for i in item[5])
