@@ -818,6 +818,13 @@ def delete_by_ids(s):
     return _rows(t, Nation)
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE NOT (c_custkey BETWEEN 2 AND 2999 AND c_custkey % 2 = 0)")
+def delete_by_many_ids(s):
+    t = stored_session(s, "customer")
+    Repo(t, Customer).delete_all_by_id(range(2, 3000, 2))
+    return _rows(t, Customer)
+
+
 @query("SELECT * FROM nation WHERE n_nationkey <> 7")
 def delete_record(s):
     t = _nations(s)

@@ -112,6 +112,14 @@ class Repo:
         keys = self.session.spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(self.meta.key, kind)]))
         return self.query().df().join(keys.distinct(), self.meta.key, "left_semi")
 
+    def _among(self, query: Query, ids: list) -> Query:
+        """The rows with some of many ids, for changes: long lists become a table and EXISTS."""
+        if len(ids) <= LISTED_IDS:
+            return query.where(lambda c: c[self.meta.key].isin(ids))
+        kind = self.meta.by_column[self.meta.key].kind.spark
+        keys = self.session.spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("_id", kind)])).distinct()
+        return query.where(lambda c: keys.where(F.col("_id") == c[self.meta.key].outer()).exists())
+
     def find_all_by_id(self, ids: Iterable) -> list:
         return [self.session.track(self.meta, self.meta.record(r)) for r in self.rows_by_ids(ids).collect()]
 
@@ -334,8 +342,7 @@ class Repo:
         return self._delete(self._by_key(self.query(), key))
 
     def delete_all_by_id(self, keys: Iterable) -> int:
-        keys = list(keys)
-        return self._delete(self.query().where(lambda c: c[self.meta.key].isin(keys)))
+        return self._delete(self._among(self.query(), list(keys)))
 
     def delete_all(self, records: Iterable) -> int:
         return self.delete_all_by_id([self.meta.key_of(r)[0] for r in records])

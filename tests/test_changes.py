@@ -464,3 +464,9 @@ def test_changes_by_record(s):
         q.update_partial(two, two.copy(id=3))
     q.truncate()
     assert rows(s) == []
+
+
+def test_deletes_by_many_ids(s):
+    s.store.append("plain", s.spark.range(1000, 4000).select("id", F.lit("m").alias("name"), F.lit(1).alias("n")))
+    assert Repo(s, Plain).delete_all_by_id(range(2, 3002, 2)) == 1007 and Query(s, Plain).count() == 2005
+    assert Query(s, Plain).where(lambda c: c.id % 2 == 0).count() == 499 and Repo(s, Plain).delete_all_by_id([1, 3]) == 2
