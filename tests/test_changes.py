@@ -128,6 +128,29 @@ def test_changes_of_several_writers_all_count(s):
     assert rows(s)[0] == (1, "b", 1121)
 
 
+def test_one_of_many_takes_the_lock(s):
+    """All at once, many times: the lock has one holder, whose token it keeps."""
+    for _ in range(25):
+        stores, held = [Store(s.spark, s.store.root, wait=0) for _ in range(8)], []
+        start = threading.Barrier(len(stores))
+
+        def take(store):
+            start.wait()
+            try:
+                store._acquire()
+                held.append(store)
+            except EngineError:
+                pass
+
+        threads = [threading.Thread(target=take, args=(x,)) for x in stores]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(held) == 1 and held[0]._read_text("_LOCK") == held[0]._token
+        held[0]._release()
+
+
 def test_locks_of_dead_writers_are_taken_and_lost_locks_publish_nothing(s):
     dead = Store(s.spark, s.store.root)
     dead._acquire()
@@ -149,7 +172,7 @@ def test_locks_of_dead_writers_are_taken_and_lost_locks_publish_nothing(s):
 
 
 def test_other_failures_of_the_lock_are_told(s, monkeypatch):
-    monkeypatch.setattr(Store, "_create", lambda self, *a: self.spark._jvm.java.lang.Integer.parseInt("x"))
+    monkeypatch.setattr(Store, "_take", lambda self, token: self.spark._jvm.java.lang.Integer.parseInt("x"))
     with pytest.raises(Exception, match="For input string"):
         s.store.drop("other")
 
